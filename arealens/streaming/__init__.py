@@ -1,0 +1 @@
+"""No stream operators: every workload this library covers is a batch one."""
