@@ -38,12 +38,12 @@ def distinct_count_features(df: DataFrame, keys: Sequence[str], column: str, nam
 def incident_features(
     df: DataFrame,
     keys: Sequence[str],
-    incident: str = "incident_key",
+    incident: str | None = "incident_key",
     counted: str = "latitude",
     name: str = "shooting_incident_count",
 ) -> DataFrame:
     """Distinct incidents if the feed has an incident key, else its rows."""
-    if incident in df.columns:
+    if incident and incident in df.columns:
         return distinct_count_features(df, keys, incident, name)
     return df.groupBy(*keys).agg(F.count(counted).alias(name))
 
