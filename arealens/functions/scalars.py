@@ -30,8 +30,7 @@ def lookup(c: Column, table: Mapping[str, str]) -> Column:
 
 def missing_to_null(c: Column | str) -> Column:
     """NaN marks a missing number at the sources; the library knows only NULL."""
-    c = _col(c)
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(_col(c), F.lit(None))
 
 
 def to_number(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from arealens import presets
 from arealens.functions import scalars as S
 from arealens.operators.ordering import number_within, top_n_per_group
-from arealens.session import SMALL_ROWS, at_most, broadcast_if_small, cut_lineage
+from arealens.session import SMALL_ROWS, at_most, broadcast_if_small, cut_lineage, stage_table
 
 MAX_CATEGORIES = 2_000
 
@@ -106,11 +106,14 @@ def category_profile(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _over(columns: Sequence[str], template: str) -> str:
+    """SQL text of ``template`` summed over the columns; one parsed text is far cheaper to build
+    than a column object per operation when there are many categories."""
+    return " + ".join(template.format(c=f"coalesce(cast(`{c}` as double), 0D)") for c in columns)
+
+
 def wide_diversity(columns: Sequence[str]) -> Column:
-    out = F.lit(0)
-    for c in columns:
-        out = out + F.coalesce(F.col(c) > 0, F.lit(False)).cast("int")
-    return out
+    return F.expr(_over(columns, "int({c} > 0)")) if columns else F.lit(0)
 
 
 def wide_entropy(columns: Sequence[str], normalised: bool = False) -> Column:
@@ -118,11 +121,8 @@ def wide_entropy(columns: Sequence[str], normalised: bool = False) -> Column:
     divides by the logarithm of the number of categories."""
     if not columns:
         return F.lit(0.0)
-    total, nlogn = F.lit(0.0), F.lit(0.0)
-    for c in columns:
-        n = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        total = total + n
-        nlogn = nlogn + F.when(n > 0, n * F.ln(n)).otherwise(F.lit(0.0))
+    total = F.expr(_over(columns, "{c}"))
+    nlogn = F.expr(_over(columns, "if({c} > 0, {c} * ln({c}), 0D)"))
     out = F.when(total > 0, F.greatest(F.ln(total) - nlogn / total, F.lit(0.0))).otherwise(F.lit(0.0))
     return S.safe_divide(out, F.ln(F.lit(float(len(columns))))) if normalised else out
 
@@ -133,7 +133,8 @@ def share_name(count_column: str) -> str:
 
 def category_shares(df: DataFrame, columns: Sequence[str], total: str = "storefront_filing_count") -> DataFrame:
     """Share of each category in the table's own total, all in one projection."""
-    shares = {share_name(c): F.coalesce(S.safe_divide(c, total), F.lit(0.0)) for c in columns}
+    share = "coalesce(try_divide(cast(`{c}` as double), `{total}`), 0D)"
+    shares = {share_name(c): F.expr(share.format(c=c, total=total)) for c in columns}
     return df.withColumns(shares) if shares else df
 
 
@@ -143,6 +144,7 @@ def exact_quantile(
     columns: Sequence[str],
     p: float = 0.5,
     small_rows: int = SMALL_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Exact interpolated quantile of each column per group (all rows if ``by`` is empty).
 
@@ -150,9 +152,10 @@ def exact_quantile(
     task. Beyond that a sketch brackets the quantile closely, values below the bracket collapse to
     one count, and only the few inside it are counted by value, so no group is ever held whole.
     """
-    values = df.select(*by, *[S.missing_to_null(F.col(c).cast("double")).alias(c) for c in columns])
-    if at_most(values, small_rows):
-        return values.groupBy(*by).agg(*[F.percentile(c, F.lit(p)).alias(c) for c in columns])
+    numbers = [f"nanvl(cast(`{c}` as double), NULL) AS `{c}`" for c in columns]
+    values = df.selectExpr(*[f"`{c}`" for c in by], *numbers)
+    if at_most(values, small_rows) if small is None else small:
+        return values.groupBy(*by).agg(*[F.expr(f"percentile(`{c}`, {p}) AS `{c}`") for c in columns])
 
     long = values.unpivot(list(by), list(columns), "_column", "_v").filter("_v is not null")
     margin, accuracy = 0.002, 10_000
@@ -210,23 +213,26 @@ def impute_hierarchical(
     small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """NULL → median of the group → median of the column so filled → 0 for ``zero_columns``."""
-    medians = exact_quantile(df.filter(F.col(group).isNotNull()), [group], columns, small_rows=small_rows)
+    small = at_most(df.select(group), small_rows)
+    medians = exact_quantile(df.filter(F.col(group).isNotNull()), [group], columns, small=small)
     medians = medians.select(group, *[F.col(c).alias(f"_m_{c}") for c in columns])
     joined = df.join(medians, group, "left")
-    filled = joined.select(
+    filled = joined.selectExpr(
         *[
-            F.coalesce(S.missing_to_null(F.col(c).cast("double")), F.col(f"_m_{c}")).alias(c) if c in columns else c
+            f"coalesce(nanvl(cast(`{c}` as double), NULL), `_m_{c}`) AS `{c}`" if c in columns else f"`{c}`"
             for c in df.columns
         ]
     )
-    overall = exact_quantile(filled, [], columns, small_rows=small_rows)
-    whole = overall.select(F.struct(*columns)).scalar()
+    filled = stage_table(filled, "group-filled")
+    overall = exact_quantile(filled, [], columns, small=small).select(F.struct(*columns))
+    # The one-row subquery is a column first, so that it is planned once and not once per use.
+    filled = filled.withColumn("_all", overall.scalar())
 
-    def fill(c: str) -> Column:
-        steps = [F.col(c), whole.getField(c)] + ([F.lit(0.0)] if c in zero_columns else [])
-        return F.coalesce(*steps).alias(c)
+    def fill(c: str) -> str:
+        zero = ", 0D" if c in zero_columns else ""
+        return f"coalesce(`{c}`, _all.`{c}`{zero}) AS `{c}`"
 
-    return filled.select(*[fill(c) if c in columns else c for c in df.columns])
+    return filled.selectExpr(*[fill(c) if c in columns else f"`{c}`" for c in df.columns])
 
 
 def fill_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -276,8 +282,9 @@ def describe(df: DataFrame, column: str, small_rows: int = SMALL_ROWS) -> DataFr
         F.min(column).alias("min"),
         F.max(column).alias("max"),
     )
+    small = at_most(df.select(column), small_rows)
     quartiles = {
-        name: exact_quantile(df, [], [column], p, small_rows).select(column).scalar()
+        name: exact_quantile(df, [], [column], p, small=small).select(column).scalar()
         for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
     }
     return out.select("count", "mean", "std", "min", *[q.alias(n) for n, q in quartiles.items()], "max")

@@ -53,11 +53,11 @@ def feature_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def zscore(df: DataFrame, features: Sequence[str], out: str = "z") -> DataFrame:
     """Adds the array of standardised features; the statistics are a scalar subquery."""
     stats = feature_stats(df, features).select(F.struct("means", "stds")).scalar()
-    means, stds = stats.getField("means"), stats.getField("stds")
+    means, stds = F.col("_stats")["means"], F.col("_stats")["stds"]
     scaled = [
         (F.col(f) - F.get(means, F.lit(i))) / (F.get(stds, F.lit(i)) + F.lit(STD_FLOOR)) for i, f in enumerate(features)
     ]
-    return df.withColumn(out, F.array(*scaled))
+    return df.withColumn("_stats", stats).withColumn(out, F.array(*scaled)).drop("_stats")
 
 
 def nearest_centroid(vector: Column | str, centroids: Sequence[Sequence[float]]) -> Column:
@@ -333,9 +333,9 @@ def centroid_table(spark: SparkSession, centroids: Sequence[Sequence[float]], fe
 
 def unscale_centroids(centroids: DataFrame, stats: DataFrame) -> DataFrame:
     """Centroids back in feature units: z · std + mean."""
-    s = stats.select(F.struct("means", "stds")).scalar()
-    std, mean = F.get(s.getField("stds"), F.col("position")), F.get(s.getField("means"), F.col("position"))
-    return centroids.withColumn("value", F.col("z") * std + mean)
+    std, mean = F.get(F.col("_stats")["stds"], F.col("position")), F.get(F.col("_stats")["means"], F.col("position"))
+    scaled = centroids.withColumn("_stats", stats.select(F.struct("means", "stds")).scalar())
+    return scaled.withColumn("value", F.col("z") * std + mean).drop("_stats")
 
 
 def closest_members(assigned: DataFrame, key: str, n: int = 5) -> DataFrame:

@@ -56,8 +56,9 @@ def minmax_blend(
 
     aggs = _bounds(similarity, competition)
     if not by:
-        bounds = df.agg(F.struct(*aggs).alias("b")).scalar()
-        return df.withColumn(name, blend(bounds.getField))
+        # The one-row subquery is a column first, so that it is planned once and not once per use.
+        bounded = df.withColumn("_b", df.agg(F.struct(*aggs)).scalar())
+        return bounded.withColumn(name, blend(F.col("_b").getField)).drop("_b")
     bounds = df.groupBy(*by).agg(F.struct(*aggs).alias("_b"))
     return df.join(bounds, list(by)).withColumn(name, blend(F.col("_b").getField)).drop("_b")
 
