@@ -48,31 +48,37 @@ def equirectangular_km(lon: Column, lat: Column, lat_0: float) -> tuple[Column,
     return x, F.radians(lat) * F.lit(EARTH_RADIUS_KM)
 
 
-def crosses(px: Column, py: Column, e: Column) -> Column:
-    """Does the ray from the point towards +x cross edge ``e`` (struct x1,y1,x2,y2)?
+# The edge tests below are SQL texts over an edge struct ``e`` (x1, y1, x2, y2) and the names of two
+# point columns: they run inside array functions, where one parsed text replaces dozens of columns.
+
+
+def crosses(px: str, py: str, e: str) -> str:
+    """Does the ray from the point towards +x cross the edge?
 
     The rule is half open in y, so a vertex shared by two edges counts once.
     """
-    x1, y1, x2, y2 = (e.getField(k) for k in ("x1", "y1", "x2", "y2"))
-    spans = (y1 > py) != (y2 > py)
-    return F.when(spans, px < (x2 - x1) * (py - y1) / (y2 - y1) + x1).otherwise(F.lit(False))
+    at = f"({e}.x2 - {e}.x1) * ({py} - {e}.y1) / ({e}.y2 - {e}.y1) + {e}.x1"
+    return f"if(({e}.y1 > {py}) != ({e}.y2 > {py}), {px} < {at}, false)"
 
 
-def on_edge(px: Column, py: Column, e: Column) -> Column:
+def on_edge(px: str, py: str, e: str) -> str:
     """Is the point exactly on the edge? A point on the boundary is not within the polygon."""
-    x1, y1, x2, y2 = (e.getField(k) for k in ("x1", "y1", "x2", "y2"))
     return (
-        ((x2 - x1) * (py - y1) == (px - x1) * (y2 - y1))
-        & px.between(F.least(x1, x2), F.greatest(x1, x2))
-        & py.between(F.least(y1, y2), F.greatest(y1, y2))
+        f"(({e}.x2 - {e}.x1) * ({py} - {e}.y1) = ({px} - {e}.x1) * ({e}.y2 - {e}.y1)"
+        f" AND {px} BETWEEN least({e}.x1, {e}.x2) AND greatest({e}.x1, {e}.x2)"
+        f" AND {py} BETWEEN least({e}.y1, {e}.y2) AND greatest({e}.y1, {e}.y2))"
     )
 
 
-def squared_distance_to_edge(px: Column, py: Column, e: Column) -> Column:
-    x1, y1, x2, y2 = (e.getField(k) for k in ("x1", "y1", "x2", "y2"))
-    dx, dy = x2 - x1, y2 - y1
-    length = dx * dx + dy * dy
-    along = F.when(length > 0, ((px - x1) * dx + (py - y1) * dy) / length).otherwise(F.lit(0.0))
-    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    ox, oy = px - x1 - along * dx, py - y1 - along * dy
-    return ox * ox + oy * oy
+def contains(px: str, py: str, edges: str) -> str:
+    """Odd number of crossings and not on the boundary."""
+    crossings = f"size(filter({edges}, e -> {crosses(px, py, 'e')}))"
+    return f"({crossings} % 2 = 1 AND NOT exists({edges}, e -> {on_edge(px, py, 'e')}))"
+
+
+def squared_distance_to_edge(px: str, py: str, e: str) -> str:
+    dx, dy = f"({e}.x2 - {e}.x1)", f"({e}.y2 - {e}.y1)"
+    length = f"({dx} * {dx} + {dy} * {dy})"
+    along = f"greatest(0D, least(1D, (({px} - {e}.x1) * {dx} + ({py} - {e}.y1) * {dy}) / {length}))"
+    ox, oy = f"({px} - {e}.x1 - {along} * {dx})", f"({py} - {e}.y1 - {along} * {dy})"
+    return f"({ox} * {ox} + {oy} * {oy})"

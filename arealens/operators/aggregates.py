@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from arealens import presets
 from arealens.functions import scalars as S
-from arealens.operators.ordering import number_within, top_n_per_group
+from arealens.operators.ordering import join_groups, number_within, top_n_per_group
 from arealens.session import SMALL_ROWS, at_most, broadcast_if_small, cut_lineage, stage_table
 
 MAX_CATEGORIES = 2_000
@@ -170,11 +170,7 @@ def exact_quantile(
         }
     ).drop("_b")
     brackets = broadcast_if_small(cut_lineage(brackets))
-    same = [long[c].eqNullSafe(brackets[c]) for c in (*by, "_column")]
-    inside = long.join(brackets, same).select(
-        *[long[c] for c in (*by, "_column")], "_n", "_v", "_lo", "_hi"
-    )
-    inside = inside.filter(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
+    inside = join_groups(long, brackets, [*by, "_column"]).filter(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
     below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
     cells = inside.groupBy(*by, "_column", F.when(~below, F.col("_v")).alias("_v")).agg(
         F.first("_n").alias("_n"), F.count("*").alias("_k")
@@ -334,8 +330,7 @@ def empirical_percentiles(
         found = placed.join(total, "feature").select(
             "feature", F.col("_x").alias("value"), S.half_even(share).cast("int").alias("percentile")
         )
-    on = [wanted["feature"] == found["feature"], wanted["value"] == found["value"]]
-    return wanted.join(found, on, "left").select(wanted["feature"], wanted["value"], "percentile")
+    return join_groups(wanted, found, ["feature", "value"], "left").select("feature", "value", "percentile")
 
 
 def empirical_percentile(df: DataFrame, column: str, values: DataFrame, value: str, few: int = 10_000) -> DataFrame:

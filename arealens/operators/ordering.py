@@ -15,6 +15,13 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys where a NULL group matches a NULL group; keeps the left key columns."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "pos") -> DataFrame:
     """1..n over the whole table in the given total order, without a one-task window.
 
@@ -53,10 +60,8 @@ def number_within(
     if not by:
         return numbered.withColumnRenamed("_all", name)
     firsts = numbered.groupBy(*by).agg(F.min("_all").alias("_first"))
-    on = [numbered[c].eqNullSafe(firsts[c]) for c in by]
-    return numbered.join(firsts, on).select(
-        *[numbered[c] for c in df.columns], (F.col("_all") - F.col("_first") + 1).alias(name)
-    )
+    joined = join_groups(numbered, firsts, by)
+    return joined.select(*df.columns, (F.col("_all") - F.col("_first") + 1).alias(name))
 
 
 def rank_desc(
@@ -90,8 +95,7 @@ def rank_average(
     counts = df.groupBy(*by, score).agg(F.count("*").alias("_n"))
     ranked = _running_total(counts, by, [direction], "_n", "_through")
     ranks = ranked.select(*by, score, (F.col("_through") - (F.col("_n") - 1) / 2.0).alias(name))
-    on = [df[c].eqNullSafe(ranks[c]) for c in (*by, score)]
-    return df.join(ranks, on).select(*[df[c] for c in df.columns], ranks[name])
+    return join_groups(df, ranks, [*by, score]).select(*df.columns, name)
 
 
 def _running_total(
@@ -107,10 +111,8 @@ def _running_total(
     before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     left = numbered.withColumn("_within", F.sum(weight).over(within))
-    on = [left[c].eqNullSafe(blocks[c]) for c in (*by, "_block")]
-    return left.join(blocks, on).select(
-        *[left[c] for c in df.columns], (F.col("_before") + F.col("_within")).alias(name)
-    )
+    joined = join_groups(left, blocks.drop("_sum"), [*by, "_block"])
+    return joined.select(*df.columns, (F.col("_before") + F.col("_within")).alias(name))
 
 
 def rank_delta(df: DataFrame, before: str, after: str) -> DataFrame:

@@ -10,7 +10,7 @@ from arealens import presets
 from arealens.functions import scalars as S
 from arealens.functions.templates import fill
 from arealens.operators.aggregates import empirical_percentiles, group_concentration, share_name
-from arealens.operators.ordering import top_n_per_group
+from arealens.operators.ordering import join_groups, top_n_per_group
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -180,9 +180,9 @@ def cluster_metrics(
     )
     long = means.unpivot(["cluster", "size"], present, "feature", "mean")
     found = empirical_percentiles(master, present, long.select("feature", F.col("mean").alias("value")))
-    on = [long["feature"] == found["feature"], long["mean"].eqNullSafe(found["value"])]
-    return long.join(found, on, "left").select(
-        "cluster", "size", long["feature"], "mean", "percentile", S.percentile_band("percentile").alias("band")
+    out = join_groups(long.withColumnRenamed("mean", "value"), found, ["feature", "value"], "left")
+    return out.select(
+        "cluster", "size", "feature", F.col("value").alias("mean"), "percentile", S.percentile_band("percentile").alias("band")
     )
 
 
@@ -302,9 +302,9 @@ def category_mix(members: DataFrame, master: DataFrame, centroids: DataFrame) ->
     long = sums.select("cluster", base.alias("_base"), F.inline(cells)).filter("n > 0")
     asked = long.select("feature", F.col("mean_share").alias("value"))
     found = empirical_percentiles(master, shares, asked)
-    on = [long["feature"] == found["feature"], long["mean_share"].eqNullSafe(found["value"])]
-    ranked = long.join(found, on).filter("percentile is not null").select(
-        "cluster", "position", "column", "mean_share", "percentile",
+    placed = join_groups(long.withColumnRenamed("mean_share", "value"), found, ["feature", "value"])
+    ranked = placed.filter("percentile is not null").select(
+        "cluster", "position", "column", F.col("value").alias("mean_share"), "percentile",
         S.half_even(100 * F.col("n") / F.col("_base")).cast("int").alias("share"),
     )
     bit = fill(

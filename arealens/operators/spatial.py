@@ -166,30 +166,26 @@ def _tag_within(points: DataFrame, edges: DataFrame, key: str, x: str, y: str, b
     extent = Extent.of(edges)
     cells = stage_table(_within_cells(edges, key, extent), "within-cells")
     stored = _levels(cells, F.aggregate("areas", F.lit(0), lambda n, a: n + F.size(a.getField("edges"))))
-    px, py = F.col(x), F.col(y)
-
-    def contains(area: Column) -> Column:
-        edge_list = area.getField("edges")
-        crossings = F.size(F.filter(edge_list, lambda e: G.crosses(px, py, e)))
-        return (F.pmod(crossings, F.lit(2)) == 1) & ~F.exists(edge_list, lambda e: G.on_edge(px, py, e))
-
-    hit = F.array_min(F.transform(F.filter("areas", contains), lambda a: a.getField("area")))
+    points = points.withColumns({"_x": F.col(x), "_y": F.col(y)})
+    px, py = F.col("_x"), F.col("_y")
+    test = G.contains("_x", "_y", "a.edges")
+    hit = f"array_min(transform(filter(areas, a -> {test}), a -> a.area))"
     found = []
     for level, n in stored.items():
         size = F.lit(extent.side / 2**level)
         points = points.withColumns({"cx": extent.cell_x(px, size), "cy": extent.cell_y(py, size)})
         points = _lookup(points, cells, level, n, broadcast_edges)
-        points = points.withColumn(f"_hit_{level}", hit).drop("cx", "cy", "areas")
+        points = points.withColumn(f"_hit_{level}", F.expr(hit)).drop("cx", "cy", "areas")
         found.append(f"_hit_{level}")
     area = F.array_min(F.array(*found))
-    return points.withColumn("_area", area).drop(*found)
+    return points.withColumn("_area", area).drop("_x", "_y", *found)
 
 
 def _near_cells(edges: DataFrame, key: str, extent: Extent, sizes: Sequence[float]) -> DataFrame:
     """Per grid level and cell every edge within one cell size of it."""
     levels = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(s).alias("_s")) for i, s in enumerate(sizes)])
     item = F.struct(F.col(key).alias("area"), "x1", "y1", "x2", "y2").alias("item")
-    spread = edges.select(item, *_edge_columns(), F.inline(levels))
+    spread = edges.select(item, "x1", "y1", "x2", "y2", F.inline(levels))
     size = F.col("_s")
 
     def span(low: Column, high: Column, origin: float, top: float, cell: Callable[[Column, Column], Column]) -> Column:
@@ -203,10 +199,6 @@ def _near_cells(edges: DataFrame, key: str, extent: Extent, sizes: Sequence[floa
     return celled.groupBy("level", "cx", "cy").agg(F.collect_list("item").alias("near"))
 
 
-def _edge_columns() -> list[Column]:
-    return [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-
-
 def _nearest_by_levels(
     points: DataFrame, edges: DataFrame, key: str, extent: Extent, n_edges: int, broadcast_edges: int
 ) -> DataFrame:
@@ -237,14 +229,8 @@ def _nearest_by_levels(
             }
         )
         found = _lookup(placed, cells, level, stored.get(level, 0), broadcast_edges)
-        best = F.array_min(
-            F.transform(
-                "near",
-                lambda e: F.struct(
-                    G.squared_distance_to_edge(px, py, e).alias("d2"), e.getField("area").alias("area")
-                ),
-            )
-        )
+        d2 = G.squared_distance_to_edge("_px", "_py", "e")
+        best = F.expr(f"array_min(transform(near, e -> named_struct('d2', {d2}, 'area', e.area)))")
         found = found.withColumn("_best", best)
         final = F.lit(True) if level == len(sizes) - 1 else F.col("_best.d2") <= gap + F.lit(size * size)
         points = found.withColumn(
@@ -271,7 +257,9 @@ def _nearest_by_descent(points: DataFrame, edges: DataFrame, key: str, extent: E
 
     homed = homed.withColumn("cx", cells_of(F.least("x1", "x2"), F.greatest("x1", "x2"), extent.cell_x))
     homed = homed.withColumn("cy", cells_of(F.least("y1", "y2"), F.greatest("y1", "y2"), extent.cell_y))
-    homed = stage_table(homed.select("home", "cx", "cy", F.col(key).alias("area"), *_edge_columns()), "home-edges")
+    homed = stage_table(
+        homed.select("home", "cx", "cy", F.col(key).alias("area"), _edge_struct().alias("edge")), "home-edges"
+    )
     levels = [r[0] for r in homed.select("home").distinct().collect()]
     occupied = homed.select("home", "cx", "cy").distinct()
     nodes = occupied.select(
@@ -294,10 +282,8 @@ def _nearest_by_descent(points: DataFrame, edges: DataFrame, key: str, extent: E
     for level in range(max(levels) + 1):
         here = homed.filter(F.col("home") == level).drop("home")
         measured = front.join(here, ["cx", "cy"]).join(best.select("_pid", "_px", "_py"), "_pid")
-        edge = F.struct(*_edge_columns())
-        nearest = measured.groupBy("_pid").agg(
-            F.min(F.struct(G.squared_distance_to_edge(px, py, edge).alias("d2"), "area")).alias("_new")
-        )
+        d2 = F.expr(G.squared_distance_to_edge("_px", "_py", "edge"))
+        nearest = measured.groupBy("_pid").agg(F.min(F.struct(d2.alias("d2"), "area")).alias("_new"))
         old = F.struct("d2", "area")
         merged = best.join(nearest, "_pid", "left").withColumn(
             "_low", F.when(F.col("_new").isNotNull() & (F.col("_new") < old), F.col("_new")).otherwise(old)

@@ -88,7 +88,7 @@ def main() -> int:
             problem = compare(df, con, sql) if sql else None
             note = "ok" if sql else f"rows {df.count()}"
         except Exception as e:  # noqa: BLE001 - a report lists every failure
-            problem = f"{type(e).__name__}: {str(e)[:1500]}"
+            problem = f"{type(e).__name__}: {str(e)[:500]}"
         failed += problem is not None
         print(f"{'FAIL' if problem else note:8} {time.time() - start:6.2f}s {name} {problem or ''}", flush=True)
     print(f"{failed} failed")
