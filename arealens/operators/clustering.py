@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -26,6 +28,7 @@ from arealens.session import stage_table
 STD_FLOOR = 1e-8
 SILHOUETTE_BLOCK = 1024
 BROADCAST_VALUES = 4_000_000
+SWEEP_PARALLELISM = 4
 
 
 def feature_set(df: DataFrame, requested: Sequence[str]) -> list[str]:
@@ -256,7 +259,10 @@ def k_sweep(
     ks = list(range(2, min(max_k, n - 1) + 1))
     if not ks:
         raise ValueError(f"{n} rows are too few to sweep k")
-    centres = {k: kmeans(points, vector, k, seed)[0] for k in ks}
+    # The fits are independent; a few at a time keep the cluster busy through their small steps.
+    with ThreadPool(min(SWEEP_PARALLELISM, len(ks))) as pool:
+        fitted = pool.map(inheritable_thread_target(points.sparkSession)(lambda k: kmeans(points, vector, k, seed)[0]), ks)
+    centres = dict(zip(ks, fitted))
     labelled = points
     for k in ks:
         labelled = labelled.withColumn(f"_n{k}", nearest_centroid(vector, centres[k]))

@@ -144,7 +144,7 @@ def _scores_per_query(vectors: DataFrame, queries: DataFrame, key: str, vector:
         pairs = F.arrays_zip(names.alias("query"), F.col("_sims").alias("sim"))
         scored = vectors.filter(F.col(vector).isNotNull()).select(key, sims.alias("_sims"))
         scored = scored.select(key, F.explode(pairs).alias("_p"))
-        parts.append(scored.select(key, F.col("_p")["0"].alias("query"), F.col("_p")["1"].alias("semantic_similarity")))
+        parts.append(scored.select(key, "_p.query", F.col("_p.sim").alias("semantic_similarity")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
