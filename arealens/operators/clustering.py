@@ -168,11 +168,9 @@ def silhouette_exact(
         return df.sparkSession.createDataFrame([], "labels string, silhouette double")
     ks = [int(t) + 1 for t in tops]
     blocks = math.ceil(n / block_rows)
-    sizes = {
-        name: [rows_in.get(i, 0) for i in range(k)]
-        for name, k in zip(labels, ks)
-        for rows_in in [{r[0]: r[1] for r in rows.groupBy(name).count().collect()}]
-    }
+    long = rows.select(*labels).unpivot([], list(labels), "name", "cluster")
+    found = {(r["name"], r["cluster"]): r["count"] for r in long.groupBy("name", "cluster").count().collect()}
+    sizes = {name: [found.get((name, i), 0) for i in range(k)] for name, k in zip(labels, ks)}
     block = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
     item = F.struct("k", "v", F.array(*[F.col(c).cast("int") for c in labels]).alias("c"))
     packed = rows.groupBy(block.alias("b")).agg(F.collect_list(item).alias("items"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arealens import presets
@@ -16,11 +17,18 @@ ROW = "_row"
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Numbers rows by scan partition and position, the order "first row" refers to.
+    """Numbers the rows of a scan by file name and position, the order "first row" refers to.
 
-    Apply it directly to a scan: its partitions are fixed, so a recomputed task numbers alike.
+    Apply it directly to a scan: its partitions are fixed, so a recomputed task numbers alike. A
+    table that is not read from files is numbered by partition and position.
     """
-    return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
+    if ROW in df.columns:
+        return df
+    position = F.monotonically_increasing_id().alias("at")
+    try:
+        return df.withColumn(ROW, F.struct(F.col("_metadata.file_path").alias("file"), position))
+    except AnalysisException:
+        return df.withColumn(ROW, F.struct(F.lit("").alias("file"), position))
 
 
 def _coordinates(df: DataFrame) -> tuple[Column, Column]:

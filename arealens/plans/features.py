@@ -142,10 +142,13 @@ def build_feature_table(
     vintage: int | None = None,
     project: SP.Projection = G.lambert_conformal,
     to_km2: float = presets.SQUARE_FEET_TO_KM2,
+    polygon_lines: bool = False,
+    pedestrian_year: int | None = None,
 ) -> dict[str, DataFrame]:
     """Raw files to the feature table. With ``vintage`` the feeds are cut to that year: pedestrian
-    periods of exactly that year, filings and incidents up to it, incidents counted by row."""
-    year = vintage or presets.CURRENT_PERIOD_YEAR
+    periods of exactly that year (or of ``pedestrian_year``), filings and incidents up to it,
+    incidents counted by row."""
+    year = pedestrian_year or vintage or presets.CURRENT_PERIOD_YEAR
     index = C.clean_health_index(scan_csv(spark, index_path, encoding="ISO-8859-1")) if index_path else None
     parts = {
         "pedestrian": C.clean_pedestrian(scan_csv(spark, pedestrian_path), year),
@@ -156,7 +159,7 @@ def build_feature_table(
     }
     staged = {name: df if df is None else stage_table(df, name) for name, df in parts.items()}
     tables = assemble(
-        scan_polygons(spark, polygons_path).drop("geometry"),
+        scan_polygons(spark, polygons_path, lines=polygon_lines).drop("geometry"),
         **staged,
         project=project,
         to_km2=to_km2,
@@ -170,6 +173,6 @@ def build_feature_table(
     return tables
 
 
-def build_vintage(spark: SparkSession, year: int, **paths: str) -> dict[str, DataFrame]:
+def build_vintage(spark: SparkSession, year: int, **options) -> dict[str, DataFrame]:
     """The feature table as it would have looked with data up to ``year``."""
-    return build_feature_table(spark, vintage=year, **paths)
+    return build_feature_table(spark, vintage=year, **options)

@@ -10,14 +10,21 @@ from arealens import presets
 
 
 def scan_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str = "UTF-8"
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    encoding: str = "UTF-8",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Headed CSV. Without a schema every column is text, so nothing is scanned to infer types."""
+    """Headed CSV. Without a schema every column is text, so nothing is scanned to infer types.
+
+    ``multi_line`` accepts line breaks inside quoted values, at the price of one task per file.
+    """
     reader = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("encoding", encoding)
     )
     return reader.schema(schema).csv(path) if schema is not None else reader.csv(path, inferSchema=False)

@@ -101,8 +101,8 @@ cases AS (SELECT user_id AS p_partkey, count(DISTINCT event_id) AS shooting_inci
 prof AS (
   SELECT p_size, CASE WHEN p_size % 5 <> 0 THEN floor(sum(p_retailprice)) END AS construction_jobs,
          sum(p_retailprice) * 3 AS nfh_median_income,
-         CASE WHEN p_size % 5 <> 0 THEN count(*) * 10.0 END AS pop_black, count(*) * 20.0 AS pop_hispanic,
-         CAST(count(*) AS DOUBLE) AS pop_asian, count(*) * 31.0 AS total_population_proxy,
+         CASE WHEN p_size % 5 <> 0 THEN count(*) * 10.0::DOUBLE END AS pop_black, count(*) * 20.0::DOUBLE AS pop_hispanic,
+         CAST(count(*) AS DOUBLE) AS pop_asian, count(*) * 31.0::DOUBLE AS total_population_proxy,
          count(*) / 7.0 AS nfh_overall_score,
          CASE WHEN p_size % 5 <> 0 THEN CAST(count(*) AS DOUBLE) END AS pct_bachelors_plus
   FROM part WHERE p_size % 7 <> 0 GROUP BY p_size),
