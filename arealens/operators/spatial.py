@@ -272,10 +272,9 @@ def _nearest_by_descent(points: DataFrame, edges: DataFrame, key: str, extent: E
 
     points = cut_lineage(points).withColumn("_pid", F.monotonically_increasing_id())
     open_points = points.filter(F.col("_area").isNull() & F.col("_px").isNotNull() & F.col("_py").isNotNull())
-    best = cut_lineage(
-        open_points.select(
-            "_pid", "_px", "_py", F.lit(float("inf")).alias("d2"), F.lit(None).cast(edges.schema[key].dataType).alias("area")
-        )
+    unknown = F.lit(None).cast(edges.schema[key].dataType)
+    best = stage_table(
+        open_points.select("_pid", "_px", "_py", F.lit(float("inf")).alias("d2"), unknown.alias("area")), "best"
     )
     front = best.select("_pid", F.lit(0).alias("cx"), F.lit(0).alias("cy"))
     px, py = F.col("_px"), F.col("_py")
@@ -288,7 +287,8 @@ def _nearest_by_descent(points: DataFrame, edges: DataFrame, key: str, extent: E
         merged = best.join(nearest, "_pid", "left").withColumn(
             "_low", F.when(F.col("_new").isNotNull() & (F.col("_new") < old), F.col("_new")).otherwise(old)
         )
-        best = cut_lineage(merged.select("_pid", "_px", "_py", "_low.d2", "_low.area"))
+        # Written rather than checkpointed: a checkpoint keeps the plan's constraints, which pile up by round.
+        best = stage_table(merged.select("_pid", "_px", "_py", "_low.d2", "_low.area"), f"best-{level}")
         if level == max(levels):
             break
         child = extent.side / 2 ** (level + 1)
@@ -319,7 +319,9 @@ def _nearest_by_descent(points: DataFrame, edges: DataFrame, key: str, extent: E
         alive = alive.withColumns({"_near2": nx * nx + ny * ny, "_far2": fx * fx + fy * fy})
         limit = F.min(F.least("_far2", "d2")).over(W.partitionBy("_pid"))
         alive = alive.withColumn("_limit", limit).filter(F.col("_near2") <= F.col("_limit"))
-        front = cut_lineage(alive.select("_pid", "cx", "cy"))
+        front = stage_table(alive.select("_pid", "cx", "cy"), f"front-{level + 1}")
+        if front.isEmpty():
+            break
     found = best.select("_pid", F.col("area").alias("_found"))
     return (
         points.join(found, "_pid", "left")
