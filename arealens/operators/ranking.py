@@ -273,10 +273,10 @@ def rank_stability(
     both = cut_lineage(left.join(right, [*by, *key]))
     ranked = rank_average(both, "_x", by, "_rx", descending=False, small_rows=small_rows)
     ranked = rank_average(ranked, "_y", by, "_ry", descending=False, small_rows=small_rows)
-    # corr() of a constant side is a division by zero; such a query has no Spearman value.
-    varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
+    # A constant side has no correlation; corr() would fail on its zero deviation.
+    spread = F.stddev_pop("_rx") * F.stddev_pop("_ry")
     spearman = ranked.groupBy(*by).agg(
-        F.count("*").alias("n_overlap"), F.when(varied, F.corr("_rx", "_ry")).alias("spearman_r")
+        F.count("*").alias("n_overlap"), F.try_divide(F.covar_pop("_rx", "_ry"), spread).alias("spearman_r")
     )
     return spearman.join(kendall_tau(both, by, "_x", "_y", key, block, small_rows), by)
 
