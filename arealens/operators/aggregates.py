@@ -49,9 +49,13 @@ def incident_features(
 
 
 def category_counts(df: DataFrame, keys: Sequence[str], category: Column | str) -> DataFrame:
-    """Long form: rows per area and category column; labels sharing a slug add up."""
-    slug = S.category_slug(category).alias("category")
-    return df.groupBy(*keys, slug).agg(F.count("*").alias("n"))
+    """Long form: rows per area and category column; labels sharing a slug add up.
+
+    Rows are counted by their raw label first, so the slug is derived once per area and label.
+    """
+    label = F.col(category) if isinstance(category, str) else category
+    counts = df.groupBy(*keys, label.alias("_label")).agg(F.count("*").alias("_n"))
+    return counts.groupBy(*keys, S.category_slug("_label").alias("category")).agg(F.sum("_n").alias("n"))
 
 
 def category_values(counts: DataFrame, category: str = "category") -> list[str]:

@@ -143,6 +143,16 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("d2").alias("inertia"))
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances between two blocks of rows, from direct differences."""
+    if a.shape[1] > 16:
+        return np.stack([np.sqrt(((b - row) ** 2).sum(axis=1)) for row in a])
+    squared = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        squared += (a[:, j, None] - b[None, :, j]) ** 2
+    return np.sqrt(squared)
+
+
 def silhouette_exact(
     df: DataFrame,
     key: str,
@@ -182,10 +192,19 @@ def silhouette_exact(
         ]
 
     packed = stage_table(packed, "silhouette-blocks")
-    left = packed.select(F.transform("items", lambda i: i.getField("k")).alias("k"), *fields("l"),
-                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    left = packed.select(
+        F.transform("items", lambda i: i.getField("k")).alias("k"),
+        *fields("l"),
+        F.col("b").alias("own"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"),
+    )
     right = packed.select("b", *fields("r"))
-    right = F.broadcast(right) if n * (width or 1) <= broadcast_values else right
+    # Block pairs are few rows of heavy work, so their number of tasks is set by count, not by bytes.
+    tasks = min(blocks * blocks, 4 * df.sparkSession.sparkContext.defaultParallelism + blocks)
+    if n * (width or 1) <= broadcast_values:
+        left, right = left.repartition(tasks, "own", "b"), F.broadcast(right)
+    else:
+        left, right = left.repartition(tasks, "b"), right.repartition(tasks, "b")
     n_labels, starts = len(ks), np.concatenate([[0], np.cumsum(ks)]).astype(int)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,9 +216,7 @@ def silhouette_exact(
                 member = np.zeros((len(there), starts[-1]))
                 for j in range(n_labels):
                     member[np.arange(len(there)), starts[j] + clusters[:, j]] = 1.0
-                totals = np.empty((len(here), starts[-1]))
-                for i, point in enumerate(here):
-                    totals[i] = np.sqrt(((there - point) ** 2).sum(axis=1)) @ member
+                totals = _distances(here, there) @ member
                 yield pd.DataFrame({
                     "k": r.k,
                     "c": list(np.asarray(r.lc).reshape(-1, n_labels)),

@@ -212,7 +212,8 @@ def _nearest_by_levels(
     cx = F.greatest(F.lit(extent.minx), F.least(F.lit(extent.maxx), px))
     cy = F.greatest(F.lit(extent.miny), F.least(F.lit(extent.maxy), py))
     gap = (px - cx) * (px - cx) + (py - cy) * (py - cy)
-    divisions = min(max(math.isqrt(n_edges), 4), 256)
+    # Small first cells keep the list of candidates short; the few points they cannot settle move on.
+    divisions = min(max(4 * math.isqrt(n_edges), 4), 2048)
     sizes, size = [], extent.side / divisions
     while size < extent.side:
         sizes.append(size)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from arealens import presets
 from arealens.functions.predicates import stage_counts
 from arealens.operators import aggregates as A
+from arealens.session import stage_table
 from checks.base import check, r6, s6
 from checks.derived import AREA_SQL, COUNT_COLUMNS, SHARE_COLUMNS, area_table
 
@@ -77,7 +78,8 @@ _PIVOT = ", ".join(
 
 @check("e4_category_pivot", f"SELECT l_partkey, count(*) AS storefront_filing_count, {_PIVOT} FROM lineitem GROUP BY 1")
 def e4_pivot(t):
-    counts = A.category_counts(t("lineitem"), ["l_partkey"], F.concat("l_returnflag", F.lit(" & "), "l_linestatus"))
+    label = F.concat("l_returnflag", F.lit(" & "), "l_linestatus")
+    counts = stage_table(A.category_counts(t("lineitem"), ["l_partkey"], label), "counts")
     return A.category_pivot(counts, ["l_partkey"], A.category_values(counts))
 
 
