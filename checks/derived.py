@@ -36,12 +36,12 @@ def area_points(t) -> DataFrame:
 
 
 def area_profiles(t) -> DataFrame:
-    """Attributes per code with gaps: no row for every seventh code, no value for every fifth."""
+    """Attributes per code with gaps: no row for the largest sizes, no value for every fifth."""
     prefix = F.element_at(F.array(*[F.lit(p) for p in PREFIXES]), F.col("p_size") % 5 + 1)
     gap = F.col("p_size") % 5 == 0
     return (
         t("part")
-        .filter(F.col("p_size") % 7 != 0)
+        .filter(F.col("p_size") <= 43)
         .groupBy(F.concat(prefix, F.lit(" Community District "), "p_size").alias("cd"), "p_size")
         .agg(F.sum("p_retailprice").alias("v"), F.count("*").cast("double").alias("n"))
         .select(
@@ -105,7 +105,7 @@ prof AS (
          CAST(count(*) AS DOUBLE) AS pop_asian, count(*) * 31.0::DOUBLE AS total_population_proxy,
          count(*) / 7.0 AS nfh_overall_score,
          CASE WHEN p_size % 5 <> 0 THEN CAST(count(*) AS DOUBLE) END AS pct_bachelors_plus
-  FROM part WHERE p_size % 7 <> 0 GROUP BY p_size),
+  FROM part WHERE p_size <= 43 GROUP BY p_size),
 raw AS (
   SELECT a.*, t.* EXCLUDE (p_partkey), c.shooting_incident_count, r.* EXCLUDE (p_size)
   FROM area a LEFT JOIN pts t USING (p_partkey) LEFT JOIN cases c USING (p_partkey)

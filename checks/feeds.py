@@ -157,7 +157,7 @@ def _codes(t):
 def index_csv(t) -> str:
     goals = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(i).alias("i")) for i, g in enumerate([*presets.INDEX_GOALS, "Else"])]))
     n = F.col("n")
-    raw = _codes(t).filter("p_size % 6 <> 0").select("*", goals.alias("goal")).select(
+    raw = _codes(t).filter("p_size <= 42").select("*", goals.alias("goal")).select(
         F.concat("prefix", F.lit(" Community Districts "), "p_size", F.lit(" & 77")).alias("CD"),
         F.concat(F.lit("$"), F.format_number(n * 1000, 0)).alias("Median_Income"),
         F.concat(n, F.lit("%")).alias("NYC_Poverty_Rate"),
@@ -181,7 +181,7 @@ idx AS (SELECT cd, n * 1000 AS nfh_median_income, n AS nfh_poverty_rate, n AS nf
     n + 2 AS nfh_pct_hispanic, """ + ", ".join(
     (f"CASE WHEN p_size % 2 = 0 THEN n / 8 + {i} END" if i == 3 else f"n / 8 + {i}") + f" AS {name}_score, CAST({i} + p_size AS DOUBLE) AS {name}_rank"
     for i, name in enumerate(presets.INDEX_GOALS.values())
-) + " FROM per WHERE p_size % 6 <> 0)"
+) + " FROM per WHERE p_size <= 42)"
 
 
 def profiles_csv(t) -> str:
