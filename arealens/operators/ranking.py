@@ -145,6 +145,8 @@ def _scores_per_query(vectors: DataFrame, queries: DataFrame, key: str, vector:
         scored = vectors.filter(F.col(vector).isNotNull()).select(key, sims.alias("_sims"))
         scored = scored.select(key, F.explode(pairs).alias("_p"))
         parts.append(scored.select(key, "_p.query", F.col("_p.sim").alias("semantic_similarity")))
+    if not parts:
+        raise ValueError("no queries to rank for")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
