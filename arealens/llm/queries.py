@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arealens.llm import licenses, mixing, syncmers, tokens, warc
+from arealens.llm import licenses, mixing, substring, syncmers, tokens, warc
 from arealens.session import scratch_path
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -110,3 +110,23 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return syncmers.edit_resilience(table(spark, folder, "documents"))
+
+
+WINDOW_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, words, len(words) AS n, unnest(range(1, len(words) - 11)) AS i FROM w),
+h AS (SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS s FROM p),
+m AS (SELECT s, min(doc_id) AS first FROM h GROUP BY s),
+r AS (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM h JOIN m USING (s) WHERE doc_id > first),
+g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM r GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(words, lambda x, k: NOT coalesce(list_contains(gone, k), false)), ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op2_substring_dedup", WINDOW_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 13 words that start in an earlier document, removed."""
+    cut = substring.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
