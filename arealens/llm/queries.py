@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arealens.llm import licenses, mixing, substring, syncmers, tokens, warc
+from arealens.llm import licenses, minhash, mixing, substring, syncmers, tokens, warc
 from arealens.session import scratch_path
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -130,3 +130,26 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of 13 words that start in an earlier document, removed."""
     cut = substring.remove_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+),
+p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS near FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.near),
+k AS (SELECT doc_id, min(near) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN k ON k.doc_id = w.doc_id
+"""
+
+
+@query("op7_superminhash", NEAR_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return minhash.near_duplicates(table(spark, folder, "documents"))
