@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arealens.llm import licenses, minhash, mixing, substring, syncmers, tokens, warc
+from arealens.llm import decontam, licenses, minhash, mixing, substring, syncmers, tokens, warc
 from arealens.session import scratch_path
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -153,3 +153,9 @@ FROM w LEFT JOIN n USING (doc_id) JOIN k ON k.doc_id = w.doc_id
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_template_decontam")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, word for word or with other numbers and names."""
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
