@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arealens.llm import decontam, licenses, minhash, mixing, substring, syncmers, tokens, warc
+from arealens.llm import decontam, licenses, minhash, mixing, substring, suffix, syncmers, tokens, warc
 from arealens.session import scratch_path
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -159,3 +159,31 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, word for word or with other numbers and names."""
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+BYTES_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d),
+h AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS s FROM p),
+m AS (SELECT s FROM h GROUP BY s HAVING count(*) > 1),
+f AS (SELECT doc_id, i FROM h SEMI JOIN m USING (s)),
+g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM f),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM n GROUP BY ALL),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM r),
+t AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS e,
+         string_agg(substr(x, (2 * z + 1)::BIGINT, (2 * (a - z))::BIGINT), '' ORDER BY a) AS body
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(body || substr(x, (2 * e + 1)::BIGINT), x))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op4_suffix_dedup", BYTES_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Strings of 400 bytes that occur again, removed."""
+    cut = suffix.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
