@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arealens.llm import decontam, licenses, minhash, mixing, substring, suffix, syncmers, tokens, warc
+from arealens.llm import decontam, licenses, minhash, mixing, quality, substring, suffix, syncmers, tokens, warc
 from arealens.session import scratch_path
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -187,3 +187,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Strings of 400 bytes that occur again, removed."""
     cut = suffix.remove_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_cotrained_quality")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and decision for every document."""
+    docs = table(spark, folder, "documents")
+    scored = quality.classify(docs, table(spark, folder, "labels"))
+    return scored.select("doc_id", "p_content", "p_meta", "score", "keep")
