@@ -78,22 +78,11 @@ def item_windows(benchmark: DataFrame, width: int, literals: int, key: str, text
     return placed.filter(words >= literals).drop("tokens")
 
 
-def contaminated(
+def leaks(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, least: int = LEAST,
     key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """One row per document and benchmark item it leaks: key, item_id, kind, tokens matched, the item's tokens, slots, changed slots.
-
-    A leak is ``least`` template tokens of the item (all, if it has fewer) under matching windows of one diagonal whose slots are
-    consistent: every value of the item stands for one value of the document throughout. ``kind`` is ``verbatim`` if all slots are
-    equal, else ``reparameterised``. Of items that share a template the least key is reported. Only windows with ``literals`` plain
-    words count, so texts made of placeholders match nothing.
-
-    Items of fewer than ``width`` tokens, NULL and empty texts and NULL items match nothing; an empty benchmark leaks nowhere.
-    Repeated rows of one document report once; rows with equal keys and different texts are judged one by one and reported
-    under their key. Other columns are left out. Benchmark windows are broadcast up to ``BROADCAST_WINDOWS`` (counted), else they
-    join by a shuffle on the hash that adaptive execution may split.
-    """
+    """(_id, _sum, item, best): one row per document text and benchmark item it leaks; see ``contaminated``."""
     items = stage_table(item_windows(benchmark, width, literals, item_key, item_text), "benchmark-windows")
     heads = items.select("item", "item_tokens", "item_slots").distinct()
     found = items.select("item", "hash", F.col("pos").alias("item_pos"))
@@ -123,9 +112,28 @@ def contaminated(
     judged = both.withColumn("pairs", pairs).withColumn("kinds", F.array_distinct("pairs"))
     consistent = F.size("kinds") == F.size(F.array_distinct(F.transform("kinds", lambda p: p["own"])))
     changed = F.size(F.filter("pairs", lambda p: ~p["own"].eqNullSafe(p["other"])))
-    judged = judged.filter(consistent).select("_id", "item", "n_tokens", "item_tokens", F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
-    best = judged.groupBy("_id", "item").agg(F.max_by(F.struct("n_tokens", "item_tokens", "n_slots", "n_changed"), F.struct("n_tokens", -F.col("n_changed"), "n_slots")).alias("b"))
-    return best.select(
+    judged = judged.filter(consistent).select("_id", "_sum", "item", "n_tokens", "item_tokens", F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
+    best = F.struct("n_tokens", -F.col("n_changed"), "n_slots")
+    return judged.groupBy("_id", "_sum", "item").agg(F.max_by(F.struct("n_tokens", "item_tokens", "n_slots", "n_changed"), best).alias("best"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", **options) -> DataFrame:
+    """One row per document and benchmark item it leaks: key, item_id, kind, tokens matched, the item's tokens, slots, changed slots.
+
+    A leak is ``least`` template tokens of the item (all, if it has fewer) under matching windows of one diagonal whose slots are
+    consistent: every value of the item stands for one value of the document throughout. ``kind`` is ``verbatim`` if all slots are
+    equal, else ``reparameterised``. Of items that share a template the least key is reported. Only windows with ``literals`` plain
+    words count, so texts made of placeholders match nothing.
+
+    Items of fewer than ``width`` tokens, NULL and empty texts and NULL items match nothing; an empty benchmark leaks nowhere.
+    Repeated rows of one document report once; rows with equal keys and different texts are judged one by one and reported
+    under their key. Other columns are left out. Benchmark windows are broadcast up to ``BROADCAST_WINDOWS`` (counted), else they
+    join by a shuffle on the hash that adaptive execution may split.
+    """
+    found = leaks(docs, benchmark, key=key, item_key=item_key, **options)
+    best = F.struct("best.n_tokens", -F.col("best.n_changed"), "best.n_slots")
+    found = found.groupBy("_id", "item").agg(F.max_by("best", best).alias("b"))
+    return found.select(
         F.col("_id").alias(key),
         F.col("item").alias(item_key),
         F.when(F.col("b.n_changed") == 0, "verbatim").otherwise("reparameterised").alias("kind"),
@@ -134,6 +142,7 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that ``contaminated`` reports; every other row and column stays as it is."""
-    leaks = contaminated(docs, benchmark, key=key, text=text, **options).select(F.col(f"`{key}`").alias("_leak")).distinct()
-    return docs.join(leaks, docs[f"`{key}`"].eqNullSafe(leaks["_leak"]), "left_anti")
+    """``docs`` without the documents that leak an item; every other row and column stays as it is."""
+    found = leaks(docs, benchmark, key=key, text=text, **options).select("_id", F.col("_sum").alias("_leak")).distinct()
+    same = docs[f"`{key}`"].eqNullSafe(found["_id"]) & (F.xxhash64(docs[f"`{text}`"]) == found["_leak"])
+    return docs.join(found, same, "left_anti")

@@ -32,6 +32,7 @@ BANDS, ROWS = 48, 6
 TASK_SHINGLES = 4_000_000
 PIVOTS = 32
 NO_KEY = -(1 << 63)
+REAL_KEY = -(1 << 62)  # rows without a key get numbers below it
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -275,35 +276,34 @@ def link_large(members: DataFrame, size: int, threshold: int, block_shingles: in
         was = stage_table(was.unionByName(chosen), "pivots")
 
 
-def near_duplicates(
+def numbered(docs: DataFrame, key: str, text: str) -> list:
+    """(_id, _sum): the key, or for a NULL key a number below all keys that depends on the text, and the text's hash."""
+    body = F.xxhash64(F.col(f"`{text}`"))
+    none = F.lit(NO_KEY) + F.shiftrightunsigned(body, 2)
+    return [F.coalesce(F.col(f"`{key}`").cast("long"), none).alias("_id"), body.alias("_sum")]
+
+
+def classes(
     docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
     task_shingles: int = TASK_SHINGLES, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """key, n_shingles, component_id (least key reachable by links) and kept (key = component_id), one row per row.
-
-    Two documents are linked at 100 * intersection >= threshold * union of their shingle sets. With 48 bands of 6 rows a
-    link of exactly 0.75 shares no band once in about 12,000 cases, one of 0.8 once in 10**6; a component is lost only if
-    all paths are. NULL, empty and blank texts have no shingles and no links. Equal sets are always linked. Rows with
-    equal keys are one document; a NULL key is smaller than any other. Other columns are left out.
-    """
-    plain = docs.select(
-        F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY)).alias("_id"),
-        F.xxhash64(F.col(f"`{text}`")).alias("_sum"),
-        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"),
-    )
+    """(_id, _sum, n_shingles, _component) of every row; see ``near_duplicates``."""
+    plain = docs.select(*numbered(docs, key, text), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     signed = stage_table(signatures(plain, size, bands, rows), "signatures")
     sets = signed.filter("set_key is not null")
     # of equal sets the least document stands for all
     nodes = stage_table(
-        sets.groupBy("set_key").agg(F.min("_id").alias("node"), F.min_by("_sum", "_id").alias("_sum"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
+        sets.groupBy("set_key").agg(
+            F.min("_id").alias("node"), F.min_by("_sum", F.struct("_id", "_sum")).alias("_sum"),
+            F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
+        ),
         "nodes",
     )
     groups = stage_table(connected_components(candidate_links(nodes)), "candidates")
     members = nodes.select("node", "_sum", "n_shingles").join(groups, "node")
     weight = members.groupBy("component").agg(F.sum("n_shingles").alias("weight"))
     members = members.join(weight, "component")
-    texts = plain.withColumnRenamed("_id", "node")
-    members = texts.join(members, ["node", "_sum"]).dropDuplicates(["node", "_sum"])
+    members = plain.withColumnRenamed("_id", "node").join(members, ["node", "_sum"]).dropDuplicates(["node", "_sum"])
     members = stage_table(members.select("component", "node", "n_shingles", "weight", "_text"), "members")
     fits = F.col("weight") <= task_shingles
     n = partitions(docs)
@@ -311,13 +311,34 @@ def near_duplicates(
     links = link_components(whole, size, threshold)
     large = members.filter(~fits)
     if not large.isEmpty():
-        links = links.unionByName(link_large(large.drop("weight"), size, threshold, task_shingles // 4))
+        links = links.unionByName(link_large(large.drop("weight"), size, threshold, max(1, task_shingles // 4)))
     linked = connected_components(links).withColumnRenamed("component", "_component")
     reached = nodes.select("set_key", "node").join(linked, "node", "left")
     reached = reached.select("set_key", F.coalesce("_component", "node").alias("_component"))
-    out = signed.select("_id", "n_shingles", "set_key").join(reached, "set_key", "left")
-    component = F.coalesce("_component", "_id")
-    named = lambda c: F.when(c != NO_KEY, c).cast(docs.schema[key].dataType)
-    return out.select(
-        named(F.col("_id")).alias(key), "n_shingles", named(component).alias("component_id"), (F.col("_id") == component).alias("kept")
+    out = signed.select("_id", "_sum", "n_shingles", "set_key").join(reached, "set_key", "left")
+    return out.select("_id", "_sum", "n_shingles", F.coalesce("_component", "_id").alias("_component"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key, n_shingles, component_id (least key reachable by links) and kept (key = component_id), one row per row.
+
+    Two documents are linked at 100 * intersection >= threshold * union of their shingle sets. With 48 bands of 6 rows a
+    link of exactly 0.75 shares no band once in about 12,000 cases, one of 0.8 once in 10**6; a component is lost only if
+    all paths are. NULL, empty and blank texts have no shingles and no links. Equal sets are always linked. Rows with
+    equal keys are one document; rows without a key are documents of their own, smaller than any other, and report NULL.
+    Keys are whole numbers above -2**62. Other columns are left out; ``options`` are those of ``classes``.
+    """
+    kind = docs.schema[key].dataType
+    named = lambda c: F.when(F.col(c) >= REAL_KEY, F.col(c)).cast(kind)
+    found = classes(docs, key=key, text=text, **options)
+    return found.select(
+        named("_id").alias(key), "n_shingles", named("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Rows of ``docs``, all columns: of every component the document with the least key, and of repeated rows one."""
+    first = classes(docs, key=key, text=text, **options).filter("_id = _component")
+    first = first.groupBy("_id").agg(F.min("_sum").alias("_sum"))
+    rows = docs.select("*", *numbered(docs, key, text))
+    return rows.join(first, ["_id", "_sum"], "left_semi").dropDuplicates(["_id", "_sum"]).drop("_id", "_sum")

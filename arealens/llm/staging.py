@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arealens.session import stage_table
 
-__all__ = ["partitions", "stage_table", "with_columns_kept"]
+__all__ = ["partitions", "shielded", "stage_table"]
 
 
 def partitions(df: DataFrame, factor: int = 1) -> int:
@@ -14,6 +14,17 @@ def partitions(df: DataFrame, factor: int = 1) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * factor
 
 
-def with_columns_kept(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the named columns, whatever else the table holds."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def shielded(stage):
+    """Runs a stage on columns renamed by position, so that no name in ``docs`` can clash with names a stage adds.
+
+    The stage gets the table and a function from a column's own name to its name inside; it returns the inside columns,
+    which get their own names back.
+    """
+
+    def run(docs: DataFrame) -> DataFrame:
+        own = docs.columns
+        inside = {c: f"_in{i}" for i, c in enumerate(own)}
+        out = stage(docs.toDF(*inside.values()), inside.__getitem__)
+        return out.select(*[F.col(i).alias(c) for c, i in inside.items()])
+
+    return run
