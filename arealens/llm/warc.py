@@ -27,6 +27,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 8 << 20
+# Fields that every record must have.
+MANDATORY = {"warc-record-id", "warc-date", "warc-type", "content-length"}
 STEP = 1 << 16
 RECORD_SCHEMA = (
     "kind string, path string, start long, end long, reason string, record_id string, record_type string, uri string,"
@@ -162,8 +164,8 @@ def parse_record(data: memoryview | bytes, at: int = 0) -> tuple[dict, int]:
             raise ValueError("header line without a name")
         fields[name.strip().lower()] = value.strip()
     length = fields.get("content-length", "")
-    if not length.isdigit() or "warc-type" not in fields:
-        raise ValueError("header without type or length")
+    if not length.isdigit() or not MANDATORY <= fields.keys():
+        raise ValueError("header without a mandatory field")
     start = at + stop + 4
     end = start + int(length)
     if bytes(data[end : end + 4]) != b"\r\n\r\n":
