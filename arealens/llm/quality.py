@@ -96,33 +96,47 @@ def fit_logistic(matvec, rmatvec, n_features: int, y: np.ndarray, weight: np.nda
     return w, b
 
 
+PAIRS = 1 << 20
+
+
 class Sample:
-    """Features of the bounded sample on the driver."""
+    """Features of the bounded sample on the driver: slots of row i are ``slots[edge[i]:edge[i + 1]]``, distinct per row."""
 
-    def __init__(self, rows: np.ndarray, slots: np.ndarray, meta: np.ndarray):
+    def __init__(self, slots: list[np.ndarray], meta: np.ndarray):
         self.n, self.meta = len(meta), meta
-        pair = np.unique(rows * SLOTS + slots)
-        self.rows, self.slots = pair // SLOTS, pair % SLOTS
+        self.edge = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64)
+        self.slots = np.concatenate(slots).astype(np.int32) if slots else np.zeros(0, np.int32)
+
+    def parts(self, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(position in ``index``, slot) pairs of some rows, about PAIRS at a time."""
+        counts = np.diff(self.edge)[index]
+        ends = np.cumsum(counts)
+        lo = 0
+        while lo < len(index):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - counts[lo] + PAIRS, "right")))
+            own = index[lo:hi]
+            slots = np.concatenate([self.slots[self.edge[i] : self.edge[i + 1]] for i in own.tolist()])
+            yield np.repeat(np.arange(lo, hi, dtype=np.int32), counts[lo:hi]), slots
+            lo = hi
 
 
 class ContentView:
     """Logistic regression over the presence of lexicon slots."""
 
     def __init__(self, sample: Sample, index: np.ndarray, y: np.ndarray):
-        own = np.full(sample.n, -1)
-        own[index] = np.arange(len(index))
-        inside = own[sample.rows] >= 0
-        rows, slots = own[sample.rows[inside]], sample.slots[inside]
-        good = np.bincount(slots, y[rows], SLOTS)
-        seen = np.bincount(slots, minlength=SLOTS)
+        good, seen = np.zeros(SLOTS), np.zeros(SLOTS)
+        for rows, slots in sample.parts(index):
+            good += np.bincount(slots, y[rows], SLOTS)
+            seen += np.bincount(slots, minlength=SLOTS)
         base = y.mean()
         # distance of a slot's class share from the base rate, in standard errors
         z = np.abs(good - seen * base) / np.sqrt(np.maximum(seen, 1) * max(base * (1 - base), 1e-9))
         lexicon = np.sort(np.argsort(-np.where(seen >= 3, z, 0), kind="stable")[:LEXICON])
-        place = np.full(SLOTS, -1)
+        place = np.full(SLOTS, -1, np.int32)
         place[lexicon] = np.arange(len(lexicon))
-        known = place[slots] >= 0
-        r, c, n = rows[known], place[slots[known]], len(index)
+        kept = [(rows[known], place[slots[known]]) for rows, slots in sample.parts(index) for known in (place[slots] >= 0,)]
+        r, c = (np.concatenate(x) for x in zip(*kept))
+        n = len(index)
         w, b = fit_logistic(
             lambda w: np.bincount(r, w[c], n), lambda e: np.bincount(c, e[r], len(lexicon)), len(lexicon), y, np.ones(n), 1e-5
         )
@@ -133,6 +147,10 @@ class ContentView:
         """Margins of n rows from slots that are distinct per row."""
         return np.bincount(rows, self.weights[slots], n) + self.bias
 
+    def margins(self, sample: Sample) -> np.ndarray:
+        every = np.arange(sample.n)
+        return sum(self.margin(rows, slots, sample.n) - self.bias for rows, slots in sample.parts(every)) + self.bias
+
 
 class MetadataView:
     """Logistic regression over standardised metadata."""
@@ -196,7 +214,7 @@ def co_train(sample: Sample, y: np.ndarray, rounds: int = ROUNDS, confident: int
         return ContentView(sample, index, target) if which == "content" else MetadataView(sample.meta[index], target)
 
     def margins(view):
-        return view.margin(sample.rows, sample.slots, sample.n) if isinstance(view, ContentView) else view.margin(sample.meta)
+        return view.margins(sample) if isinstance(view, ContentView) else view.margin(sample.meta)
 
     views = {k: fit(k) for k in own}
     taken = {k: np.zeros(sample.n, bool) for k in own}
@@ -281,9 +299,9 @@ def train(
         return None
     slots = [np.frombuffer(s, "<i4") for s in taken.column("slots").to_pylist()]
     meta = np.stack([np.frombuffer(m, "<f4") for m in taken.column("meta").to_pylist()])
-    at = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    sample = Sample(at, np.concatenate(slots).astype(np.int64), meta)
-    return co_train(sample, taken.column("_y").to_numpy(), rounds)
+    y = taken.column("_y").to_numpy()
+    del taken
+    return co_train(Sample(slots, meta), y, rounds)
 
 
 def score(docs: DataFrame, model: CoTrained | None, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

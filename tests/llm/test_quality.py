@@ -53,12 +53,12 @@ def test_pseudo_labels_teach_the_other_view():
     y = rng.integers(0, 2, n)
     meta = np.stack([y + rng.normal(0, 0.05, n), rng.normal(0, 1, n)], axis=1).astype(np.float32)
     slots = np.where(rng.random((n, 6)) < 0.9, y[:, None] * 100, (1 - y[:, None]) * 100) + rng.integers(0, 60, (n, 6))
-    sample = quality.Sample(np.repeat(np.arange(n), 6), slots.ravel().astype(np.int64), meta)
+    sample = quality.Sample([np.unique(x) for x in slots], meta)
     given = np.where(np.arange(n) < 40, y, -1)
     seen = []
     for rounds in (0, 3):
         model = quality.co_train(sample, given, rounds=rounds, confident=300, sure=0.8)
-        margin = model.content.margin(sample.rows, sample.slots, n)
+        margin = model.content.margins(sample)
         seen.append(((margin > 0) == (y > 0))[40:].mean())
     assert seen[1] > seen[0] + 0.02
 
