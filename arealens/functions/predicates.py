@@ -55,7 +55,13 @@ def filter_counts(df: DataFrame, spec: HardFilter) -> DataFrame:
 
 
 def valid_coordinates(lat: str = "latitude", lon: str = "longitude") -> Column:
-    return F.col(lat).isNotNull() & F.col(lon).isNotNull() & (F.col(lat) != 0) & (F.col(lon) != 0)
+    """Both present, finite and not 0. A NULL, NaN or infinite coordinate is never valid."""
+
+    def valid(c: Column) -> Column:
+        number = c.cast("double")
+        return c.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))) & (number != 0)
+
+    return valid(F.col(lat)) & valid(F.col(lon))
 
 
 def not_listed(c: Column | str, values: Iterable[str]) -> Column:

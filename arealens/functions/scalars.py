@@ -308,6 +308,30 @@ def query_slug(c: Column | str) -> Column:
     return F.when(slug == "", "query").otherwise(slug)
 
 
+_SPLIT = 134217729.0  # 2**27 + 1 cuts a double into two halves whose products are exact
+
+
 def half_even(c: Column | str, digits: int = 0) -> Column:
-    """Round half to even, the rounding all numeric texts use."""
-    return F.bround(_col(c).cast("double"), digits)
+    """Rounds the binary value itself, halves to even: 2.675 is a little less than its text and becomes 2.67.
+
+    The value is scaled by a power of ten together with the rounding error of that product (split multiplication), so a tie is
+    recognised exactly; what is not a tie in the product follows the product, what looks like one follows the error.
+    """
+    scale = float(10**digits)
+    scale_high = scale * _SPLIT - (scale * _SPLIT - scale)
+    scale_low = scale - scale_high
+
+    def rounded(x: Column) -> Column:
+        product = x * F.lit(scale)
+        high = x * F.lit(_SPLIT) - (x * F.lit(_SPLIT) - x)
+        low = x - high
+        error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+        whole = F.floor(product).cast("double")
+        over = product - whole - F.lit(0.5)
+        over = F.when(over == 0, error).otherwise(over)
+        up = (over > 0) | ((over == 0) & (F.abs(whole % 2) == 1))
+        inside = F.abs(product) < F.lit(float(1 << 52))
+        return F.when(inside, (whole + up.cast("double")) / F.lit(scale)).otherwise(x)
+
+    # bound once, however often the formula names it
+    return F.get(F.transform(F.array(_col(c).cast("double")), rounded), F.lit(0))

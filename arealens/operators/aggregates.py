@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from arealens import presets
 from arealens.functions import scalars as S
-from arealens.operators.ordering import join_groups, number_within, top_n_per_group
-from arealens.session import SMALL_ROWS, at_most, broadcast_if_small, cut_lineage, stage_table
+from arealens.operators.ordering import join_groups, running_total, top_n_per_group
+from arealens.session import stage_table
 
-MAX_CATEGORIES = 2_000
+HELD_VALUES = 10_000
+MARGIN = 0.002
 
 
 def flow_features(
@@ -60,9 +61,8 @@ def category_counts(df: DataFrame, keys: Sequence[str], category: Column | str)
 
 def category_values(counts: DataFrame, category: str = "category") -> list[str]:
     """Category columns of a long table, for use as fixed pivot values."""
-    found = [r[0] for r in counts.select(category).distinct().limit(MAX_CATEGORIES + 1).collect()]
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories; keep the long form")
+    # they become columns, so every one of them is wanted on the driver
+    found = [r[0] for r in counts.select(category).distinct().collect()]
     return reject_case_twins(sorted(v for v in found if v is not None))
 
 
@@ -143,66 +143,72 @@ def category_shares(df: DataFrame, columns: Sequence[str], total: str = "storefr
 
 
 def exact_quantile(
-    df: DataFrame,
-    by: Sequence[str],
-    columns: Sequence[str],
-    p: float = 0.5,
-    small_rows: int = SMALL_ROWS,
-    small: bool | None = None,
+    df: DataFrame, by: Sequence[str], columns: Sequence[str], p: float | Sequence[float] = 0.5, held: int = HELD_VALUES
 ) -> DataFrame:
-    """Exact interpolated quantile of each column per group (all rows if ``by`` is empty).
+    """Exact interpolated quantiles of each column per group (all rows if ``by`` is empty).
 
-    Small tables use the built-in aggregate, which keeps every distinct value of a group in one
-    task. Beyond that a sketch brackets the quantile closely, values below the bracket collapse to
-    one count, and only the few inside it are counted by value, so no group is ever held whole.
+    One probability gives a column under its own name, several give arrays. A sketch, whose rank error is bounded, brackets every
+    wanted rank; brackets that may hold more than ``held`` values are narrowed by sketches inside them. Then what lies below
+    a bracket collapses to one count and the few values inside are counted by value, so a group is never held whole. A group of
+    up to ``held`` rows is a bracket of its own.
     """
+    one = not isinstance(p, Sequence)
+    ps = [float(x) for x in ([p] if one else p)]
     numbers = [f"nanvl(cast(`{c}` as double), NULL) AS `{c}`" for c in columns]
     values = df.selectExpr(*[f"`{c}`" for c in by], *numbers)
-    if at_most(values, small_rows) if small is None else small:
-        return values.groupBy(*by).agg(*[F.expr(f"percentile(`{c}`, {p}) AS `{c}`") for c in columns])
-
-    long = values.unpivot(list(by), list(columns), "_column", "_v").filter("_v is not null")
-    margin, accuracy = 0.002, 10_000
-    points = F.array(F.lit(max(p - margin, 0.0)), F.lit(min(p + margin, 1.0)))
-    brackets = long.groupBy(*by, "_column").agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", points, accuracy).alias("_b")
-    )
-    brackets = brackets.withColumns(
-        {
-            "_lo": F.when(F.lit(p > margin), F.col("_b")[0]),
-            "_hi": F.when(F.lit(p < 1 - margin), F.col("_b")[1]),
-        }
-    ).drop("_b")
-    brackets = broadcast_if_small(cut_lineage(brackets))
-    inside = join_groups(long, brackets, [*by, "_column"]).filter(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-    below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
-    cells = inside.groupBy(*by, "_column", F.when(~below, F.col("_v")).alias("_v")).agg(
-        F.first("_n").alias("_n"), F.count("*").alias("_k")
-    )
-    through = W.partitionBy(*by, "_column").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    cells = cells.withColumn("_end", F.sum("_k").over(through))
-    place = (F.col("_n") - 1) * F.lit(p)
+    long = stage_table(values.unpivot(list(by), list(columns), "_column", "_v").filter("_v is not null"), "quantiles")
+    cell = [*by, "_column"]
+    around = [F.lit(x) for q in ps for x in (max(q - MARGIN, 0.0), min(q + MARGIN, 1.0))]
+    found = long.groupBy(*cell).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", F.array(*around), 10_000).alias("_b"),
+    )
+    few = F.col("_n") <= held
+    wanted = [
+        F.struct(
+            F.lit(i).alias("_i"), F.lit(q).alias("_p"), F.when(few, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("_lo"),
+            F.when(few, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("_hi"),
+        )
+        for i, q in enumerate(ps)
+    ]
+    brackets = stage_table(found.select(*cell, "_n", F.inline(F.array(*wanted))), "brackets")
+    place = (F.col("_n") - 1) * F.col("_p")
     first, last = F.floor(place), F.ceil(place)
-
-    def holds(index: Column) -> Column:
-        return (F.col("_end") - F.col("_k") <= index) & (index < F.col("_end"))
-
-    # A bracket that misses the wanted rows leaves NULL here and is reported instead of guessed.
-    picked = cells.groupBy(*by, "_column").agg(
-        F.max(F.when(holds(first), F.col("_v"))).alias("_low"),
-        F.max(F.when(holds(last), F.col("_v"))).alias("_high"),
-        F.max(place - first).alias("_part"),
-    )
-    picked = picked.withColumn(
-        "_q",
-        F.when(
-            F.col("_low").isNull() | F.col("_high").isNull(),
-            F.raise_error(F.lit("quantile sketch missed its bracket")).cast("double"),
-        ).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")),
-    )
-    return picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_column") == c, F.col("_q"))).alias(c) for c in columns]
+    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    guess = brackets.filter("_lo < _hi").agg(F.max(F.when(~few, F.col("_n") * (2 * MARGIN)))).first()[0]
+    while (guess or 0) > held:
+        cuts = F.percentile_approx(F.when(inside, F.col("_v")), F.array(*[F.lit(i / 64) for i in range(65)]), 2_000)
+        found = join_groups(long, brackets, cell).groupBy(*cell, "_i", "_n", "_p", "_lo", "_hi").agg(
+            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_inside"), cuts.alias("_cuts")
+        )
+        # one whole cut of room on either side of the wanted ranks, far more than the sketch can be off
+        share = lambda rank: (rank - F.col("_below")) / F.col("_inside") * 64
+        low = F.element_at("_cuts", F.greatest(F.lit(1), F.floor(share(first))).cast("int"))
+        high = F.element_at("_cuts", F.least(F.lit(65), F.ceil(share(last)) + 2).cast("int"))
+        many = F.col("_inside") > held
+        brackets = stage_table(
+            found.select(
+                *cell, "_n", "_i", "_p", F.when(many, low).otherwise(F.col("_lo")).alias("_lo"),
+                F.when(many, high).otherwise(F.col("_hi")).alias("_hi"), (F.col("_inside") / 16).alias("_left"),
+            ),
+            "brackets",
+        )
+        guess = brackets.filter("_lo < _hi").agg(F.max("_left")).first()[0]
+        brackets = brackets.drop("_left")
+    near = join_groups(long, brackets, cell).filter("_v <= _hi")
+    counted = near.groupBy(*cell, "_i", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(
+        F.first("_n").alias("_n"), F.first("_p").alias("_p"), F.count("*").alias("_k")
     )
+    through = W.partitionBy(*cell, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    counted = counted.withColumn("_end", F.sum("_k").over(through))
+    holds = lambda rank: (F.col("_end") - F.col("_k") <= rank) & (rank < F.col("_end"))
+    picked = counted.groupBy(*cell, "_i").agg(
+        F.max(F.when(holds(first), F.col("_v"))).alias("_low"), F.max(F.when(holds(last), F.col("_v"))).alias("_high"),
+        F.max(place - first).alias("_part"),
+    )
+    quantile = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
+    pick = lambda c, i: F.max(F.when((F.col("_column") == c) & (F.col("_i") == i), quantile))
+    return picked.groupBy(*by).agg(*[(pick(c, 0) if one else F.array(*[pick(c, i) for i in range(len(ps))])).alias(c) for c in columns])
 
 
 def impute_hierarchical(
@@ -210,11 +216,9 @@ def impute_hierarchical(
     columns: Sequence[str],
     group: str,
     zero_columns: Sequence[str] = (),
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """NULL → median of the group → median of the column so filled → 0 for ``zero_columns``."""
-    small = at_most(df.select(group), small_rows)
-    medians = exact_quantile(df.filter(F.col(group).isNotNull()), [group], columns, small=small)
+    medians = exact_quantile(df.filter(F.col(group).isNotNull()), [group], columns)
     medians = medians.select(group, *[F.col(c).alias(f"_m_{c}") for c in columns])
     joined = df.join(medians, group, "left")
     filled = joined.selectExpr(
@@ -224,7 +228,7 @@ def impute_hierarchical(
         ]
     )
     filled = stage_table(filled, "group-filled")
-    overall = exact_quantile(filled, [], columns, small=small).select(F.struct(*columns))
+    overall = exact_quantile(filled, [], columns).select(F.struct(*columns))
     # The one-row subquery is a column first, so that it is planned once and not once per use.
     filled = filled.withColumn("_all", overall.scalar())
 
@@ -265,15 +269,16 @@ def distinct_groups(df: DataFrame, group: str) -> DataFrame:
     return df.select(group).filter(F.col(group).isNotNull()).distinct().orderBy(group)
 
 
-def null_audit(df: DataFrame, top: int = 20) -> DataFrame:
+def null_audit(df: DataFrame, top: int | None = None) -> DataFrame:
     """Columns with missing values, most first."""
     cells = [
         F.struct(F.lit(c).alias("column"), F.count_if(F.col(f"`{c}`").isNull()).alias("n_null")) for c in df.columns
     ]
-    return _per_column(df, cells).filter("n_null > 0").orderBy(F.desc("n_null"), "column").limit(top)
+    out = _per_column(df, cells).filter("n_null > 0").orderBy(F.desc("n_null"), "column")
+    return out if top is None else out.limit(top)
 
 
-def describe(df: DataFrame, column: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, standard deviation, extremes and exact quartiles of one column."""
     out = df.agg(
         F.count(column).alias("count"),
@@ -282,12 +287,10 @@ def describe(df: DataFrame, column: str, small_rows: int = SMALL_ROWS) -> DataFr
         F.min(column).alias("min"),
         F.max(column).alias("max"),
     )
-    small = at_most(df.select(column), small_rows)
-    quartiles = {
-        name: exact_quantile(df, [], [column], p, small=small).select(column).scalar()
-        for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
-    }
-    return out.select("count", "mean", "std", "min", *[q.alias(n) for n, q in quartiles.items()], "max")
+    found = exact_quantile(df, [], [column], (0.25, 0.5, 0.75)).select(column).scalar()
+    out = out.withColumn("_q", found)
+    quartiles = [F.col("_q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
+    return out.select("count", "mean", "std", "min", *quartiles, "max")
 
 
 def group_concentration(df: DataFrame, cluster: str, group: str, n: int = 3) -> DataFrame:
@@ -296,49 +299,34 @@ def group_concentration(df: DataFrame, cluster: str, group: str, n: int = 3) ->
     return top_n_per_group(counts, [cluster], [F.desc("members"), group], n)
 
 
-def empirical_percentiles(
-    df: DataFrame, columns: Sequence[str], values: DataFrame, few: int = 10_000, small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def empirical_percentiles(df: DataFrame, columns: Sequence[str], values: DataFrame) -> DataFrame:
     """``round(100 · share of rows at or below value)`` for each (feature, value) asked for.
 
-    ``values`` has the columns feature and value; non-finite values get NULL. Few values become one
-    sorted threshold list per feature: every row counts into a slot of it, combined before the
-    shuffle. Many values are sorted together with the data once instead.
+    ``values`` has the columns feature and value; non-finite values get NULL. Equal values count together first; counts and
+    questions are then sorted together once, and the running count up to a question is its answer.
     """
     finite = ~F.isnan("value") & (F.abs("value") != F.lit(float("inf")))
     wanted = values.select("feature", F.when(finite, F.col("value").cast("double")).alias("value")).distinct()
-    wanted = cut_lineage(wanted)
+    wanted = stage_table(wanted, "asked")
     asked = wanted.filter("value is not null")
     data = df.select(*[S.missing_to_null(F.col(c).cast("double")).alias(c) for c in columns])
     data = data.unpivot([], list(columns), "feature", "_x").filter("_x is not null")
-    if at_most(asked, few):
-        lists = asked.groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("_t"))
-        slot = F.size(F.filter("_t", lambda t: t < F.col("_x")))
-        slots = data.join(F.broadcast(lists), "feature").groupBy("feature", slot.alias("_slot")).agg(
-            F.count("*").alias("_n")
-        )
-        marks = lists.select("feature", F.posexplode("_t").alias("_slot", "value"))
-        total = slots.groupBy("feature").agg(F.sum("_n").alias("_total"))
-        grid = marks.join(slots, ["feature", "_slot"], "left").join(total, "feature")
-        through = W.partitionBy("feature").orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
-        share = 100 * F.sum(F.coalesce("_n", F.lit(0))).over(through) / F.col("_total")
-        found = grid.select("feature", "value", S.half_even(share).cast("int").alias("percentile"))
-    else:
-        both = data.withColumn("_ask", F.lit(0)).unionByName(
-            asked.select("feature", F.col("value").alias("_x"), F.lit(1).alias("_ask"))
-        )
-        placed = number_within(both, ["feature"], ["_x", "_ask"], "_pos", small_rows).filter("_ask = 1")
-        placed = number_within(placed, ["feature"], ["_pos"], "_nth", small_rows)
-        total = data.groupBy("feature").agg(F.count("*").alias("_total"))
-        share = 100 * (F.col("_pos") - F.col("_nth")) / F.col("_total")
-        found = placed.join(total, "feature").select(
-            "feature", F.col("_x").alias("value"), S.half_even(share).cast("int").alias("percentile")
-        )
+    counts = data.groupBy("feature", "_x").agg(F.count("*").alias("_n"))
+    both = counts.withColumn("_ask", F.lit(0)).unionByName(
+        asked.select("feature", F.col("value").alias("_x"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_ask"))
+    )
+    placed = running_total(both, ["feature"], [F.col("_x"), F.col("_ask")], "_n", "_through")
+    placed = stage_table(placed, "placed")
+    total = placed.groupBy("feature").agg(F.max("_through").alias("_total"))
+    # the mean of the comparisons times 100, in this order of operations
+    share = F.lit(100) * (F.col("_through") / F.col("_total"))
+    found = placed.filter("_ask = 1").join(total, "feature").select(
+        "feature", F.col("_x").alias("value"), S.half_even(share).cast("int").alias("percentile")
+    )
     return join_groups(wanted, found, ["feature", "value"], "left").select("feature", "value", "percentile")
 
 
-def empirical_percentile(df: DataFrame, column: str, values: DataFrame, value: str, few: int = 10_000) -> DataFrame:
+def empirical_percentile(df: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
     """Percentiles of one column for the distinct values of ``values[value]``."""
     asked = values.select(F.lit(column).alias("feature"), F.col(value).alias("value"))
-    out = empirical_percentiles(df, [column], asked, few)
-    return out.select(F.col("value").alias(value), "percentile")
+    return empirical_percentiles(df, [column], asked).select(F.col("value").alias(value), "percentile")

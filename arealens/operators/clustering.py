@@ -5,12 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import inheritable_thread_target
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -28,7 +27,7 @@ from arealens.session import stage_table
 STD_FLOOR = 1e-8
 SILHOUETTE_BLOCK = 1024
 BROADCAST_VALUES = 4_000_000
-SWEEP_PARALLELISM = 4
+SEED_ROWS = 2_000
 
 
 def feature_set(df: DataFrame, requested: Sequence[str]) -> list[str]:
@@ -63,23 +62,44 @@ def zscore(df: DataFrame, features: Sequence[str], out: str = "z") -> DataFrame:
     return df.withColumn("_stats", stats).withColumn(out, F.array(*scaled)).drop("_stats")
 
 
+def _points(batch: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column as a matrix, and which rows count: NULL lists and lists with NULL are left out as zeros."""
+    some = np.asarray(batch.is_valid())
+    held = batch.filter(pa.array(some))
+    lengths = np.asarray(pc.list_value_length(held))
+    if (lengths != width).any():
+        raise ValueError(f"vectors have {sorted(set(lengths.tolist()))} numbers, the centroids {width}")
+    values = held.flatten()
+    own = np.asarray(values.is_null()).reshape(-1, width).any(axis=1)
+    matrix = np.zeros((len(batch), width))
+    matrix[some] = pc.fill_null(values, 0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    some[some] = ~own
+    return matrix, some
+
+
+def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest centre and its squared distance, from direct differences, one centre at a time."""
+    best, d2 = np.zeros(len(points), dtype=np.int32), np.full(len(points), np.inf)
+    for i, centre in enumerate(centres):
+        distance = ((points - centre) ** 2).sum(axis=1)
+        closer = distance < d2
+        best[closer], d2[closer] = i, distance[closer]
+    return best, d2
+
+
 def nearest_centroid(vector: Column | str, centroids: Sequence[Sequence[float]]) -> Column:
-    """Struct (cluster, d2): the nearest of k centroids, the lowest index on ties.
+    """Struct (cluster, d2): the nearest of k centroids, the lowest index on ties; both NULL without a whole vector.
 
-    k × d numbers travel with the function; distances are direct differences, one centroid at a time.
+    k × d numbers travel with the function. Vectors of another width than the centroids are an error.
     """
     centres = np.asarray(centroids, dtype=np.float64)
+    points_of, nearest = _points, _nearest
 
     @F.arrow_udf("struct<cluster:int,d2:double>")
     def assign(batch: pa.Array) -> pa.Array:
-        points = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1).astype(np.float64)
-        best = np.zeros(len(points), dtype=np.int32)
-        d2 = np.full(len(points), np.inf)
-        for i, centre in enumerate(centres):
-            distance = ((points - centre) ** 2).sum(axis=1)
-            closer = distance < d2
-            best[closer], d2[closer] = i, distance[closer]
-        return pa.StructArray.from_arrays([pa.array(best), pa.array(d2)], names=["cluster", "d2"])
+        points, some = points_of(batch, centres.shape[1])
+        best, d2 = nearest(points, centres)
+        return pa.StructArray.from_arrays([pa.array(best, mask=~some), pa.array(d2, mask=~some)], names=["cluster", "d2"])
 
     return assign(F.col(vector) if isinstance(vector, str) else vector)
 
@@ -93,7 +113,7 @@ def assign_nearest(df: DataFrame, vector: str, centroids: Sequence[Sequence[floa
 def update_centroids(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
     """Mean vector and size per cluster, combined before the shuffle."""
     mean = Summarizer.mean(array_to_vector(F.col(vector)))
-    return df.groupBy(cluster).agg(vector_to_array(mean).alias("centroid"), F.count("*").alias("size"))
+    return df.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(vector_to_array(mean).alias("centroid"), F.count("*").alias("size"))
 
 
 def _reseed(df: DataFrame, vector: str, empty: int, seed: int) -> list[list[float]]:
@@ -115,6 +135,7 @@ def lloyd(
     Only the k centroids cross the driver. Returns rows labelled by the last assignment, the final
     centroids and the number of iterations.
     """
+    df = stage_table(df, "points")
     centres, assigned, steps = [list(map(float, c)) for c in start], df, 0
     for steps in range(1, max_iter + 1):
         assigned = assign_nearest(df, vector, centres)
@@ -134,7 +155,7 @@ def kmeans(
     df: DataFrame, vector: str, k: int, seed: int = 42, max_iter: int = 100, tol: float = 1e-4
 ) -> tuple[list[list[float]], int]:
     """Centroids and iterations of a distributed k-means with parallel k-means++ seeding."""
-    features = df.select(array_to_vector(F.col(vector)).alias("features"))
+    features = df.filter(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector)).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, initMode="k-means||").fit(features)
     return [list(map(float, c)) for c in model.clusterCenters()], model.summary.numIter
 
@@ -255,54 +276,156 @@ def silhouette_squared(df: DataFrame, vector: str, cluster: str = "cluster") ->
     return ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(features)
 
 
+def sweep_starts(df: DataFrame, vector: str, max_k: int, seed: int = 42, sample: int = SEED_ROWS) -> list[list[float]]:
+    """``max_k`` spread-out rows by k-means++ over the first ``sample`` rows in hash order; k clusters start from the first k.
+
+    The draw depends on the rows and the seed alone, not on partitions. Fewer different rows give fewer starts.
+    """
+    order = F.xxhash64(F.col(vector), F.lit(seed))
+    rows = df.filter(F.col(vector).isNotNull()).select(vector).orderBy(order).limit(sample).collect()
+    points = np.unique(np.asarray([list(r[0]) for r in rows], dtype=np.float64), axis=0)
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(points)))]
+    while len(chosen) < min(max_k, len(points)):
+        d2 = np.min([((points - points[c]) ** 2).sum(axis=1) for c in chosen], axis=0)
+        chosen.append(int(np.searchsorted(np.cumsum(d2), rng.random() * d2.sum(), side="right").clip(0, len(points) - 1)))
+    return points[chosen].tolist()
+
+
+def _sweep_sums(points: DataFrame, vector: str, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Per k: rows, vector sums and sums of squared norms of every cluster, and the inertia, from one scan for all k."""
+    width = next(iter(centres.values())).shape[1]
+    points_of, nearest = _points, _nearest
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, some = points_of(batch.column(0), width)
+            rows = rows[some]
+            norms, out = (rows**2).sum(axis=1), []
+            for k, own in centres.items():
+                best, d2 = nearest(rows, own)
+                for c in np.unique(best).tolist():
+                    hit = best == c
+                    out.append((k, c, int(hit.sum()), float(norms[hit].sum()), float(d2[hit].sum()), rows[hit].sum(axis=0).tolist()))
+            if out:
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["k", "c", "n", "q", "d2", "s"])
+
+    partial = points.select(vector).mapInArrow(scan, "k int, c int, n long, q double, d2 double, s array<double>")
+    sums = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)]
+    found = partial.groupBy("k", "c").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("d2").alias("d2"), *sums).collect()
+    out = {k: (np.zeros(len(c)), np.zeros((len(c), width)), np.zeros(len(c)), 0.0) for k, c in centres.items()}
+    for r in found:
+        n, s, q, inertia_ = out[r["k"]]
+        n[r["c"]], q[r["c"]], s[r["c"]] = r["n"], r["q"], [r[f"s{i}"] for i in range(width)]
+        out[r["k"]] = (n, s, q, inertia_ + r["d2"])
+    return out
+
+
+def sweep_lloyd(
+    points: DataFrame, vector: str, starts: dict[int, Sequence[Sequence[float]]], max_iter: int = 100, tol: float = 1e-4
+) -> tuple[dict[int, list[list[float]]], dict[int, int]]:
+    """Lloyd iterations for every k together: each round is one scan of the staged ``points`` for all k that still move.
+
+    Only centroids cross the driver. An empty cluster keeps its place. Returns centroids and iterations by k.
+    """
+    centres = {k: np.asarray(c, dtype=np.float64) for k, c in starts.items()}
+    steps, open_ = dict.fromkeys(centres, 0), list(centres)
+    for _ in range(max_iter):
+        if not open_:
+            break
+        sums = _sweep_sums(points, vector, {k: centres[k] for k in open_})
+        still = []
+        for k in open_:
+            n, s, _, _ = sums[k]
+            moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centres[k])
+            shift = float(np.sqrt(((moved - centres[k]) ** 2).sum()))
+            centres[k], steps[k] = moved, steps[k] + 1
+            if shift >= tol:
+                still.append(k)
+        open_ = still
+    return {k: c.tolist() for k, c in centres.items()}, steps
+
+
+def sweep_labels(points: DataFrame, key: str, vector: str, centres: dict[int, list[list[float]]]) -> DataFrame:
+    """key, vector and, for every k, ``cluster_k`` and ``d2_k``, from one function call per row batch."""
+    arrays = {k: np.asarray(c, dtype=np.float64) for k, c in centres.items()}
+    width = next(iter(arrays.values())).shape[1]
+    points_of, nearest = _points, _nearest
+    fields = [(f"{name}_{k}", t) for k in arrays for name, t in (("cluster", "int"), ("d2", "double"))]
+
+    @F.arrow_udf("struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">")
+    def assign(batch: pa.Array) -> pa.Array:
+        rows, some = points_of(batch, width)
+        columns = [pa.array(x, mask=~some) for own in arrays.values() for x in nearest(rows, own)]
+        return pa.StructArray.from_arrays(columns, names=[n for n, _ in fields])
+
+    return points.withColumn("_at", assign(F.col(vector))).select(key, vector, *[F.col("_at")[n].alias(n) for n, _ in fields])
+
+
+def _sweep_silhouettes(points: DataFrame, vector: str, centres: dict[int, list[list[float]]], sums: dict) -> dict[int, float]:
+    """Squared-distance silhouette of every k from the cluster sums and one more scan: linear in the rows."""
+    arrays = {k: np.asarray(c, dtype=np.float64) for k, c in centres.items()}
+    stats = {k: sums[k][:3] for k in arrays}
+    width = next(iter(arrays.values())).shape[1]
+    points_of, nearest = _points, _nearest
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, some = points_of(batch.column(0), width)
+            rows = rows[some]
+            norms, out = (rows**2).sum(axis=1), []
+            for k, own in arrays.items():
+                best, _ = nearest(rows, own)
+                n, s, q = stats[k]
+                at = np.arange(len(rows))
+                total = norms[:, None] * n + q - 2 * rows @ s.T
+                a = total[at, best] / np.maximum(n[best] - 1, 1)
+                mean = np.where(n > 0, total / np.maximum(n, 1), np.inf)
+                mean[at, best] = np.inf
+                b = mean.min(axis=1) if len(n) > 1 else np.full(len(rows), np.inf)
+                value = np.where(np.isfinite(b) & (n[best] > 1), (b - a) / np.maximum(np.maximum(a, np.where(np.isfinite(b), b, 0)), 1e-300), 0.0)
+                out.append((k, float(value.sum()), len(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["k", "s", "n"])
+
+    found = points.select(vector).mapInArrow(scan, "k long, s double, n long").groupBy("k").agg((F.sum("s") / F.sum("n")).alias("v"))
+    return {r["k"]: r["v"] for r in found.collect()}
+
+
 def k_sweep(
     df: DataFrame,
     key: str,
     vector: str,
     max_k: int = 8,
     seed: int = 42,
-    exact_silhouette: bool = True,
+    exact_silhouette: bool = False,
     singleton: str = "one",
+    max_iter: int = 100,
+    tol: float = 1e-4,
+    starts: Sequence[Sequence[float]] | None = None,
 ) -> tuple[DataFrame, DataFrame, dict[int, list[list[float]]]]:
     """k = 2..min(max_k, n-1): (curve table, labelled rows with one column per k, centroids by k).
 
-    Each fit is a distributed job over the once-written vectors; one more pass labels the rows for
-    every k and one pass over the distances serves all exact silhouettes.
+    Vectors are written once; every round of Lloyd's iterations is one scan for all k, and two more scans give inertia and the
+    linear silhouette of every k. k clusters start from the first k of ``starts`` (default: ``sweep_starts``). The exact
+    silhouette needs all distances and is quadratic, so it is computed on request only. Rows without a vector get NULL labels.
     """
     points = stage_table(df.select(key, vector), "sweep")
-    n = points.count()
-    ks = list(range(2, min(max_k, n - 1) + 1))
+    n = points.filter(F.col(vector).isNotNull()).count()
+    starts = sweep_starts(points, vector, min(max_k, max(n - 1, 0)), seed) if starts is None and n else starts or []
+    ks = list(range(2, min(max_k, n - 1, len(starts)) + 1))
     if not ks:
         raise ValueError(f"{n} rows are too few to sweep k")
-    # The fits are independent; a few at a time keep the cluster busy through their small steps.
-    with ThreadPool(min(SWEEP_PARALLELISM, len(ks))) as pool:
-        fitted = pool.map(inheritable_thread_target(points.sparkSession)(lambda k: kmeans(points, vector, k, seed)[0]), ks)
-    centres = dict(zip(ks, fitted))
-    labelled = points
-    for k in ks:
-        labelled = labelled.withColumn(f"_n{k}", nearest_centroid(vector, centres[k]))
-    labelled = labelled.select(
-        key, vector, *[F.col(f"_n{k}.cluster").alias(f"cluster_{k}") for k in ks],
-        *[F.col(f"_n{k}.d2").alias(f"d2_{k}") for k in ks],
-    )
-    labelled = stage_table(labelled, "sweep-labels")
-    inertias = labelled.agg(*[F.sum(f"d2_{k}").alias(f"i{k}") for k in ks]).first()
+    centres, _ = sweep_lloyd(points, vector, {k: starts[:k] for k in ks}, max_iter, tol)
+    sums = _sweep_sums(points, vector, {k: np.asarray(c) for k, c in centres.items()})
+    squared = _sweep_silhouettes(points, vector, centres, sums)
+    labelled = stage_table(sweep_labels(points, key, vector, centres), "sweep-labels")
     exact = {}
     if exact_silhouette:
-        found = silhouette_exact(labelled, key, vector, [f"cluster_{k}" for k in ks], singleton)
+        found = silhouette_exact(labelled.filter(F.col(vector).isNotNull()), key, vector, [f"cluster_{k}" for k in ks], singleton)
         exact = {r["labels"]: r["silhouette"] for r in found.collect()}
-    rows = [
-        (
-            k,
-            float(inertias[f"i{k}"]),
-            exact.get(f"cluster_{k}"),
-            silhouette_squared(labelled, vector, f"cluster_{k}") if len(set(map(tuple, centres[k]))) > 1 else 0.0,
-        )
-        for k in ks
-    ]
-    curve = df.sparkSession.createDataFrame(
-        rows, "k int, inertia double, silhouette double, silhouette_squared double"
-    )
+    rows = [(k, float(sums[k][3]), exact.get(f"cluster_{k}"), float(squared[k])) for k in ks]
+    curve = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, silhouette_squared double")
     return curve, labelled, centres
 
 
@@ -450,7 +573,7 @@ def segment(
     max_k: int = 8,
     chosen_k: int | None = None,
     seed: int = 42,
-    exact_silhouette: bool = True,
+    exact_silhouette: bool = False,
 ) -> dict:
     """Whole segmentation: features, complete rows, scaling, sweep, choice of k, members and centroids."""
     chosen = feature_set(df, features)

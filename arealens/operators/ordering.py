@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from arealens.session import SMALL_ROWS, at_most, cut_lineage
+from arealens.session import stage_table
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the lower 33 bits
 
@@ -25,12 +25,12 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "pos") -> DataFrame:
     """1..n over the whole table in the given total order, without a one-task window.
 
-    The range-partitioned sort is checkpointed, which fixes its partitions; each row's number is
-    its index in the partition plus the sizes of the partitions before it (one row per partition).
+    The range-partitioned sort is written once together with each row's partition and index; a row's number is its index
+    plus the sizes of the partitions before it (one row per partition).
     """
-    ordered = cut_lineage(df.orderBy(*order)).withColumn("_mid", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("_part", F.shiftright("_mid", _ROW_BITS).cast("int"))
-    sizes = sorted((r["_part"], r["n"]) for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    placed = stage_table(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_part", F.shiftright("_mid", _ROW_BITS).cast("int"))
+    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
     offsets, seen = [], 0
     for part, n in sizes:
         offsets.append((part, seen))
@@ -38,24 +38,14 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "pos")
     table = df.sparkSession.createDataFrame(offsets, "_part int, _offset long")
     index = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        ordered.join(F.broadcast(table), "_part")
+        placed.join(F.broadcast(table), "_part")
         .withColumn(name, F.col("_offset") + index + 1)
         .drop("_part", "_mid", "_offset")
     )
 
 
-def number_within(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column | str],
-    name: str = "pos",
-    small_rows: int = SMALL_ROWS,
-) -> DataFrame:
-    """1..n inside each group of ``by``. A window below ``small_rows`` rows, above it a distributed
-    numbering, so that one group may hold most of the table."""
-    if at_most(df, small_rows):
-        spec = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-        return df.withColumn(name, F.row_number().over(spec.orderBy(*order)).cast("long"))
+def number_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "pos") -> DataFrame:
+    """1..n inside each group of ``by``; one group may hold most of the table."""
     numbered = number_rows(df, [*by, *order], "_all")
     if not by:
         return numbered.withColumnRenamed("_all", name)
@@ -70,11 +60,10 @@ def rank_desc(
     key: Sequence[str],
     by: Sequence[str] = (),
     name: str = "rank",
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """1..n by descending score; equal scores are ordered by the entity key, missing scores last."""
     order = [F.col(score).desc_nulls_last(), *[F.col(k).asc() for k in key]]
-    return number_within(df, by, order, name, small_rows)
+    return number_within(df, by, order, name)
 
 
 def rank_average(
@@ -83,22 +72,17 @@ def rank_average(
     by: Sequence[str] = (),
     name: str = "rank",
     descending: bool = True,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Ranks by score where ties share the mean of their positions."""
     direction = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
-    if at_most(df, small_rows):
-        group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-        tied = F.count("*").over((W.partitionBy(*by, score)))
-        return df.withColumn(name, F.rank().over(group.orderBy(direction)) + (tied - 1) / 2.0)
     # Ties collapse before anything is sorted: one row per distinct score carries their number.
     counts = df.groupBy(*by, score).agg(F.count("*").alias("_n"))
-    ranked = _running_total(counts, by, [direction], "_n", "_through")
+    ranked = running_total(counts, by, [direction], "_n", "_through")
     ranks = ranked.select(*by, score, (F.col("_through") - (F.col("_n") - 1) / 2.0).alias(name))
     return join_groups(df, ranks, [*by, score]).select(*df.columns, name)
 
 
-def _running_total(
+def running_total(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], weight: str, name: str
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` per group in the given order, spread over sorted blocks."""

@@ -11,6 +11,7 @@ from arealens.functions import scalars as S
 from arealens.functions.templates import fill
 from arealens.operators.aggregates import empirical_percentiles, group_concentration, share_name
 from arealens.operators.ordering import join_groups, top_n_per_group
+from arealens.session import stage_table
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -178,7 +179,8 @@ def cluster_metrics(
     means = members.groupBy("cluster").agg(
         F.count("*").alias("size"), *[F.avg(S.missing_to_null(F.col(m).cast("double"))).alias(m) for m in present]
     )
-    long = means.unpivot(["cluster", "size"], present, "feature", "mean")
+    # written once: a mean that is computed again may differ in its last bit and would not be found
+    long = stage_table(means.unpivot(["cluster", "size"], present, "feature", "mean"), "cluster-means")
     found = empirical_percentiles(master, present, long.select("feature", F.col("mean").alias("value")))
     out = join_groups(long.withColumnRenamed("mean", "value"), found, ["feature", "value"], "left")
     return out.select(
@@ -299,7 +301,7 @@ def category_mix(members: DataFrame, master: DataFrame, centroids: DataFrame) ->
         )
         for i, (c, s) in enumerate(zip(counts, shares))
     ])
-    long = sums.select("cluster", base.alias("_base"), F.inline(cells)).filter("n > 0")
+    long = stage_table(sums.select("cluster", base.alias("_base"), F.inline(cells)).filter("n > 0"), "cluster-shares")
     asked = long.select("feature", F.col("mean_share").alias("value"))
     found = empirical_percentiles(master, shares, asked)
     placed = join_groups(long.withColumnRenamed("mean_share", "value"), found, ["feature", "value"])
@@ -337,6 +339,10 @@ def cluster_description(
     """One text per cluster: title, activity notes, strong and weak features, profile signals,
     category mix, main groups and nearest text profiles."""
     flags = no_activity_flags(members, representatives, key)
+    # clusters that have a centroid but no members keep a row
+    flags = centroids.select("cluster").distinct().join(flags, "cluster", "left").withColumns(
+        {"size": F.coalesce("size", F.lit(0).cast("long")), "none": F.coalesce("none", F.lit(False)), "prominent": F.coalesce("prominent", F.lit(False))}
+    )
     metric_order = F.create_map(*[x for i, (m, _) in enumerate(presets.CLUSTER_METRICS) for x in (F.lit(m), F.lit(i))])
     metric_label = F.create_map(*[x for m, label in presets.CLUSTER_METRICS for x in (F.lit(m), F.lit(label))])
     metrics = cluster_metrics(members, master).filter("percentile is not null").withColumn(

@@ -13,9 +13,9 @@ from arealens import presets
 from arealens.functions import scalars as S
 from arealens.functions.predicates import HardFilter, hard_filter
 from arealens.operators.joins import attach_lookup, reject_collisions
-from arealens.operators.ordering import number_within, order_by_score, rank_average, rank_delta, rank_desc
+from arealens.operators.ordering import join_groups, number_within, order_by_score, rank_average, rank_delta, rank_desc
 from arealens.operators.vectors import cosine_similarity, similarity_matrix
-from arealens.session import SMALL_ROWS, cut_lineage, stage_table
+from arealens.session import stage_table
 
 # Query vectors shipped to the tasks at a time; more queries are scored slice by slice.
 QUERY_VALUES = 4_000_000
@@ -60,7 +60,7 @@ def minmax_blend(
         bounded = df.withColumn("_b", df.agg(F.struct(*aggs)).scalar())
         return bounded.withColumn(name, blend(F.col("_b").getField)).drop("_b")
     bounds = df.groupBy(*by).agg(F.struct(*aggs).alias("_b"))
-    return df.join(bounds, list(by)).withColumn(name, blend(F.col("_b").getField)).drop("_b")
+    return join_groups(df, bounds, by).withColumn(name, blend(F.col("_b").getField)).drop("_b")
 
 
 def competition_signal(
@@ -100,7 +100,6 @@ def rank_entities(
     assignments: DataFrame | None = None,
     briefs: DataFrame | None = None,
     limit: int | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Hard filter, similarity, competition, blend, rank, map key and cluster lookup.
 
@@ -117,7 +116,7 @@ def rank_entities(
         scored = order_by_score(scored, "semantic_similarity", key).limit(limit)
     scored = stage_table(scored, "scored")
     blended = minmax_blend(scored, "semantic_similarity", "specific_competitive_score", alpha)
-    ranked = rank_desc(blended, "blended_score", [key], small_rows=small_rows)
+    ranked = rank_desc(blended, "blended_score", [key])
     if code and group:
         ranked = ranked.withColumn("map_key", S.map_key(F.col(code).cast("string"), F.col(group).cast("string")))
     if assignments is not None:
@@ -162,7 +161,6 @@ def rank_many(
     source: str | None = presets.OVERALL_COMPETITION,
     vector: str = "embedding",
     entity: str | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Ranks all entities for each row (query, embedding) of ``queries``; ties share their mean rank."""
     entity = entity or key[0]
@@ -170,7 +168,7 @@ def rank_many(
     scored = _scores_per_query(vectors, queries, entity, vector).join(signals, entity)
     scored = stage_table(scored, "scored-many")
     blended = minmax_blend(scored, "semantic_similarity", "specific_competitive_score", alpha, ["query"])
-    ranked = rank_average(blended, "blended_score", ["query"], small_rows=small_rows)
+    ranked = rank_average(blended, "blended_score", ["query"])
     return ranked.select("query", *key, "semantic_similarity", "blended_score", "rank")
 
 
@@ -241,12 +239,11 @@ def kendall_tau(
     y: str,
     key: Sequence[str],
     block: int | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Tau-b per group: (concordant - discordant) / sqrt of the untied pairs of both sides."""
     keys = list(by)
-    numbered = number_within(df.select(*keys, *key, x, y), keys, [x, y, *key], "_px", small_rows)
-    numbered = cut_lineage(number_within(numbered, keys, [y, x, *key], "_py", small_rows))
+    numbered = number_within(df.select(*keys, *key, x, y), keys, [x, y, *key], "_px")
+    numbered = stage_table(number_within(numbered, keys, [y, x, *key], "_py"), "both-orders")
     largest = numbered.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     block = block or max(KENDALL_BLOCK, math.ceil(largest / KENDALL_BLOCKS))
     out = discordant_pairs(numbered, keys, "_px", "_py", block)
@@ -265,22 +262,21 @@ def rank_stability(
     key: Sequence[str],
     rank: str = "rank",
     by: Sequence[str] = ("query",),
-    small_rows: int = SMALL_ROWS,
     block: int | None = None,
 ) -> DataFrame:
     """Per query: entities in both rankings, Spearman and Kendall correlation of their ranks."""
     by, key = list(by), list(key)
     left = a.select(*by, *key, F.col(rank).alias("_x"))
     right = b.select(*by, *key, F.col(rank).alias("_y"))
-    both = cut_lineage(left.join(right, [*by, *key]))
-    ranked = rank_average(both, "_x", by, "_rx", descending=False, small_rows=small_rows)
-    ranked = rank_average(ranked, "_y", by, "_ry", descending=False, small_rows=small_rows)
+    both = stage_table(left.join(right, [*by, *key]), "both-rankings")
+    ranked = rank_average(both, "_x", by, "_rx", descending=False)
+    ranked = rank_average(ranked, "_y", by, "_ry", descending=False)
     # A constant side has no correlation; corr() would fail on its zero deviation.
     spread = F.stddev_pop("_rx") * F.stddev_pop("_ry")
     spearman = ranked.groupBy(*by).agg(
         F.count("*").alias("n_overlap"), F.try_divide(F.covar_pop("_rx", "_ry"), spread).alias("spearman_r")
     )
-    return spearman.join(kendall_tau(both, by, "_x", "_y", key, block, small_rows), by)
+    return spearman.join(kendall_tau(both, by, "_x", "_y", key, block), by)
 
 
 def rank_compare(
@@ -305,12 +301,11 @@ def rank_compare_report(
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """(correlations per query, best first; rank changes) of two (features, vectors) vintages."""
-    small_rows = options.get("small_rows", SMALL_ROWS)
     rankings = [stage_table(rank_many(f, v, queries, key, alpha, **options), "ranking") for f, v in (before, after)]
     first = rankings[0].select("query", *key).join(rankings[1].select("query", *key), ["query", *key], "left_semi")
     if first.isEmpty():
         raise ValueError("the two vintages share no entities")
-    correlations = rank_stability(*rankings, key, small_rows=small_rows)
+    correlations = rank_stability(*rankings, key)
     return order_by_score(correlations, "spearman_r", "query"), rank_compare(*rankings, key)
 
 

@@ -102,12 +102,18 @@ class Extent:
         return max(self.maxx - self.minx, self.maxy - self.miny) or 1.0
 
     def cell_x(self, x: Column, size: Column) -> Column:
-        return F.floor((x - F.lit(self.minx)) / size).cast("int")
+        return self._cell((x - F.lit(self.minx)) / size)
 
     def cell_y(self, y: Column, size: Column) -> Column:
-        return F.floor((y - F.lit(self.miny)) / size).cast("int")
+        return self._cell((y - F.lit(self.miny)) / size)
 
+    @staticmethod
+    def _cell(at: Column) -> Column:
+        """Cells far outside the frame fall together at its margin: no area lies there, and no number overflows."""
+        return F.floor(F.greatest(F.lit(-OUTSIDE), F.least(F.lit(OUTSIDE), at))).cast("int")
 
+
+OUTSIDE = float(1 << 30)
 MAX_LEVEL = 20  # finest grid: the frame's longer side cut into 2**20 cells
 
 

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arealens import presets
 from arealens.functions.predicates import HardFilter, hard_filter
 from arealens.operators.joins import align_vectors
-from arealens.operators.ordering import top_k
+from arealens.operators.ordering import order_by_score, top_k
 
 EPSILON = 1e-12
 
@@ -30,9 +29,10 @@ def embed_text(
     dimensions: int = 256,
 ) -> DataFrame:
     """Adds a float vector per text. ``load_model`` returns a function from texts to a matrix and is
-    called once per Python worker; without it a hashed TF-IDF vector of unit length is built in the JVM."""
+    called once per Python worker; without it a ``TextSpace`` is fitted on these
+    texts. Fit a space once and keep it where later texts or queries have to be compared with these."""
     if load_model is None:
-        return _hashed_tfidf(df, text, out, dimensions)
+        return TextSpace.fit(df, text, dimensions).embed(df, text, out)
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -44,17 +44,53 @@ def embed_text(
     return df.withColumn(out, embed(F.col(text)))
 
 
-def _hashed_tfidf(df: DataFrame, text: str, out: str, dimensions: int) -> DataFrame:
-    stages = [
-        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+", gaps=True),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_unit", p=2.0),
-    ]
-    prepared = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    model = Pipeline(stages=stages).fit(prepared.select("_text"))
-    vectors = model.transform(prepared).withColumn(out, vector_to_array("_unit", "float32"))
-    return vectors.drop("_text", "_words", "_counts", "_weighted", "_unit")
+def hash_buckets(text: Column | str, dimensions: int) -> Column:
+    """The bucket of every word (runs of letters and digits, lower-cased), from the first 32 bits of its MD5."""
+    text = F.col(text) if isinstance(text, str) else text
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dimensions)).cast("int"))
+
+
+@dataclass(frozen=True)
+class TextSpace:
+    """A fitted space of hashed TF-IDF vectors: one weight per bucket. Corpus, refreshed rows and queries share it."""
+
+    weights: tuple[float, ...]
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str, dimensions: int = 256) -> TextSpace:
+        """ln((n + 1) / (texts with the bucket + 1)) per bucket, counted over all texts; NULL texts count as empty."""
+        buckets = df.select(F.array_distinct(hash_buckets(text, dimensions)).alias("_b"))
+        counted = buckets.select(F.explode("_b").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+        total, seen = df.count(), {r["b"]: r["n"] for r in counted.collect()}
+        return cls(tuple(math.log((total + 1) / (seen.get(i, 0) + 1)) for i in range(dimensions)))
+
+    def embed(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+        """Adds the unit vector of every text; a text without weighted words has the zero vector."""
+        weights = np.asarray(self.weights)
+
+        @F.arrow_udf("array<float>")
+        def vectors(batch: pa.Array) -> pa.Array:
+            rows = np.repeat(np.arange(len(batch)), np.diff(np.asarray(batch.offsets)))
+            flat = np.bincount(rows * len(weights) + np.asarray(batch.flatten()), minlength=len(batch) * len(weights))
+            matrix = flat.reshape(len(batch), len(weights)) * weights
+            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+            offsets = np.arange(len(batch) + 1, dtype=np.int32) * len(weights)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel().astype(np.float32)))
+
+        return df.withColumn(out, vectors(hash_buckets(text, len(weights))))
+
+    def embed_query(self, spark: SparkSession, query: str) -> list[float]:
+        return [float(v) for v in self.embed(spark.createDataFrame([(query,)], "q string"), "q").first()["embedding"]]
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = spark.createDataFrame(list(enumerate(self.weights)), "bucket int, weight double")
+        rows.coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextSpace:
+        rows = spark.read.schema("bucket int, weight double").parquet(path).collect()
+        return cls(tuple(r["weight"] for r in sorted(rows, key=lambda r: r["bucket"])))
 
 
 def _sum(values: Column) -> Column:
@@ -84,7 +120,9 @@ def similarity_matrix(vector: Column | str, queries: np.ndarray) -> Column:
 
     @F.arrow_udf("array<double>")
     def score(batch: pa.Array) -> pa.Array:
-        matrix = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1).astype(np.float64)
+        some = np.asarray(batch.is_valid())
+        matrix = np.zeros((len(batch), units.shape[1]))
+        matrix[some] = batch.filter(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, units.shape[1])
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True) + EPSILON
         sims = (matrix / lengths) @ units.T
         offsets = np.arange(len(batch) + 1, dtype=np.int32) * len(units)
@@ -100,19 +138,21 @@ def match_entities(
     spec: HardFilter,
     key: str,
     vector: str = "embedding",
-    limit: int = presets.MATCH_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Filter, similarity and the ``limit`` nearest rows in one lazy plan.
+    """Filter, similarity and the nearest rows (the first ``limit``, or all in order) in one lazy plan.
 
     Vectors shrink to one number per key before the join, so they are never shuffled.
     """
     similar = vectors.filter(F.col(vector).isNotNull()).select(
         key, cosine_similarity(vector, query).alias("similarity")
     )
-    return top_k(hard_filter(df, spec).join(similar, key), "similarity", limit, key)
+    joined = hard_filter(df, spec).join(similar, key)
+    return order_by_score(joined, "similarity", key) if limit is None else top_k(joined, "similarity", limit, key)
 
 
 __all__ = [
+    "TextSpace",
     "align_vectors",
     "cosine_similarity",
     "embed_text",

@@ -1,27 +1,43 @@
-"""Read-only SQL over a filtered table."""
+"""Read-only SQL over one table."""
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
 
-from arealens import presets
+# Functions that leave SQL for the JVM's classes, the file system or the session.
+FORBIDDEN = ("reflect", "java_method", "try_reflect", "input_file_name", "current_catalog", "current_database", "current_user", "session_user", "user", "version")
 
 
 def adhoc_select(
-    df: DataFrame,
-    sql: str,
-    args: Mapping[str, Any] | None = None,
-    view: str = "neighborhoods",
-    rows: int = presets.ADHOC_ROWS,
+    df: DataFrame, sql: str, args: Mapping[str, Any] | None = None, view: str = "neighborhoods", rows: int | None = None
 ) -> DataFrame:
-    """Runs one query against ``df`` under the name ``view`` and returns at most ``rows`` rows.
+    """Runs one query against ``df`` under the name ``view``; all rows, or the first ``rows`` of them.
 
-    The text becomes a derived table, where only a query is valid: statements that change or
-    create anything do not parse. Values are bound, never pasted.
+    The text becomes a derived table, where only a query is valid, and values are bound, never pasted. The parsed plan may name
+    no relation but the view and its own common tables, no table function and no function that leaves SQL; anything else is an
+    error. The view is registered under a name of its own for this call, so a caller's view is never touched.
     """
-    df.createOrReplaceTempView(view)
+    spark = df.sparkSession
     query = sql.strip().rstrip(";")
-    return df.sparkSession.sql(f"SELECT * FROM (\n{query}\n) LIMIT {int(rows)}", args=dict(args or {}))
+    text = f"SELECT * FROM (\n{query}\n)" + ("" if rows is None else f" LIMIT {int(rows)}")
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    tree = parsed.toString()
+    own = {m.lower() for m in re.findall(r"(?m)^[\s:+|-]*CTE \[([^\]]*)\]", tree) for m in re.split(r",\s*", m)}
+    relations = {m.lower() for m in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", tree)}
+    if foreign := relations - own - {view.lower()}:
+        raise ValueError(f"only {view} may be queried, not {sorted(foreign)}")
+    called = {m.lower() for m in re.findall(r"'([\w.]+)\(", tree)}
+    if "UnresolvedTableValuedFunction" in tree or "UnresolvedTVFAliases" in tree or called & set(FORBIDDEN):
+        raise ValueError("the query calls a function that is not allowed here")
+    name = f"{view}_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    try:
+        bound = re.sub(rf"(?i)(?<![\w.`'\"]){re.escape(view)}(?![\w`'\"])", name, text)
+        return spark.sql(bound, args=dict(args or {}))
+    finally:
+        spark.catalog.dropTempView(name)

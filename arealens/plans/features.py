@@ -13,7 +13,7 @@ from arealens.operators import aggregates as A
 from arealens.operators import joins as J
 from arealens.operators import spatial as SP
 from arealens.plans import cleaning as C
-from arealens.session import SMALL_ROWS, stage_table
+from arealens.session import stage_table
 from arealens.sources.geojson import scan_polygons
 from arealens.sources.tables import optional_source, scan_csv, write_table
 
@@ -43,7 +43,6 @@ def merge_features(
     profiles: DataFrame,
     storefronts: DataFrame,
     profile_order: Sequence[str] = ("cd",),
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Area master with all feeds and attributes, gaps imputed, categories, densities and scores."""
     wide = J.star_left_join(areas, [flow, stations, incidents, storefronts], KEYS)
@@ -55,7 +54,7 @@ def merge_features(
     wide = stage_table(wide, "merged")
 
     imputed = [*attributes, *[c for c in FLOW if c in wide.columns]]
-    wide = A.impute_hierarchical(wide, imputed, "borough", FLOW, small_rows)
+    wide = A.impute_hierarchical(wide, imputed, "borough", FLOW)
 
     counts = [c for c in wide.columns if c.startswith(presets.CATEGORY_PREFIX) and c.endswith(presets.COUNT_SUFFIX)]
     zero = ["storefront_filing_count", *counts, "subway_station_count", "shooting_incident_count", "pedestrian_count_points"]

@@ -88,17 +88,3 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-SMALL_ROWS = 1_000_000
-BROADCAST_ROWS = 200_000
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if at_most(df, rows) else df

@@ -156,7 +156,7 @@ def e9(t):
 )
 def e9_bracketed(t):
     # The route for large tables: sketch, bracket, exact count inside the bracket.
-    out = A.impute_hierarchical(_gaps(t), ["a", "b"], "grp", small_rows=0)
+    out = A.impute_hierarchical(_gaps(t), ["a", "b"], "grp")
     return out.select("c_custkey", "grp", r6("a"), r6("b"))
 
 
@@ -166,7 +166,7 @@ def e9_bracketed(t):
         FROM lineitem GROUP BY 1""",
 )
 def e9_quantile(t):
-    out = A.exact_quantile(t("lineitem"), ["l_returnflag"], ["l_extendedprice", "l_quantity"], 0.9, small_rows=1000)
+    out = A.exact_quantile(t("lineitem"), ["l_returnflag"], ["l_extendedprice", "l_quantity"], 0.9)
     return out.select("l_returnflag", r6("l_extendedprice"), r6("l_quantity"))
 
 
@@ -241,8 +241,8 @@ def e14(t):
 
 
 _PERCENTILE_SQL = """
-SELECT v AS mean_price, CASE WHEN v IS NULL THEN NULL ELSE CAST(round_even(100.0 * (SELECT count(*) FROM lineitem WHERE l_extendedprice <= v)
-   / (SELECT count(*) FROM lineitem), 0) AS INT) END AS percentile
+SELECT v AS mean_price, CASE WHEN v IS NULL THEN NULL ELSE CAST(round_even(100::DOUBLE * ((SELECT count(*) FROM lineitem WHERE l_extendedprice <= v)
+   / (SELECT count(*) FROM lineitem)), 0) AS INT) END AS percentile
 FROM (SELECT DISTINCT round(CASE WHEN s_acctbal > 0 THEN s_acctbal * 10 END, 6) AS v FROM supplier)"""
 
 
@@ -260,7 +260,7 @@ def e15_many(t):
     # The route for many values: one distributed sort of data and values together.
     out = A.empirical_percentiles(
         t("lineitem"), ["l_extendedprice"],
-        _asked(t).select(F.lit("l_extendedprice").alias("feature"), F.col("mean_price").alias("value")), few=0, small_rows=0,
+        _asked(t).select(F.lit("l_extendedprice").alias("feature"), F.col("mean_price").alias("value")),
     )
     return out.select(F.col("value").alias("mean_price"), "percentile")
 

@@ -1,6 +1,6 @@
 """K: clustering."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from arealens.operators import clustering as K
 from arealens.session import scratch_path, stage_table
@@ -70,11 +70,31 @@ def k4_lloyd(t):
     return assigned.select("vec_id", "cluster", r6("d2"))
 
 
-@check("k4_kmeans")
+@check("k4_kmeans", f"SELECT {START} AS clusters, count(*) AS rows, 0 AS misplaced, true AS not_above_start FROM embeddings")
 def k4(t):
+    """Its seeding is its own, so what must hold of any result: every cluster has rows, every row is at its nearest centre."""
     points = stage_table(_points(t), "points")
     centres, _ = K.kmeans(points, "v", START)
-    return K.assign_nearest(points, "v", centres).groupBy("cluster").agg(F.count("*").alias("size"), F.sum("d2").alias("inertia"))
+    start = K.assign_nearest(points, "v", _start(t)).agg(F.sum("d2")).first()[0]
+    placed = K.assign_nearest(points, "v", centres)
+    far = [F.aggregate(F.zip_with("v", F.array(*[F.lit(x) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for c in centres]
+    out = placed.withColumn("_least", F.least(*far)).agg(
+        F.count_distinct("cluster").cast("int").alias("clusters"), F.count("*").alias("rows"),
+        F.count_if(F.col("d2") > F.col("_least") + 1e-9).cast("int").alias("misplaced"), (F.sum("d2") <= F.lit(start)).alias("not_above_start"),
+    )
+    return out
+
+
+@check(
+    "k2_missing_vectors",
+    """WITH p AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE CAST(embedding AS DOUBLE[]) END AS v FROM embeddings),
+    c0 AS (SELECT CAST(vec_id AS INT) AS cluster, CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id < 8),"""
+    + _assign_sql("(SELECT * FROM p WHERE v IS NOT NULL)", "c0", "a1")
+    + f" SELECT vec_id, cluster, {s6('d2')} AS d2 FROM p LEFT JOIN (SELECT vec_id, cluster, d2 FROM a1) USING (vec_id)",
+)
+def k2_missing(t):
+    gaps = _points(t).withColumn("v", F.when(F.col("vec_id") % 3 != 0, F.col("v")))
+    return K.assign_nearest(gaps, "v", _start(t)).select("vec_id", "cluster", r6("d2"))
 
 
 @check("k5_inertia", _TWO_SQL + f" SELECT {s6('sum(d2)')} AS inertia FROM a2")
@@ -111,10 +131,41 @@ def k7(t):
     return t.spark.createDataFrame([(round(value, 6),)], "silhouette double")
 
 
-@check("k8_k_sweep")
+_SWEEP_KS = (2, 3, 4, 5)
+
+
+def _sweep_sql() -> str:
+    """Two Lloyd rounds for each k from the first k vectors, then inertia and the squared silhouette."""
+    steps, rows = ["pt AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"], []
+    for k in _SWEEP_KS:
+        steps.append(f"c{k}_0 AS (SELECT CAST(vec_id AS INT) AS cluster, v AS c FROM pt WHERE vec_id < {k})")
+        for i in (1, 2):
+            steps.append(_assign_sql("pt", f"c{k}_{i - 1}", f"a{k}_{i}"))
+            steps.append(_mean_sql(f"a{k}_{i}", f"c{k}_{i}"))
+        steps.append(_assign_sql("pt", f"c{k}_2", f"a{k}_3"))
+        steps.append(_SILHOUETTE_SQL.format(points=f"a{k}_3", label="cluster", distance="pow(list_distance(a.v, b.v), 2)")
+                     .replace("s AS (", f"s{k} AS (", 1).replace("FROM s GROUP", f"FROM s{k} GROUP").replace("ab AS (", f"ab{k} AS (", 1).replace("FROM ab", f"FROM ab{k}")
+                     .rsplit("SELECT round", 1)[0].rstrip())
+        rows.append(
+            f"SELECT {k} AS k, {s6(f'(SELECT sum(d2) FROM a{k}_3)')} AS inertia, (SELECT round(avg(CASE WHEN b IS NULL OR greatest(a, b) = 0"
+            f" THEN 0 ELSE (b - a) / greatest(a, b) END), 6) FROM ab{k}) AS silhouette_squared"
+        )
+    return "WITH " + ",\n".join(steps) + "\n" + "\nUNION ALL ".join(rows)
+
+
+@check("k8_k_sweep", _sweep_sql())
 def k8(t):
+    curve = K.k_sweep(_points(t), "vec_id", "v", max(_SWEEP_KS), starts=_start(t, max(_SWEEP_KS)), max_iter=2, tol=0.0)[0]
+    return curve.select("k", r6("inertia"), r6("silhouette_squared"))
+
+
+@check("k8_own_starts", "SELECT CAST(unnest(range(2, 7)) AS INT) AS k, true AS falls")
+def k8_own(t):
+    """With seeds of its own: every k is swept and the inertia of k + 1 clusters is not far above that of k."""
     scaled = K.zscore(area_table(t), ["avg_pedestrian", "storefront_density_per_km2", "category_entropy"])
-    return K.k_sweep(scaled, "neighborhood", "z", 6)[0]
+    curve = K.k_sweep(scaled, "neighborhood", "z", 6)[0]
+    before = F.lag("inertia").over(Window.orderBy("k"))
+    return curve.select("k", (F.coalesce(before, F.col("inertia")) * 1.1 >= F.col("inertia")).alias("falls"))
 
 
 _KS = list(range(2, START + 1))

@@ -22,6 +22,21 @@ def d1(t):
     return SP.spatial_join_within(points(t), polygons(t)).select("o_orderkey", *ATTRIBUTES)
 
 
+@check(
+    "d1_far_and_missing_points",
+    POINT_SQL
+    + """SELECT v.o_orderkey, CASE WHEN v.o_orderkey % 13 <> 0 THEN i.cd END AS cd FROM valid v LEFT JOIN inside i USING (o_orderkey)
+         WHERE v.o_orderkey % 17 <> 0""",
+)
+def d1_far(t):
+    """Coordinates far outside every grid lie in no area; NaN is no coordinate."""
+    k = F.col("o_orderkey")
+    odd = points(t).withColumn(
+        "longitude", F.when(k % 17 == 0, F.lit(float("nan"))).when(k % 13 == 0, F.lit(1e12)).otherwise(F.col("longitude"))
+    )
+    return SP.spatial_join_within(odd, polygons(t), attributes=["cd"]).select("o_orderkey", "cd")
+
+
 @check(
     "d2_nearest_area",
     POINT_SQL

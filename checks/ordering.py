@@ -20,7 +20,7 @@ def f1(t):
 @check("f1_rank_desc_distributed", _RANK_SQL)
 def f1_distributed(t):
     df = t("orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return O.rank_desc(df, "o_totalprice", ["o_orderkey"], ["o_custkey"], small_rows=0).drop("o_totalprice")
+    return O.rank_desc(df, "o_totalprice", ["o_orderkey"], ["o_custkey"]).drop("o_totalprice")
 
 
 @check(
@@ -30,7 +30,7 @@ def f1_distributed(t):
 )
 def f1_whole(t):
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return O.rank_desc(t("lineitem").select(*key, "l_extendedprice"), "l_extendedprice", key, small_rows=0)
+    return O.rank_desc(t("lineitem").select(*key, "l_extendedprice"), "l_extendedprice", key)
 
 
 _AVERAGE_SQL = """
@@ -51,7 +51,7 @@ def f2(t):
 
 @check("f2_rank_average_distributed", _AVERAGE_SQL)
 def f2_distributed(t):
-    return _average(t, small_rows=0)
+    return _average(t)
 
 
 _BLEND_SQL = """
@@ -73,6 +73,15 @@ def f3_group(t):
     return R.minmax_blend(df, "o_totalprice", "k", 0.7, ["o_custkey"]).select("o_orderkey", r6("blended_score"))
 
 
+@check(
+    "f3_minmax_blend_null_group",
+    _BLEND_SQL.replace("FROM orders", "FROM (SELECT *, nullif(o_custkey % 5, 0) AS g FROM orders)").format(window="WINDOW w AS (PARTITION BY g)"),
+)
+def f3_null_group(t):
+    df = t("orders").withColumn("k", F.col("o_orderkey") % 97).withColumn("g", F.expr("nullif(o_custkey % 5, 0)"))
+    return R.minmax_blend(df, "o_totalprice", "k", 0.7, ["g"]).select("o_orderkey", r6("blended_score"))
+
+
 @check(
     "f4_zscore",
     f"""SELECT c_custkey, {s6('(c_acctbal - a) / (sa + 1e-8)')} AS z_balance, {s6('(c_nationkey - b) / (sb + 1e-8)')} AS z_nation, 0.0::DOUBLE AS z_constant

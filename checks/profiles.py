@@ -30,7 +30,7 @@ def _rounded_areas(t):
 
 
 def _decimal(expr: str, digits: int) -> str:
-    text = f"printf('%.{max(digits, 1)}f', round_even({expr}, {digits}))"
+    text = f"printf('%.{max(digits, 1)}f', {expr if digits else f'round_even({expr}, 0)'})"
     return f"regexp_replace({text}, '(\\.\\d+?)0+$', '\\1')" if digits > 1 else text
 
 
@@ -53,12 +53,12 @@ text AS (SELECT *, concat(
   neighborhood, ' in ', borough, '. CDTA area about ', """
     + _decimal("area_km2", 1)
     + """, ' km2. ', storefront_filing_count, ' non-vacant storefront filings; ',
-  CASE WHEN round_even(storefront_density_per_km2, 1) > 30 THEN 'extremely dense' WHEN round_even(storefront_density_per_km2, 1) > 10 THEN 'dense'
-       WHEN round_even(storefront_density_per_km2, 1) > 3 THEN 'moderate' ELSE 'sparse' END, ' filing density (', """
+  CASE WHEN CAST(printf('%.1f', storefront_density_per_km2) AS DOUBLE) > 30 THEN 'extremely dense' WHEN CAST(printf('%.1f', storefront_density_per_km2) AS DOUBLE) > 10 THEN 'dense'
+       WHEN CAST(printf('%.1f', storefront_density_per_km2) AS DOUBLE) > 3 THEN 'moderate' ELSE 'sparse' END, ' filing density (', """
     + _decimal("storefront_density_per_km2", 1)
     + """, '/km2). ', category_diversity, ' distinct primary-business-activity buckets from storefront filings. Activity mix diversity is ',
-  CASE WHEN round_even(category_entropy, 2) > 0.8 THEN 'highly diverse' WHEN round_even(category_entropy, 2) > 0.6 THEN 'diverse'
-       WHEN round_even(category_entropy, 2) > 0.4 THEN 'moderate' ELSE 'limited' END, ' (entropy ', """
+  CASE WHEN CAST(printf('%.2f', category_entropy) AS DOUBLE) > 0.8 THEN 'highly diverse' WHEN CAST(printf('%.2f', category_entropy) AS DOUBLE) > 0.6 THEN 'diverse'
+       WHEN CAST(printf('%.2f', category_entropy) AS DOUBLE) > 0.4 THEN 'moderate' ELSE 'limited' END, ' (entropy ', """
     + _decimal("category_entropy", 2)
     + """, '). ', CASE WHEN trunc(avg_pedestrian) > 5000 THEN 'very high' WHEN trunc(avg_pedestrian) > 3000 THEN 'high'
        WHEN trunc(avg_pedestrian) > 1500 THEN 'moderate' ELSE 'low' END, ' foot traffic (avg ', CAST(trunc(avg_pedestrian) AS BIGINT),
@@ -79,7 +79,7 @@ text AS (SELECT *, concat(
   '; total population proxy (sum of those three groups) about ', format('{:,}', CAST(trunc(total_population_proxy) AS BIGINT)), '.',
   CASE WHEN storefront_filing_count > 0 THEN ' Non-vacant storefront filings by primary business activity: ' || storefront_filing_count || ' total. Counts by activity: '
      || array_to_string(list_transform(cat, lambda x: x.label || ' (' || x.n || ')'), ', ') || '.' ELSE '' END,
-  CASE WHEN nfh_overall_score IS NOT NULL THEN ' Neighborhood financial health overall index score is ' || printf('%.2f', round_even(nfh_overall_score, 2)) || '.' ELSE '' END
+  CASE WHEN nfh_overall_score IS NOT NULL THEN ' Neighborhood financial health overall index score is ' || printf('%.2f', CAST(printf('%.2f', nfh_overall_score) AS DOUBLE)) || '.' ELSE '' END
   ) AS text FROM cats)
 """
 )
@@ -177,7 +177,7 @@ mm AS (""" + " UNION ALL ".join(
 ) + """),
 long_master AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT '{m}' AS feature, {m} AS x FROM master" for m in _METRICS) + """),
 metrics AS MATERIALIZED (SELECT mm.cluster, any_value(size) AS size, mm.feature, any_value(mean) AS mean,
-   CAST(round_even(100.0 * count(*) FILTER (WHERE x <= mean) / count(x), 0) AS INT) AS percentile
+   CAST(round_even(100::DOUBLE * (count(*) FILTER (WHERE x <= mean) / count(x)), 0) AS INT) AS percentile
    FROM mm JOIN long_master l ON l.feature = mm.feature GROUP BY mm.cluster, mm.feature),
 banded AS (SELECT *, CASE WHEN percentile >= 95 THEN 'extreme' WHEN percentile >= 80 THEN 'very high' WHEN percentile >= 65 THEN 'high'
    WHEN percentile <= 20 THEN 'low' ELSE 'moderate' END AS band FROM metrics)
@@ -268,14 +268,14 @@ shares AS MATERIALIZED ("""
     + """),
 placed AS MATERIALIZED (SELECT cluster, position, any_value(col) AS col, s.feature, any_value(mean_share) AS mean_share,
      CAST(round_even(100.0 * any_value(n) / greatest(any_value(CASE WHEN filings > 0 THEN filings ELSE total END), 1), 0) AS INT) AS share,
-     CAST(round_even(100.0 * count(*) FILTER (WHERE x <= mean_share) / count(x), 0) AS INT) AS percentile
+     CAST(round_even(100::DOUBLE * (count(*) FILTER (WHERE x <= mean_share) / count(x)), 0) AS INT) AS percentile
    FROM sums s JOIN shares h ON h.feature = s.feature WHERE n > 0 GROUP BY cluster, position, s.feature),
 """
     + _top_sql("tops", "placed", "true", "mean_share DESC, position", f"{_label('col')} || '—' || share || '% of filings, ' || percentile || 'th pct density'", 3)
     + ", "
-    + _top_sql("ups", "cent", "z >= 0.45 AND feature LIKE 'act%'", "z DESC, position", f"{_label('feature')} || ' (' || printf('%.2f', round_even(z, 2)) || ')'", 4)
+    + _top_sql("ups", "cent", "z >= 0.45 AND feature LIKE 'act%'", "z DESC, position", f"{_label('feature')} || ' (' || printf('%.2f', CAST(printf('%.2f', z) AS DOUBLE)) || ')'", 4)
     + ", "
-    + _top_sql("downs", "cent", "z <= -0.45 AND feature LIKE 'act%'", "z, position", f"{_label('feature')} || ' (' || printf('%.2f', round_even(z, 2)) || ')'", 3)
+    + _top_sql("downs", "cent", "z <= -0.45 AND feature LIKE 'act%'", "z, position", f"{_label('feature')} || ' (' || printf('%.2f', CAST(printf('%.2f', z) AS DOUBLE)) || ')'", 3)
     + f""",
 mixes AS (SELECT tops.cluster, 'Granular storefront mix: top categories by density are ' || {_join('tops.items')} || '.'
     || CASE WHEN ups.items IS NOT NULL THEN ' Unusually elevated category densities include ' || {_join('ups.items')} || '.' ELSE '' END

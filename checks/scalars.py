@@ -395,3 +395,15 @@ def b25_dedupe(t):
 def b18_category(t):
     df = area_table(t)
     return df.select("neighborhood", r6(S.competition_score(COUNT_COLUMNS[0], "avg_pedestrian"), "score"))
+
+
+@check(
+    "t11_rounded_texts",
+    """SELECT o_orderkey, CAST(printf('%.2f', x) AS DOUBLE) AS two, CAST(printf('%.1f', x) AS DOUBLE) AS one, round_even(100::DOUBLE * (n / 40), 0) AS whole
+    FROM (SELECT o_orderkey, CAST(o_orderkey % 4000 * 10 + 5 AS DOUBLE) / 1000 AS x, o_orderkey % 41 AS n FROM orders)""",
+)
+def t11(t):
+    """Values whose decimal text is a tie, as 2.675 and 1.015: the binary value decides."""
+    x = (F.col("o_orderkey") % 4000 * 10 + 5).cast("double") / 1000
+    share = F.lit(100.0) * ((F.col("o_orderkey") % 41).cast("double") / 40)
+    return t("orders").select("o_orderkey", S.half_even(x, 2).alias("two"), S.half_even(x, 1).alias("one"), S.half_even(share).alias("whole"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from arealens.functions.predicates import HardFilter
 from arealens.operators import ranking as R
 from arealens.operators import vectors as V
-from arealens.session import stage_table
+from arealens.session import scratch_path, stage_table
 from checks.base import check, r6, s6
 from checks.derived import AREA_SQL, COSINE_SQL, area_table, area_vectors, vector_of
 
@@ -13,10 +13,39 @@ COS_Q = COSINE_SQL.format(a="e.embedding", b="q.embedding")
 QUERY_SQL = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 
 
-@check("h1_embed_text", "SELECT doc_id, 256 AS dimensions, 1.0::DOUBLE AS length FROM documents")
+_SPACE_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM documents),
+c AS MATERIALIZED (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS b, count(*) AS n FROM w GROUP BY ALL),
+i AS (SELECT b, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) AS weight FROM c GROUP BY b),
+t AS (SELECT doc_id, b, n * weight AS x FROM c JOIN i USING (b)),
+l AS (SELECT doc_id, sqrt(sum(x * x)) AS length FROM t GROUP BY doc_id),
+unit AS MATERIALIZED (SELECT doc_id, b, x / length AS v FROM t JOIN l USING (doc_id) WHERE length > 0)
+"""
+
+
+@check("h1_embed_text", _SPACE_SQL + "SELECT doc_id, b::INTEGER AS bucket, round(v, 3) + 0.0 AS v FROM unit WHERE abs(v) > 1e-9")
 def h1(t):
     out = V.embed_text(t("documents").select("doc_id", "text"), "text")
-    return out.select("doc_id", F.size("embedding").alias("dimensions"), F.round(V.norm(F.col("embedding")), 4).alias("length"))
+    out = out.select("doc_id", F.posexplode("embedding").alias("bucket", "v")).filter("abs(v) > 1e-9")
+    return out.withColumn("v", F.round(F.col("v").cast("double"), 3) + 0.0)
+
+
+@check(
+    "h1_text_query",
+    _SPACE_SQL
+    + """, q AS (SELECT b, v FROM unit WHERE doc_id = 1),
+    s AS (SELECT unit.doc_id, sum(unit.v * q.v) AS v FROM unit JOIN q USING (b) GROUP BY 1)
+    SELECT doc_id, round(coalesce(s.v, 0), 3) + 0.0 AS similarity FROM documents LEFT JOIN s USING (doc_id)""",
+)
+def h1_query(t):
+    """A query text, embedded in the saved space of the corpus, against every document: the query is document 1's text."""
+    docs = t("documents").select("doc_id", "text")
+    path = scratch_path(t.spark, "space")
+    V.TextSpace.fit(docs, "text").save(t.spark, path)
+    space = V.TextSpace.load(t.spark, path)
+    query = space.embed_query(t.spark, docs.filter("doc_id = 1").first()["text"])
+    found = space.embed(docs, "text")
+    return found.select("doc_id", (F.round(V.cosine_similarity("embedding", query), 3) + 0.0).alias("similarity"))
 
 
 @check("h1_embed_text_with_model", "SELECT doc_id, length(text) AS length, length(text) - length(replace(text, 'e', '')) AS n_e FROM documents")
@@ -44,7 +73,7 @@ def h2(t):
 def h3(t):
     spec = HardFilter(("PROMO", "SMALL", "LARGE"), {"p_size": 10}, {"p_retailprice": 940}, "p_type")
     vectors = t("embeddings").withColumnRenamed("vec_id", "p_partkey")
-    out = V.match_entities(t("part"), vectors, vector_of(t, 0), spec, "p_partkey")
+    out = V.match_entities(t("part"), vectors, vector_of(t, 0), spec, "p_partkey", limit=50)
     return out.select("p_partkey", "p_name", r6("similarity"))
 
 
@@ -108,7 +137,7 @@ def h5_category(t):
     labels, briefs = _lookups(t)
     out = R.rank_entities(
         area_table(t), area_vectors(t), vector_of(t, 0), alpha=0.35, source="act_N_AND_O_storefront", assignments=labels,
-        briefs=briefs, small_rows=0,
+        briefs=briefs,
     )
     return out.select(*_RANKED, *[r6(c) for c in _SCORES])
 
@@ -184,7 +213,7 @@ def h7_ties(t):
         F.floor(F.col("c_acctbal") / 500).alias("y"),
     )
     # Small blocks and no small-table route: the path that large groups take.
-    return R.kendall_tau(df, ["g"], "x", "y", ["k"], block=16, small_rows=0).select("g", r6("kendall_tau"))
+    return R.kendall_tau(df, ["g"], "x", "y", ["k"], block=16).select("g", r6("kendall_tau"))
 
 
 @check(

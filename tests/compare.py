@@ -63,6 +63,7 @@ def compare(df, con, sql):
 def main() -> int:
     from pyspark.sql import SparkSession
 
+    from arealens.session import ensure_shared_folder, release
     from checks import load_checks
     from checks.base import Tables
 
@@ -78,6 +79,7 @@ def main() -> int:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_shared_folder(spark)
     con, failed = connect(folder), 0
     for name, (fn, sql) in load_checks().items():
         if args and not any(name.startswith(a) for a in args):
@@ -89,6 +91,7 @@ def main() -> int:
             note = "ok" if sql else f"rows {df.count()}"
         except Exception as e:  # noqa: BLE001 - a report lists every failure
             problem = f"{type(e).__name__}: {str(e)[:500]}"
+        release(spark)
         failed += problem is not None
         print(f"{'FAIL' if problem else note:8} {time.time() - start:6.2f}s {name} {problem or ''}", flush=True)
     print(f"{failed} failed")

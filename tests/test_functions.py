@@ -81,6 +81,12 @@ def test_scores_keep_missing_inputs_missing(spark):
     assert values(spark, "a double, b double", rows, S.log_interaction("a", "b"))[1:3] == [None, 0.0]
 
 
+def test_rounding_follows_the_binary_value(spark):
+    got = values(spark, "x double", [(2.675,), (1.015,), (1.005,), (0.125,), (-2.675,), (-0.125,), (2.5e17,), (None,)], S.half_even("x", 2))
+    assert got == [2.67, 1.01, 1.0, 0.12, -2.67, -0.12, 2.5e17, None]
+    assert values(spark, "x double", [(0.5,), (1.5,), (57.49999999999999,), (-0.5,)], S.half_even("x")) == [0.0, 2.0, 57.0, 0.0]
+
+
 def test_rounding_is_half_even(spark):
     assert values(spark, "x double", [(0.125,), (0.375,), (2.5,)], S.half_even("x", 2)) == [0.12, 0.38, 2.5]
 

@@ -23,18 +23,17 @@ def test_minmax_of_a_constant_column_is_zero_and_one_row_scores_half(spark):
     assert R.minmax_blend(df.limit(1), "s", "c", 0.8).first().blended_score == 0.5
 
 
-@pytest.mark.parametrize("small_rows", [100, 0])
-def test_ranks_break_ties_by_key_and_put_missing_last(spark, small_rows):
+def test_ranks_break_ties_by_key_and_put_missing_last(spark):
     df = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", None), ("d", 2.0)], "k string, s double")
-    got = {r.k: r["rank"] for r in O.rank_desc(df, "s", ["k"], small_rows=small_rows).collect()}
+    got = {r.k: r["rank"] for r in O.rank_desc(df, "s", ["k"]).collect()}
     assert got == {"d": 1, "a": 2, "b": 3, "c": 4}
-    mean = {r.k: r["rank"] for r in O.rank_average(df, "s", small_rows=small_rows).collect()}
+    mean = {r.k: r["rank"] for r in O.rank_average(df, "s").collect()}
     assert mean == {"d": 1.0, "a": 2.5, "b": 2.5, "c": 4.0}
 
 
 def test_one_hot_group_is_numbered_like_a_window(spark):
     df = spark.range(5000).select((F.col("id") % 7 == 0).cast("int").alias("g"), (F.col("id") * 37 % 1000).alias("s"), "id")
-    a = O.number_within(df, ["g"], ["s", "id"], small_rows=0)
+    a = O.number_within(df, ["g"], ["s", "id"])
     b = O.number_within(df, ["g"], ["s", "id"])
     assert a.exceptAll(b).count() == 0 and a.count() == 5000
 
@@ -73,18 +72,17 @@ def test_bracketed_quantile_is_exact_on_a_hot_skewed_group(spark, p):
     rows = [("hot", rng.choice([1.0, 1.0, rng.lognormvariate(0, 4)])) for _ in range(20_000)]
     rows += [("small", float(i)) for i in range(4)] + [("gap", None), ("nan", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r.v for r in A.exact_quantile(df, ["g"], ["v"], p, small_rows=0).collect()}
+    got = {r.g: r.v for r in A.exact_quantile(df, ["g"], ["v"], p).collect()}
     hot = [v for g, v in rows if g == "hot"]
     assert got["hot"] == pytest.approx(float(np.quantile(hot, p)), rel=1e-12)
     assert got["small"] == pytest.approx(float(np.quantile([0, 1, 2, 3], p)))
     assert got.get("gap") is None and got.get("nan") is None
 
 
-@pytest.mark.parametrize("small_rows", [1000, 0])
-def test_imputation_uses_the_filled_column_for_the_overall_median(spark, small_rows):
+def test_imputation_uses_the_filled_column_for_the_overall_median(spark):
     rows = [("a", 1.0), ("a", None), ("a", 3.0), ("b", 100.0), ("b", None), ("b", None), ("c", None), (None, None)]
     df = spark.createDataFrame(rows, "g string, v double").withColumn("z", F.lit(None).cast("double"))
-    got = A.impute_hierarchical(df, ["v", "z"], "g", ["z"], small_rows=small_rows).collect()
+    got = A.impute_hierarchical(df, ["v", "z"], "g", ["z"]).collect()
     filled = [1.0, 2.0, 3.0, 100.0, 100.0, 100.0]
     assert sorted(r.v for r in got if r.g in ("a", "b")) == filled
     assert {r.v for r in got if r.g in ("c", None)} == {statistics.median(filled)}

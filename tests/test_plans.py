@@ -71,8 +71,33 @@ def test_adhoc_sql_is_read_only(spark, sql):
     assert adhoc_select(df, "SELECT max(n) AS m FROM neighborhoods").first().m == 4
 
 
-def test_adhoc_rows_are_limited(spark):
-    assert adhoc_select(spark.range(1000), "WITH a AS (SELECT * FROM neighborhoods) SELECT id FROM a -- all").count() == presets.ADHOC_ROWS
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM neighborhoods",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM neighborhoods",
+        "SELECT * FROM csv.`/etc/hosts`",
+        "SELECT * FROM other",
+        "SELECT * FROM neighborhoods JOIN other USING (n)",
+        "SELECT * FROM neighborhoods WHERE n IN (SELECT n FROM other)",
+        "SELECT * FROM range(10)",
+    ],
+)
+def test_adhoc_sql_sees_only_its_view(spark, sql):
+    spark.range(5).withColumnRenamed("id", "n").createOrReplaceTempView("other")
+    with pytest.raises(Exception):
+        adhoc_select(spark.range(5).withColumnRenamed("id", "n"), sql).collect()
+
+
+def test_adhoc_leaves_a_view_of_the_same_name_alone(spark):
+    spark.range(3).createOrReplaceTempView("neighborhoods")
+    assert adhoc_select(spark.range(7), "SELECT count(*) AS c FROM neighborhoods").first().c == 7
+    assert spark.table("neighborhoods").count() == 3
+
+
+def test_adhoc_returns_all_rows_unless_asked(spark):
+    assert adhoc_select(spark.range(1000), "WITH a AS (SELECT * FROM neighborhoods) SELECT id FROM a -- all").count() == 1000
+    assert adhoc_select(spark.range(1000), "SELECT id FROM neighborhoods", rows=150).count() == 150
 
 
 def test_upsert_replaces_by_key(spark):
