@@ -266,7 +266,11 @@ def link_large(members: DataFrame, size: int, threshold: int, block_shingles: in
         if chosen.isEmpty():
             return links
         pivots = members.drop("block").join(chosen, ["component", "node"])
-        pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        # names of their own, as the table meets itself
+        pivots = pivots.select(
+            F.col("component").alias("component"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"),
+            F.col("node").alias("node"), F.col("_text").alias("_text"),
+        )
         near = (
             members.groupBy("component", "block")
             .cogroup(pivots.groupBy("component", "block"))
