@@ -186,10 +186,12 @@ def exact_quantile(
         low = F.element_at("_cuts", F.greatest(F.lit(1), F.floor(share(first))).cast("int"))
         high = F.element_at("_cuts", F.least(F.lit(65), F.ceil(share(last)) + 2).cast("int"))
         many = F.col("_inside") > held
+        # a bracket that does not move is held by equal values at both ends, which count as one each
+        moved = many & ((low > F.col("_lo")) | (high < F.col("_hi")))
         brackets = stage_table(
             found.select(
                 *cell, "_n", "_i", "_p", F.when(many, low).otherwise(F.col("_lo")).alias("_lo"),
-                F.when(many, high).otherwise(F.col("_hi")).alias("_hi"), (F.col("_inside") / 16).alias("_left"),
+                F.when(many, high).otherwise(F.col("_hi")).alias("_hi"), F.when(moved, F.col("_inside") / 16).alias("_left"),
             ),
             "brackets",
         )
