@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from arealens import presets
 from arealens.functions import scalars as S
-from arealens.functions.predicates import HardFilter, hard_filter
+from arealens.functions.predicates import HardFilter, filter_counts, hard_filter
 from arealens.operators.joins import attach_lookup, reject_collisions
 from arealens.operators.ordering import join_groups, number_within, order_by_score, rank_average, rank_delta, rank_desc
 from arealens.operators.vectors import cosine_similarity, similarity_matrix
@@ -124,6 +124,12 @@ def rank_entities(
     return ranked
 
 
+def ranking_counts(df: DataFrame, vectors: DataFrame, key: str = "neighborhood", spec: HardFilter | None = None, vector: str = "embedding") -> DataFrame:
+    """One row beside a ranking: entities with a vector, and those of them that pass the filter."""
+    held = vectors.filter(F.col(vector).isNotNull()).select(key).distinct()
+    return filter_counts(df.join(held, key, "left_semi"), spec or HardFilter())
+
+
 def _scores_per_query(vectors: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, query, similarity) for every entity and query, without joining the two tables.
 

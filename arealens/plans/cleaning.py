@@ -108,7 +108,9 @@ def clean_health_index(df: DataFrame) -> DataFrame | None:
     lacks a needed column."""
     if missing_columns(df, ["CD", *presets.INDEX_BASE_RENAMES, "Goal", "IndexScore", "GoalRank"]):
         return None
-    keyed = with_file_order(df).withColumn("cd", S.normalize_join_key("CD")) if "cd" not in df.columns else df
+    keyed = with_file_order(df)
+    if "cd" not in df.columns:
+        keyed = keyed.withColumn("cd", S.normalize_join_key("CD"))
     keyed = keyed.filter(F.col("cd").isNotNull())
     base = dedupe_first(keyed.select("cd", *presets.INDEX_BASE_RENAMES, ROW), ["cd"], [ROW]).select(
         "cd", *[S.clean_numeric_string(c).alias(name) for c, name in presets.INDEX_BASE_RENAMES.items()]

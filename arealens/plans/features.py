@@ -29,8 +29,11 @@ def area_features(polygons: DataFrame, project: SP.Projection = G.lambert_confor
 def storefront_features(
     joined: DataFrame, values: Sequence[str] | None = None, ensure: Sequence[str] = ()
 ) -> DataFrame:
-    """Filings per area and category; ``ensure`` adds category columns that may have no filing."""
-    counts = stage_table(A.category_counts(joined, KEYS, "business_activity_category"), "category-counts")
+    """Filings per area and category; ``ensure`` adds category columns that may have no filing. Without a category column
+    every filing counts as unknown."""
+    category = "business_activity_category"
+    label = F.col(category) if category in joined.columns else F.lit(presets.UNKNOWN_LABEL)
+    counts = stage_table(A.category_counts(joined, KEYS, label), "category-counts")
     columns = sorted({*(values if values is not None else A.category_values(counts)), *ensure})
     return A.category_pivot(counts, KEYS, columns)
 
@@ -52,6 +55,8 @@ def merge_features(
     order = ["_profile_cd" if c == "cd" else c for c in profile_order]
     wide = J.join_on_normalized_key(wide, side, "cd", "_profile_cd", order, attributes)
     wide = stage_table(wide, "merged")
+    if attributes:
+        J.warn_if_unmatched(wide, "cd", attributes[0])
 
     imputed = [*attributes, *[c for c in FLOW if c in wide.columns]]
     wide = A.impute_hierarchical(wide, imputed, "borough", FLOW)

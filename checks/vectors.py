@@ -126,6 +126,17 @@ def h5(t):
     return out.select(*_RANKED, *[r6(c) for c in _SCORES])
 
 
+@check(
+    "h5_ranking_counts",
+    AREA_SQL
+    + """SELECT count(*) AS n_total, count(*) FILTER (WHERE borough IN ('PROMO', 'SMALL', 'LARGE', 'MEDIUM') AND avg_pedestrian >= 2000
+           AND storefront_filing_count >= 15) AS n_filtered FROM feat WHERE neighborhood IN (SELECT 'Area ' || vec_id FROM embeddings)""",
+)
+def h5_counts(t):
+    spec = HardFilter.from_request(boroughs=["PROMO", "SMALL", "LARGE", "MEDIUM"], min_avg_pedestrian=2000, min_storefront_filings=15)
+    return R.ranking_counts(area_table(t), area_vectors(t), spec=spec)
+
+
 @check(
     "h5_rank_by_category",
     AREA_SQL
