@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arealens.session import stage_table
 
-__all__ = ["partitions", "shielded", "stage_table"]
+__all__ = ["deal", "partitions", "shielded", "stage_table"]
 
 
 def partitions(df: DataFrame, factor: int = 1) -> int:
@@ -14,6 +14,11 @@ def partitions(df: DataFrame, factor: int = 1) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * factor
 
 
+def deal(df: DataFrame, n: int, column: str) -> DataFrame:
+    """Rows of bucket i (0 .. n - 1) go to partition i: one bucket a task, where hashing bucket numbers would pile some up."""
+    return df.repartitionById(n, F.col(column).cast("int"))
+
+
 def shielded(stage):
     """Runs a stage on columns renamed by position, so that no name in ``docs`` can clash with names a stage adds.
 

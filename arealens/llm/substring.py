@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from arealens.llm import textbatch as tb
-from arealens.llm.staging import partitions
+from arealens.llm.staging import deal, partitions
 
 WIDTH = 13
 BATCH_BYTES = 12 << 20
@@ -41,6 +41,11 @@ def window_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np
     return values[whole], rows[whole]
 
 
+def place_of(batch: int, buckets: int) -> int:
+    """Bucket that carries what belongs to a whole batch; neighbouring batches lie apart for any number of buckets."""
+    return (batch * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) % buckets
+
+
 def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -85,7 +90,7 @@ def packed_batch(ids: np.ndarray, sums: np.ndarray, values: np.ndarray, rows: np
         cut = tb.row_starts(rows, len(ids))
         masks = [np.packbits(removed[cut[r] : cut[r + 1]]).tobytes() for r in own.tolist()]
         counts = np.array([len(m) for m in masks], "<u4")
-        yield batch % buckets, batch, True, np.stack([ids[own], sums[own]]).astype("<i8").tobytes(), counts.tobytes(), b"".join(masks)
+        yield place_of(batch, buckets), batch, True, np.stack([ids[own], sums[own]]).astype("<i8").tobytes(), counts.tobytes(), b"".join(masks)
     open_ = np.flatnonzero(~removed)
     sent = open_[first_of_row(values[open_], rows[open_])]
     where = bucket_of(values[sent], buckets)
@@ -282,7 +287,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"),
     )
     packed = pack_windows(rows.select("_id", "_sum", "_text"), width, buckets)
-    settled = settle(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch"))
+    settled = settle(deal(packed, buckets, "bucket").sortWithinPartitions("bucket", "batch"))
     marks = by_document(settled.repartition(buckets, "batch").sortWithinPartitions("batch", "bucket"))
     marked = rows.join(marks.dropDuplicates(["_id", "_sum"]), ["_id", "_sum"], "left")
     kind = docs.schema[key].dataType.simpleString()
