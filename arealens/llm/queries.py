@@ -155,7 +155,53 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
-@query("op5_template_decontam")
+def _template_sql(source: str, key: str, out: str) -> str:
+    """raw (values in marks) and tokens (marks alone) of a table, as ``decontam.marked`` and ``decontam.template`` make them."""
+    mark = {m: f"chr({ord(m)})" for m in (decontam.NAME, decontam.NUMBER, decontam.UNIT)}
+    text = "coalesce(text, '')"
+    for m in mark.values():
+        text = f"replace({text}, {m}, '')"
+    name, number, unit = mark.values()
+    text = f"regexp_replace({text}, '{decontam.NAME_RUN}', '\\1' || {name} || '\\2' || {name}, 'g')"
+    text = f"regexp_replace({text}, '{decontam.NUMBER_RUN}', {number} || '\\1' || {number}, 'g')"
+    units = decontam.UNIT_RUN.replace(decontam.NUMBER, "\\x02")
+    text = f"regexp_replace({text}, '{units}', '\\1' || {unit} || '\\2' || {unit}, 'g')"
+    plain = "mark"
+    for i, m in enumerate(mark.values(), 1):
+        plain = f"regexp_replace({plain}, '\\x0{i}[^\\x0{i}]*\\x0{i}', {m} || ' ', 'g')"
+    return f"""
+{out}m AS (SELECT {key} AS id, text, {text} AS mark FROM {source}),
+{out} AS MATERIALIZED (SELECT id, md5(coalesce(text, '')) AS h, regexp_extract_all(mark, '{decontam.RAW_TOKEN}') AS raw,
+  regexp_extract_all(lower({plain}), '{decontam.TOKEN}') AS tokens FROM {out}m)"""
+
+
+_W = decontam.WIDTH
+LEAK_SQL = f"""
+WITH {_template_sql('(SELECT DISTINCT doc_id, text FROM documents)', 'doc_id', 'd')},
+{_template_sql('benchmark', 'item_id', 'b')},
+i AS MATERIALIZED (SELECT tokens, min(id) AS item, arg_min(raw, id) AS raw FROM b WHERE id IS NOT NULL AND len(tokens) >= {_W} GROUP BY tokens),
+ip AS (SELECT item, tokens, unnest(range(0, len(tokens) - {_W - 1})) AS ip FROM i),
+iw AS (SELECT item, ip, array_to_string(tokens[ip + 1 : ip + {_W}], ' ') AS w FROM ip
+       WHERE len(list_filter(tokens[ip + 1 : ip + {_W}], lambda t: t > chr(4))) >= {decontam.LITERALS}),
+dp AS (SELECT id, h, tokens, unnest(range(0, len(tokens) - {_W - 1})) AS p FROM d WHERE len(tokens) >= {_W}),
+dw AS (SELECT id, h, p, array_to_string(tokens[p + 1 : p + {_W}], ' ') AS w FROM dp),
+m AS MATERIALIZED (SELECT DISTINCT id, h, item, p - ip AS shift, ip FROM dw JOIN iw USING (w)),
+c AS MATERIALIZED (SELECT DISTINCT id, h, item, shift, unnest(range(ip, ip + {_W})) AS at FROM m),
+g AS (SELECT id, h, item, shift, count(*) AS n_tokens FROM c GROUP BY ALL),
+f AS MATERIALIZED (SELECT g.*, len(i.tokens) AS item_tokens FROM g JOIN i USING (item) WHERE n_tokens >= least({decontam.LEAST}, len(i.tokens))),
+s AS (SELECT f.id, f.h, f.item, f.shift, lower(i.raw[c.at + 1]) AS own, lower(d.raw[c.at + 1 + f.shift]) AS other
+      FROM f JOIN c USING (id, h, item, shift) JOIN i USING (item) JOIN d USING (id, h) WHERE i.raw[c.at + 1] < chr(4)),
+k AS (SELECT id, h, item, shift, count(*) AS n_slots, count(*) FILTER (own <> other) AS n_changed,
+             count(DISTINCT own || other) = count(DISTINCT own) AS consistent FROM s GROUP BY ALL),
+j AS (SELECT f.*, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed FROM f LEFT JOIN k USING (id, h, item, shift)
+      WHERE coalesce(consistent, true)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, item ORDER BY n_tokens DESC, n_changed, n_slots DESC) AS nth FROM j)
+SELECT id AS doc_id, item AS item_id, CASE WHEN n_changed = 0 THEN 'verbatim' ELSE 'reparameterised' END AS kind,
+       n_tokens::BIGINT AS n_tokens, item_tokens::BIGINT AS item_tokens, n_slots::BIGINT AS n_slots, n_changed::BIGINT AS n_changed FROM r WHERE nth = 1
+"""
+
+
+@query("op5_template_decontam", LEAK_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, word for word or with other numbers and names."""
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
