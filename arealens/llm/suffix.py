@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from arealens.llm import textbatch as tb
-from arealens.llm.staging import partitions, stage_table
-from arealens.llm.substring import NO_KEY, bucket_of, covered, runs
+from arealens.llm.staging import deal, partitions, stage_table
+from arealens.llm.substring import NO_KEY, bucket_of, covered, place_of, runs
 from arealens.llm.syncmers import sliding_min
 
 LENGTH, SEED, CROWD = 400, 64, 2000
@@ -68,7 +68,8 @@ class Anchors:
         self.last = at[np.append(edge[1:], len(at)) - 1]
         self.at = chosen[edge]
         self.row = np.searchsorted(offsets, self.first, "right") - 1
-        self.key = hashes[self.at]
+        # the least hashes are all small numbers: mixed again, they spread over all buckets
+        self.key = tb.mix(hashes[self.at] + tb.BASE)
         whole = tb.stretch_hash(self.prefix, self.first, self.last + length)
         shape = ((self.at - self.first) << 32 | (self.last - self.first)).astype(np.uint64)
         self.context = tb.mix(whole ^ tb.mix(shape))
@@ -111,7 +112,7 @@ def packed_batch(ids, sums, counts, keys, contexts, batch: int, buckets: int) ->
             yield "context", b, batch, context[lo:hi].tobytes(), (often[lo:hi] > 1).tobytes(), None
     head = np.concatenate([ids, sums, counts]).astype("<i8").tobytes()
     edges = np.concatenate([key_edge, context_edge]).astype("<i8").tobytes()
-    yield "map", batch % buckets, batch, head, edges, np.stack([key_of, context_of]).astype("<u4").tobytes()
+    yield "map", place_of(batch, buckets), batch, head, edges, np.stack([key_of, context_of]).astype("<u4").tobytes()
 
 
 def pack_anchors(docs: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
@@ -422,7 +423,7 @@ def repeated_windows(rows: DataFrame, length: int, seed: int, crowd: int, factor
     """STRETCHES of starts of repeated windows of a table (_id, _sum, _text); stretches of one document may touch."""
     buckets = partitions(rows, factor)
     packed = pack_anchors(rows, length, seed, buckets)
-    settled = settle(packed.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket", "batch"), crowd)
+    settled = settle(deal(packed, buckets, "bucket").sortWithinPartitions("kind", "bucket", "batch"), crowd)
     states = by_document(settled.repartition(buckets, "batch").sortWithinPartitions("batch"))
     marked = rows.join(states, ["_id", "_sum"])
     work = stage_table(contexts(marked, length, seed), "contexts")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from arealens.llm import textbatch as tb
-from arealens.llm.staging import partitions
+from arealens.llm.staging import deal, partitions
 
 K, S = 48, 8
 
@@ -149,7 +149,7 @@ def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     if cuts:
         guest = guest.when(F.col("_key").isin(cuts), place(part - 1, True))
     both = rows.withColumn("_at", F.explode(F.array_compact(F.array(place(part, False), guest))))
-    dealt = both.select("_key", "_text", "_at._part", "_at._guest").repartition(n, "_part")
+    dealt = deal(both.select("_key", "_text", "_at._part", "_at._guest"), n, "_part")
     return dealt.sortWithinPartitions("_part", "_guest", F.col("_key").asc_nulls_first(), "_text")
 
 
