@@ -33,7 +33,7 @@ from arealens.llm.syncmers import sliding_min
 
 LENGTH, SEED, CROWD = 400, 64, 2000
 BATCH_BYTES = 12 << 20
-POOL_BYTES = 1 << 20
+POOL_BYTES = 1 << 18
 PLACE = np.uint64((1 << 28) - 1)
 SEPARATOR = 0xFF  # no byte of UTF-8
 
@@ -301,7 +301,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     start = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank = np.zeros(n + 1, np.int64)
@@ -312,7 +312,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     while reach < depth and len(open_):
         follow = rank[np.minimum(open_ + reach, n)] + 1
         own = rank[open_]
-        turn = np.argsort(own * (n + 1) + follow, kind="stable")
+        turn = np.argsort(own * (n + 1) + follow)
         open_, own, follow = open_[turn], own[turn], follow[turn]
         old = np.concatenate([[True], own[1:] != own[:-1]])
         new = old | np.concatenate([[True], follow[1:] != follow[:-1]])
@@ -320,7 +320,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         rank[open_] = own + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(old, at, 0))
         open_ = open_[~(new & np.append(new[1:], True))]
         reach *= 2
-    return np.argsort(rank[:n], kind="stable")
+    return np.argsort(rank[:n])
 
 
 def long_common(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
