@@ -8,7 +8,8 @@ from arealens.llm.staging import stage_table
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.min("b").alias("least"))
+    """Written once: as a table of its own it joins through a plain exchange, which adaptive execution splits at a busy node."""
+    return stage_table(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,8 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long) that has an edge; component is the least node reachable.
 
     Edges turn step by step towards the least neighbour until all point at the least node of their component. Every
-    step is two aggregates, combined before the shuffle, and two joins that adaptive execution splits at busy nodes; its
-    result is written once, so a lost executor repeats one step. Loops (a = b) are ignored.
+    step is two aggregates, combined before the shuffle, and two joins that adaptive execution splits at busy nodes; their
+    results are written once, so a lost executor repeats one step. Loops (a = b) are ignored.
     """
     state, edges = None, stage_table(edges.select("a", "b").filter("a != b").distinct(), "edges")
     while True:
