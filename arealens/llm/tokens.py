@@ -77,14 +77,16 @@ def count_tokens(docs: DataFrame, tokenizers: Mapping[str, str], text: str = "te
     return kept.mapInArrow(count, schema)
 
 
-def signed(counted: DataFrame, sign: int, versions: Mapping[str, str]) -> DataFrame:
+def signed(counted: DataFrame, sign: int, versions: Mapping[str, str], times: str | None = None) -> DataFrame:
     """Change rows of counted documents: +1 for inserts, -1 for deletes; ``versions`` maps version to count column.
 
-    A revised count is a delete of the old and an insert of the new count.
+    A revised count is a delete of the old and an insert of the new count. ``times`` names a column that says how many equal
+    documents a row stands for.
     """
+    many = F.lit(sign).cast("long") * (F.col(times) if times else F.lit(1))
     pairs = F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"`{c}`").alias("n")) for v, c in versions.items()])
-    return counted.select("source", "lang", F.explode(pairs).alias("_p")).select(
-        "source", "lang", "_p.tokenizer", F.lit(sign).cast("long").alias("n_docs"), (F.col("_p.n") * sign).alias("n_tokens")
+    return counted.select("source", "lang", many.alias("n_docs"), F.explode(pairs).alias("_p")).select(
+        "source", "lang", "_p.tokenizer", "n_docs", (F.col("_p.n") * F.col("n_docs")).alias("n_tokens")
     )
 
 
@@ -162,7 +164,8 @@ def maintain(docs: DataFrame, folder: str, tokenizers: Mapping[str, str]) -> Rol
     """A rollup of ``docs`` (doc_id, text, source, lang) brought up in three batches, each delivered twice.
 
     ``load`` inserts every document; ``revise`` replaces the counts of texts that tidying changes; ``withdraw`` deletes
-    every document whose whole text is also that of a smaller doc_id. Documents without text are never withdrawn.
+    all but one of the documents with one whole text (the smallest doc_id stays, of repeated rows one). Documents without
+    text are never withdrawn.
     """
     raw = docs.select("doc_id", "source", "lang", "text")
     neat = tidy(F.col("text"))
@@ -175,13 +178,17 @@ def maintain(docs: DataFrame, folder: str, tokenizers: Mapping[str, str]) -> Rol
     versions = {v: f"n_{v}" for v in tokenizers}
     store = Rollup(docs.sparkSession, folder)
     now = counted.filter("state > 0")
-    keepers = now.filter("_sha is not null").groupBy("_sha").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    gone = now.join(keepers.filter("_n > 1").drop("_n"), "_sha").filter("doc_id > _first or doc_id is null and _first is not null")
+    # equal texts have equal counts: copies shrink to one row per source and language before they meet
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang")).alias("least")
+    counts = [F.first(c).alias(c) for c in versions.values()]
+    copies = now.filter("_sha is not null").groupBy("_sha", "source", "lang").agg(F.count(F.lit(1)).alias("n"), least, *counts)
+    first = copies.groupBy("_sha").agg(F.sum("n").alias("all"), F.min("least").alias("first")).filter("all > 1")
+    gone = copies.join(first, "_sha").withColumn("gone", F.col("n") - F.col("least").eqNullSafe(F.col("first")).cast("long"))
     old, new = counted.filter("state = 0"), counted.filter("state = 1")
     deliveries = {
         "load": signed(counted.filter("state != 1"), 1, versions),
         "revise": signed(old, -1, versions).unionByName(signed(new, 1, versions)),
-        "withdraw": signed(gone, -1, versions),
+        "withdraw": signed(gone.filter("gone > 0"), -1, versions, "gone"),
     }
     for batch in ("load", "revise", "revise", "withdraw", "load", "withdraw"):
         store.commit(batch, deliveries[batch])
