@@ -66,14 +66,27 @@ def slots(mark: Column) -> Column:
     return F.filter(placed, lambda p: F.substring(p["value"], 1, 1) < F.lit("\x04"))
 
 
-def item_windows(benchmark: DataFrame, width: int, literals: int, key: str, text: str) -> DataFrame:
-    """(item, n_tokens, slots, pos, hash): windows with enough literal words; of items with one template the least key."""
+BEST = ["consistent", "n_tokens", "item_tokens", "n_slots", "n_changed"]
+
+
+def better(of: str) -> Column:
+    """Order of the diagonals on which one item stands in one document."""
+    return F.struct(f"{of}consistent", f"{of}n_tokens", -F.col(f"{of}n_changed"), f"{of}n_slots")
+
+
+def item_forms(benchmark: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """(family, tokens, item_slots, item): every template with all the slot values its items have; of equal items the least key."""
     mark = marked(F.col(f"`{text}`"))
     items = benchmark.select(F.col(f"`{key}`").alias("item"), mark.alias("mark"))
     items = items.select("item", template(F.col("mark")).alias("tokens"), slots(F.col("mark")).alias("item_slots"))
     items = items.filter(F.col("item").isNotNull() & (F.size("tokens") >= width))
-    items = items.groupBy("tokens").agg(F.min("item").alias("item"), F.min_by("item_slots", "item").alias("item_slots"))
-    placed = items.select("item", F.size("tokens").alias("item_tokens"), "item_slots", "tokens", F.posexplode(windows(F.col("tokens"), width)).alias("pos", "hash"))
+    return items.groupBy(F.xxhash64("tokens").alias("family"), "tokens", "item_slots").agg(F.min("item").alias("item"))
+
+
+def item_windows(items: DataFrame, width: int, literals: int) -> DataFrame:
+    """(family, item_tokens, pos, hash): windows with enough literal words, once for all items of one template."""
+    items = items.select("family", "tokens").distinct()
+    placed = items.select("family", F.size("tokens").alias("item_tokens"), "tokens", F.posexplode(windows(F.col("tokens"), width)).alias("pos", "hash"))
     words = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, width), lambda t: t > F.lit("\x04")))
     return placed.filter(words >= literals).drop("tokens")
 
@@ -83,38 +96,42 @@ def leaks(
     key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """(_id, _sum, item, best): one row per document text and benchmark item it leaks; see ``contaminated``."""
-    items = stage_table(item_windows(benchmark, width, literals, item_key, item_text), "benchmark-windows")
-    heads = items.select("item", "item_tokens", "item_slots").distinct()
-    found = items.select("item", "hash", F.col("pos").alias("item_pos"))
+    items = stage_table(item_forms(benchmark, width, item_key, item_text), "benchmark-items")
+    found = stage_table(item_windows(items, width, literals), "benchmark-windows").withColumnRenamed("pos", "item_pos")
     found = F.broadcast(found) if found.count() <= BROADCAST_WINDOWS else found
     known = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_sum"), F.col(f"`{text}`").alias("_text"))
     # tokens are a column of their own, so that they are made once and not again for every window
     tokens = known.select("_id", "_sum", template(marked(F.col("_text"))).alias("_tokens"))
     hashed = tokens.select("_id", "_sum", F.posexplode(windows(F.col("_tokens"), width)).alias("pos", "hash"))
     met = hashed.join(found, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    diagonal = met.groupBy("_id", "_sum", "item", "shift").agg(F.count_distinct("item_pos").alias("n"), F.collect_set("item_pos").alias("places"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.lit(width - 1))))))
-    diagonal = diagonal.join(F.broadcast(heads) if heads.count() <= BROADCAST_WINDOWS // 10 else heads, "item").withColumn("n_tokens", covered)
-    diagonal = diagonal.filter(F.col("n_tokens") >= F.least(F.lit(least), F.col("item_tokens")))
+    spot = ["_id", "_sum", "family", "shift"]
+    diagonal = met.groupBy(*spot).agg(F.max("item_tokens").alias("item_tokens"), F.collect_set("item_pos").alias("places"))
+    covered = lambda places: F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.lit(width - 1))))))
+    bar = F.least(F.lit(least), F.col("item_tokens"))
+    diagonal = diagonal.filter(covered("places") >= bar)
     # only documents with slots bring their slot values, not their texts
     valued = known.filter(F.col("_text").rlike(MAY_HAVE_SLOTS)).select("_id", "_sum", slots(marked(F.col("_text"))).alias("doc_slots"))
     valued = valued.dropDuplicates(["_id", "_sum"])
     same = diagonal["_id"].eqNullSafe(valued["_id"]) & (diagonal["_sum"] == valued["_sum"])
-    both = diagonal.join(valued, same, "left").select(
-        diagonal["_id"], diagonal["_sum"], "item", "shift", "places", "n_tokens", "item_tokens", "item_slots", "doc_slots"
-    )
-    under = lambda at: F.exists("places", lambda p: (p <= at) & (at < p + F.lit(width)))
     there = F.map_from_entries(F.coalesce("doc_slots", F.array().cast("array<struct<at:int,value:string>>")))
-    pairs = F.transform(
-        F.filter("item_slots", lambda s: under(s["at"])),
-        lambda s: F.struct(s["value"].alias("own"), F.element_at(there, s["at"] + F.col("shift")).alias("other")),
-    )
-    judged = both.withColumn("pairs", pairs).withColumn("kinds", F.array_distinct("pairs"))
+    both = diagonal.join(valued, same, "left").select(*[diagonal[c] for c in spot], "item_tokens", "places", there.alias("there"))
+    # every item of the template is judged by its own slot values
+    forms = items.select("family", "item", "item_slots")
+    both = both.join(F.broadcast(forms) if forms.count() <= BROADCAST_WINDOWS // 10 else forms, "family")
+    under = lambda places, at: F.exists(places, lambda p: (p <= at) & (at < p + F.lit(width)))
+    pair = lambda s: F.struct(s["at"].alias("at"), s["value"].alias("own"), F.element_at("there", s["at"] + F.col("shift")).alias("other"))
+    both = both.withColumn("pairs", F.transform("item_slots", pair)).drop("there", "item_slots")
+    both = both.withColumn("n_tokens", covered("places")).filter(F.col("n_tokens") >= bar)
+    both = both.withColumn("pairs", F.filter("pairs", lambda q: under("places", q["at"])))
+    differs = lambda q: ~q["own"].eqNullSafe(q["other"])
+    both = both.withColumn("kinds", F.array_distinct(F.transform("pairs", lambda q: F.struct(q["own"], q["other"]))))
     consistent = F.size("kinds") == F.size(F.array_distinct(F.transform("kinds", lambda p: p["own"])))
-    changed = F.size(F.filter("pairs", lambda p: ~p["own"].eqNullSafe(p["other"])))
-    judged = judged.filter(consistent).select("_id", "_sum", "item", "n_tokens", "item_tokens", F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
-    best = F.struct("n_tokens", -F.col("n_changed"), "n_slots")
-    return judged.groupBy("_id", "_sum", "item").agg(F.max_by(F.struct("n_tokens", "item_tokens", "n_slots", "n_changed"), best).alias("best"))
+    judged = both.withColumn("consistent", consistent).filter(F.col("consistent"))
+    judged = judged.withColumn("n_slots", F.size("pairs")).withColumn("n_changed", F.size(F.filter("pairs", differs)))
+    # of one template the item that stands there with the fewest changes, and the least key of several
+    row = F.struct("item", *BEST)
+    nearest = judged.groupBy(*spot).agg(F.min_by(row, F.struct(~F.col("consistent"), -F.col("n_tokens"), "n_changed", "item")).alias("b")).select("_id", "_sum", "b.*")
+    return nearest.groupBy("_id", "_sum", "item").agg(F.max_by(F.struct(*BEST), better("")).alias("best"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", **options) -> DataFrame:
@@ -122,8 +139,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 
     A leak is ``least`` template tokens of the item (all, if it has fewer) under matching windows of one diagonal whose slots are
     consistent: every value of the item stands for one value of the document throughout. ``kind`` is ``verbatim`` if all slots are
-    equal, else ``reparameterised``. Of items that share a template the least key is reported. Only windows with ``literals`` plain
-    words count, so texts made of placeholders match nothing.
+    equal, else ``reparameterised``. Items that share a template are judged one by one; of those on one diagonal the one with the
+    fewest changed slots is reported, of several the least key. Only windows with ``literals`` plain words count, so texts made of
+    placeholders match nothing.
 
     Items of fewer than ``width`` tokens, NULL and empty texts and NULL items match nothing; an empty benchmark leaks nowhere.
     Repeated rows of one document report once; rows with equal keys and different texts are judged one by one and reported
@@ -131,8 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     join by a shuffle on the hash that adaptive execution may split.
     """
     found = leaks(docs, benchmark, key=key, item_key=item_key, **options)
-    best = F.struct("best.n_tokens", -F.col("best.n_changed"), "best.n_slots")
-    found = found.groupBy("_id", "item").agg(F.max_by("best", best).alias("b"))
+    found = found.groupBy("_id", "item").agg(F.max_by("best", better("best.")).alias("b"))
     return found.select(
         F.col("_id").alias(key),
         F.col("item").alias(item_key),

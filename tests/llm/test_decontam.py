@@ -62,3 +62,17 @@ def test_empty_tables(spark, tables):
 def test_no_python_in_the_plan(tables):
     plan = decontam.contaminated(*tables)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def kinds(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r.kind for r in found.collect()}
+
+
+def test_every_item_of_a_template_is_judged_by_its_own_values(spark):
+    text = "a basket holds {} apples and the other one on the table holds {} pears so how many pieces of fruit are there"
+    items = [(1, text.format(2, 2)), (2, text.format(3, 5)), (3, text.format(4, 7))]
+    got = kinds(spark, items, [FRONT + text.format(3, 5) + BACK, FRONT + text.format(4, 7) + BACK, FRONT + ITEMS[4][1] + BACK])
+    assert got == {(0, 2): "verbatim", (1, 3): "verbatim"}
+    assert kinds(spark, [i for i in ITEMS if i[0] in (1, 5)], [FRONT + ITEMS[4][1] + BACK]) == {(0, 5): "verbatim"}
