@@ -32,6 +32,9 @@ NUMBER_RUN = r"([+-]?\p{Nd}+(?:[.,]\p{Nd}+)*)"
 UNIT_RUN = rf"({NUMBER} ?)({'|'.join(UNITS)})\b"
 SLOT_VALUE = r"\x01[^\x01]*\x01|\x02[^\x02]*\x02|\x03[^\x03]*\x03"
 MAY_HAVE_SLOTS = r"\p{Nd}|[\p{L}\p{N},;:)] \p{Lu}"
+WHITE = r"[\s\p{Z}]"
+# White space other than one blank in front of a name or a unit.
+HIDDEN_SLOT = rf"[\p{{L}}\p{{N}},;:)](?! \p{{Lu}}){WHITE}+\p{{Lu}}|\p{{Nd}}(?! \p{{L}}){WHITE}+\p{{L}}"
 RAW_TOKEN = SLOT_VALUE + r"|\p{L}+"
 TOKEN = r"[\x01\x02\x03]|\p{L}+"
 
@@ -52,6 +55,12 @@ def template(mark: Column) -> Column:
     return F.regexp_extract_all(F.lower(out), F.lit(TOKEN), F.lit(0))
 
 
+def spaced(text: Column) -> Column:
+    """The text and, where white space other than one blank hides a name or a unit, the text with single blanks."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(HIDDEN_SLOT), F.array(text, F.regexp_replace(text, WHITE + "+", " "))).otherwise(F.array(text))
+
+
 def windows(tokens: Column, width: int) -> Column:
     """Hash of every ``width`` neighbouring tokens, in order; none if there are fewer."""
     n = F.size(tokens) - F.lit(width - 1)
@@ -75,12 +84,25 @@ def better(of: str) -> Column:
 
 
 def item_forms(benchmark: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(family, tokens, item_slots, item): every template with all the slot values its items have; of equal items the least key."""
-    mark = marked(F.col(f"`{text}`"))
-    items = benchmark.select(F.col(f"`{key}`").alias("item"), mark.alias("mark"))
-    items = items.select("item", template(F.col("mark")).alias("tokens"), slots(F.col("mark")).alias("item_slots"))
-    items = items.filter(F.col("item").isNotNull() & (F.size("tokens") >= width))
-    return items.groupBy(F.xxhash64("tokens").alias("family"), "tokens", "item_slots").agg(F.min("item").alias("item"))
+    """(family, tokens, item_slots, fresh, item): every template with all the slot values its items have; of equal items the least key.
+
+    An item has templates of its text, of the text with single blanks, and of the lower-case text, where names are plain words.
+    The last has in ``fresh`` the places of the windows that the others have not, else ``fresh`` is NULL.
+    """
+    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    texts = F.array_distinct(F.concat(spaced(own), F.array(F.lower(own))))
+    items = benchmark.select(F.col(f"`{key}`").alias("item"), F.xxhash64(own).alias("own"), F.size(spaced(own)).alias("typed"), F.posexplode(texts).alias("form", "text"))
+    items = items.filter("item is not null").select("item", "own", (F.col("form") >= F.col("typed")).alias("low"), marked(F.col("text")).alias("mark"))
+    items = items.select("item", "own", "low", template(F.col("mark")).alias("tokens"), slots(F.col("mark")).alias("item_slots"))
+    items = items.withColumn("hashes", windows(F.col("tokens"), width)).filter(F.size("tokens") >= width)
+    typed = items.filter("not low")
+    other = typed.groupBy("item", "own").agg(F.flatten(F.collect_set("hashes")).alias("others"))
+    low = items.filter("low").join(other, ["item", "own"], "left")
+    placed = F.transform("hashes", lambda h, i: F.when(~F.array_contains(F.coalesce("others", F.array().cast("array<bigint>")), h), i))
+    low = low.withColumn("fresh", F.array_compact(placed)).filter(F.size("fresh") > 0)
+    columns = ["tokens", "item_slots", "fresh", "item"]
+    items = typed.withColumn("fresh", F.lit(None).cast("array<int>")).select(columns).unionByName(low.select(columns))
+    return items.groupBy(F.xxhash64("tokens").alias("family"), "tokens", "item_slots", "fresh").agg(F.min("item").alias("item"))
 
 
 def item_windows(items: DataFrame, width: int, literals: int) -> DataFrame:
@@ -99,28 +121,30 @@ def leaks(
     items = stage_table(item_forms(benchmark, width, item_key, item_text), "benchmark-items")
     found = stage_table(item_windows(items, width, literals), "benchmark-windows").withColumnRenamed("pos", "item_pos")
     found = F.broadcast(found) if found.count() <= BROADCAST_WINDOWS else found
-    known = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_sum"), F.col(f"`{text}`").alias("_text"))
+    texts = F.posexplode(spaced(F.col(f"`{text}`"))).alias("_form", "_text")
+    known = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_sum"), texts)
     # tokens are a column of their own, so that they are made once and not again for every window
-    tokens = known.select("_id", "_sum", template(marked(F.col("_text"))).alias("_tokens"))
-    hashed = tokens.select("_id", "_sum", F.posexplode(windows(F.col("_tokens"), width)).alias("pos", "hash"))
+    tokens = known.select("_id", "_sum", "_form", template(marked(F.col("_text"))).alias("_tokens"))
+    hashed = tokens.select("_id", "_sum", "_form", F.posexplode(windows(F.col("_tokens"), width)).alias("pos", "hash"))
     met = hashed.join(found, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    spot = ["_id", "_sum", "family", "shift"]
+    spot = ["_id", "_sum", "_form", "family", "shift"]
     diagonal = met.groupBy(*spot).agg(F.max("item_tokens").alias("item_tokens"), F.collect_set("item_pos").alias("places"))
     covered = lambda places: F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.lit(width - 1))))))
     bar = F.least(F.lit(least), F.col("item_tokens"))
     diagonal = diagonal.filter(covered("places") >= bar)
     # only documents with slots bring their slot values, not their texts
-    valued = known.filter(F.col("_text").rlike(MAY_HAVE_SLOTS)).select("_id", "_sum", slots(marked(F.col("_text"))).alias("doc_slots"))
-    valued = valued.dropDuplicates(["_id", "_sum"])
-    same = diagonal["_id"].eqNullSafe(valued["_id"]) & (diagonal["_sum"] == valued["_sum"])
+    valued = known.filter(F.col("_text").rlike(MAY_HAVE_SLOTS)).select("_id", "_sum", "_form", slots(marked(F.col("_text"))).alias("doc_slots"))
+    valued = valued.dropDuplicates(["_id", "_sum", "_form"])
+    same = diagonal["_id"].eqNullSafe(valued["_id"]) & (diagonal["_sum"] == valued["_sum"]) & (diagonal["_form"] == valued["_form"])
     there = F.map_from_entries(F.coalesce("doc_slots", F.array().cast("array<struct<at:int,value:string>>")))
     both = diagonal.join(valued, same, "left").select(*[diagonal[c] for c in spot], "item_tokens", "places", there.alias("there"))
     # every item of the template is judged by its own slot values
-    forms = items.select("family", "item", "item_slots")
+    forms = items.select("family", "item", "fresh", "item_slots")
     both = both.join(F.broadcast(forms) if forms.count() <= BROADCAST_WINDOWS // 10 else forms, "family")
     under = lambda places, at: F.exists(places, lambda p: (p <= at) & (at < p + F.lit(width)))
     pair = lambda s: F.struct(s["at"].alias("at"), s["value"].alias("own"), F.element_at("there", s["at"] + F.col("shift")).alias("other"))
     both = both.withColumn("pairs", F.transform("item_slots", pair)).drop("there", "item_slots")
+    both = both.filter(F.col("fresh").isNull() | F.arrays_overlap("fresh", "places"))
     both = both.withColumn("n_tokens", covered("places")).filter(F.col("n_tokens") >= bar)
     both = both.withColumn("pairs", F.filter("pairs", lambda q: under("places", q["at"])))
     differs = lambda q: ~q["own"].eqNullSafe(q["other"])
@@ -143,6 +167,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     fewest changed slots is reported, of several the least key. Only windows with ``literals`` plain words count, so texts made of
     placeholders match nothing.
 
+    Names and units are also looked up behind line breaks and wider white space, and items also with their names in lower case.
+    Text in capitals is one name. A name that opens a sentence is a plain word.
+
     Items of fewer than ``width`` tokens, NULL and empty texts and NULL items match nothing; an empty benchmark leaks nowhere.
     Repeated rows of one document report once; rows with equal keys and different texts are judged one by one and reported
     under their key. Other columns are left out. Benchmark windows are broadcast up to ``BROADCAST_WINDOWS`` (counted), else they

@@ -76,3 +76,10 @@ def test_every_item_of_a_template_is_judged_by_its_own_values(spark):
     got = kinds(spark, items, [FRONT + text.format(3, 5) + BACK, FRONT + text.format(4, 7) + BACK, FRONT + ITEMS[4][1] + BACK])
     assert got == {(0, 2): "verbatim", (1, 3): "verbatim"}
     assert kinds(spark, [i for i in ITEMS if i[0] in (1, 5)], [FRONT + ITEMS[4][1] + BACK]) == {(0, 5): "verbatim"}
+
+
+def test_copies_in_lower_case_and_with_other_line_breaks(spark):
+    text = "One morning the baker Anna Lee sold 12 loaves to her friend Bob Cole, then gave 3 hours to Carla and the rest to Dan, who met Eve at noon."
+    wrapped = text.replace(" Anna", "\nAnna").replace(" Cole", "\n  Cole").replace(" Carla", "\r\nCarla").replace("3 hours", "3\nhours")
+    assert kinds(spark, [(1, text)], [FRONT + text.lower() + BACK, FRONT + wrapped + BACK]) == {(0, 1): "verbatim", (1, 1): "verbatim"}
+    assert kinds(spark, [(1, wrapped)], [FRONT + text + BACK, text.replace("Carla", "Gina")]) == {(0, 1): "verbatim", (1, 1): "reparameterised"}
