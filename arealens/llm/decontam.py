@@ -68,10 +68,28 @@ def windows(tokens: Column, width: int) -> Column:
     return F.when(n > 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def slots(mark: Column) -> Column:
-    """(token position, value) of every slot; names compare without case."""
-    raw = F.regexp_extract_all(mark, F.lit(RAW_TOKEN), F.lit(0))
-    placed = F.transform(raw, lambda t, i: F.struct(i.alias("at"), F.lower(t).alias("value")))
+def exact_windows(tokens: Column, values: Column, width: int, literals: int) -> Column:
+    """As ``windows``, but those with fewer than ``literals`` plain words are hashed with the values of their slots."""
+    n = F.size(tokens) - F.lit(width - 1)
+    poor = lambda i: F.size(F.filter(F.slice(tokens, i, width), lambda t: t > F.lit("\x04"))) < literals
+    one = lambda i: F.when(poor(i), F.xxhash64(F.lit("exact"), F.slice(values, i, width))).otherwise(F.xxhash64(F.slice(tokens, i, width)))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast("array<bigint>"))
+
+
+def crowded(width: int, literals: int) -> str:
+    """Pattern of marked texts that may have a window with fewer than ``literals`` plain words."""
+    gap = rf"[^\p{{L}}{NAME}-{UNIT}]*+(?:\p{{L}}++[^\p{{L}}{NAME}-{UNIT}]*+){{0,{max(literals - 1, 0)}}}+"
+    return rf"(?:{SLOT_VALUE})(?:{gap}(?:{SLOT_VALUE})){{{max(width - literals, 0)}}}"
+
+
+def valued_tokens(mark: Column) -> Column:
+    """Tokens of the template with the value of every slot; names compare without case."""
+    return F.regexp_extract_all(F.lower(mark), F.lit(RAW_TOKEN), F.lit(0))
+
+
+def slots(values: Column) -> Column:
+    """(token position, value) of every slot."""
+    placed = F.transform(values, lambda t, i: F.struct(i.alias("at"), t.alias("value")))
     return F.filter(placed, lambda p: F.substring(p["value"], 1, 1) < F.lit("\x04"))
 
 
@@ -84,7 +102,7 @@ def better(of: str) -> Column:
 
 
 def item_forms(benchmark: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(family, tokens, item_slots, fresh, item): every template with all the slot values its items have; of equal items the least key.
+    """(family, tokens, values, fresh, item): every template with all the slot values its items have; of equal items the least key.
 
     An item has templates of its text, of the text with single blanks, and of the lower-case text, where names are plain words.
     The last has in ``fresh`` the places of the windows that the others have not, else ``fresh`` is NULL.
@@ -93,24 +111,24 @@ def item_forms(benchmark: DataFrame, width: int, key: str, text: str) -> DataFra
     texts = F.array_distinct(F.concat(spaced(own), F.array(F.lower(own))))
     items = benchmark.select(F.col(f"`{key}`").alias("item"), F.xxhash64(own).alias("own"), F.size(spaced(own)).alias("typed"), F.posexplode(texts).alias("form", "text"))
     items = items.filter("item is not null").select("item", "own", (F.col("form") >= F.col("typed")).alias("low"), marked(F.col("text")).alias("mark"))
-    items = items.select("item", "own", "low", template(F.col("mark")).alias("tokens"), slots(F.col("mark")).alias("item_slots"))
+    items = items.select("item", "own", "low", template(F.col("mark")).alias("tokens"), valued_tokens(F.col("mark")).alias("values"))
     items = items.withColumn("hashes", windows(F.col("tokens"), width)).filter(F.size("tokens") >= width)
     typed = items.filter("not low")
     other = typed.groupBy("item", "own").agg(F.flatten(F.collect_set("hashes")).alias("others"))
     low = items.filter("low").join(other, ["item", "own"], "left")
     placed = F.transform("hashes", lambda h, i: F.when(~F.array_contains(F.coalesce("others", F.array().cast("array<bigint>")), h), i))
     low = low.withColumn("fresh", F.array_compact(placed)).filter(F.size("fresh") > 0)
-    columns = ["tokens", "item_slots", "fresh", "item"]
+    columns = ["tokens", "values", "fresh", "item"]
     items = typed.withColumn("fresh", F.lit(None).cast("array<int>")).select(columns).unionByName(low.select(columns))
-    return items.groupBy(F.xxhash64("tokens").alias("family"), "tokens", "item_slots", "fresh").agg(F.min("item").alias("item"))
+    return items.groupBy(F.xxhash64("tokens").alias("family"), "tokens", "values", "fresh").agg(F.min("item").alias("item"))
 
 
 def item_windows(items: DataFrame, width: int, literals: int) -> DataFrame:
-    """(family, item_tokens, pos, hash): windows with enough literal words, once for all items of one template."""
-    items = items.select("family", "tokens").distinct()
-    placed = items.select("family", F.size("tokens").alias("item_tokens"), "tokens", F.posexplode(windows(F.col("tokens"), width)).alias("pos", "hash"))
+    """(family, item_tokens, pos, hash, poor): windows, once for all items of one template; those poor in words once for all equal values."""
+    hashes = F.posexplode(exact_windows(F.col("tokens"), F.col("values"), width, literals)).alias("pos", "hash")
+    placed = items.select("family", F.size("tokens").alias("item_tokens"), "tokens", hashes)
     words = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, width), lambda t: t > F.lit("\x04")))
-    return placed.filter(words >= literals).drop("tokens")
+    return placed.withColumn("poor", words < literals).drop("tokens").distinct()
 
 
 def leaks(
@@ -124,30 +142,39 @@ def leaks(
     texts = F.posexplode(spaced(F.col(f"`{text}`"))).alias("_form", "_text")
     known = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_sum"), texts)
     # tokens are a column of their own, so that they are made once and not again for every window
-    tokens = known.select("_id", "_sum", "_form", template(marked(F.col("_text"))).alias("_tokens"))
-    hashed = tokens.select("_id", "_sum", "_form", F.posexplode(windows(F.col("_tokens"), width)).alias("pos", "hash"))
+    mark = F.col("_mark")
+    tokens = known.select("_id", "_sum", "_form", marked(F.col("_text")).alias("_mark"))
+    dense = F.when(mark.rlike(crowded(width, literals)), valued_tokens(mark))
+    tokens = tokens.select("_id", "_sum", "_form", template(mark).alias("_tokens"), dense.alias("_values"))
+    tokens_, values = F.col("_tokens"), F.col("_values")
+    hashes = F.when(values.isNull(), windows(tokens_, width)).otherwise(exact_windows(tokens_, values, width, literals))
+    hashed = tokens.select("_id", "_sum", "_form", F.posexplode(hashes).alias("pos", "hash"))
     met = hashed.join(found, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
     spot = ["_id", "_sum", "_form", "family", "shift"]
-    diagonal = met.groupBy(*spot).agg(F.max("item_tokens").alias("item_tokens"), F.collect_set("item_pos").alias("places"))
+    places = [F.collect_set(F.when(of, F.col("item_pos"))).alias(n) for n, of in (("rich", ~F.col("poor")), ("exact", F.col("poor")))]
+    diagonal = met.groupBy(*spot).agg(F.max("item_tokens").alias("item_tokens"), *places)
     covered = lambda places: F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.lit(width - 1))))))
     bar = F.least(F.lit(least), F.col("item_tokens"))
-    diagonal = diagonal.filter(covered("places") >= bar)
+    diagonal = diagonal.filter(covered(F.concat("rich", "exact")) >= bar)
     # only documents with slots bring their slot values, not their texts
-    valued = known.filter(F.col("_text").rlike(MAY_HAVE_SLOTS)).select("_id", "_sum", "_form", slots(marked(F.col("_text"))).alias("doc_slots"))
+    valued = known.filter(F.col("_text").rlike(MAY_HAVE_SLOTS)).select("_id", "_sum", "_form", slots(valued_tokens(marked(F.col("_text")))).alias("doc_slots"))
     valued = valued.dropDuplicates(["_id", "_sum", "_form"])
     same = diagonal["_id"].eqNullSafe(valued["_id"]) & (diagonal["_sum"] == valued["_sum"]) & (diagonal["_form"] == valued["_form"])
     there = F.map_from_entries(F.coalesce("doc_slots", F.array().cast("array<struct<at:int,value:string>>")))
-    both = diagonal.join(valued, same, "left").select(*[diagonal[c] for c in spot], "item_tokens", "places", there.alias("there"))
+    both = diagonal.join(valued, same, "left").select(*[diagonal[c] for c in spot], "item_tokens", "rich", "exact", there.alias("there"))
     # every item of the template is judged by its own slot values
-    forms = items.select("family", "item", "fresh", "item_slots")
+    forms = items.select("family", "item", "fresh", slots(F.col("values")).alias("item_slots"))
     both = both.join(F.broadcast(forms) if forms.count() <= BROADCAST_WINDOWS // 10 else forms, "family")
     under = lambda places, at: F.exists(places, lambda p: (p <= at) & (at < p + F.lit(width)))
     pair = lambda s: F.struct(s["at"].alias("at"), s["value"].alias("own"), F.element_at("there", s["at"] + F.col("shift")).alias("other"))
     both = both.withColumn("pairs", F.transform("item_slots", pair)).drop("there", "item_slots")
+    differs = lambda q: ~q["own"].eqNullSafe(q["other"])
+    # a window poor in words counts for the items whose values stand there
+    changed = lambda p: F.exists("pairs", lambda q: (p <= q["at"]) & (q["at"] < p + F.lit(width)) & differs(q))
+    both = both.withColumn("places", F.concat("rich", F.filter("exact", lambda p: ~changed(p))))
     both = both.filter(F.col("fresh").isNull() | F.arrays_overlap("fresh", "places"))
     both = both.withColumn("n_tokens", covered("places")).filter(F.col("n_tokens") >= bar)
     both = both.withColumn("pairs", F.filter("pairs", lambda q: under("places", q["at"])))
-    differs = lambda q: ~q["own"].eqNullSafe(q["other"])
     both = both.withColumn("kinds", F.array_distinct(F.transform("pairs", lambda q: F.struct(q["own"], q["other"]))))
     consistent = F.size("kinds") == F.size(F.array_distinct(F.transform("kinds", lambda p: p["own"])))
     judged = both.withColumn("consistent", consistent).filter(F.col("consistent"))
@@ -164,8 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     A leak is ``least`` template tokens of the item (all, if it has fewer) under matching windows of one diagonal whose slots are
     consistent: every value of the item stands for one value of the document throughout. ``kind`` is ``verbatim`` if all slots are
     equal, else ``reparameterised``. Items that share a template are judged one by one; of those on one diagonal the one with the
-    fewest changed slots is reported, of several the least key. Only windows with ``literals`` plain words count, so texts made of
-    placeholders match nothing.
+    fewest changed slots is reported, of several the least key. Windows with fewer than ``literals`` plain words count only where
+    all their slot values are equal, so texts made of other numbers and names match nothing.
 
     Names and units are also looked up behind line breaks and wider white space, and items also with their names in lower case.
     Text in capitals is one name. A name that opens a sentence is a plain word.

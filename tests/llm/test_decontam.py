@@ -83,3 +83,12 @@ def test_copies_in_lower_case_and_with_other_line_breaks(spark):
     wrapped = text.replace(" Anna", "\nAnna").replace(" Cole", "\n  Cole").replace(" Carla", "\r\nCarla").replace("3 hours", "3\nhours")
     assert kinds(spark, [(1, text)], [FRONT + text.lower() + BACK, FRONT + wrapped + BACK]) == {(0, 1): "verbatim", (1, 1): "verbatim"}
     assert kinds(spark, [(1, wrapped)], [FRONT + text + BACK, text.replace("Carla", "Gina")]) == {(0, 1): "verbatim", (1, 1): "reparameterised"}
+
+
+def test_copies_rich_in_numbers_and_names(spark):
+    sums = "Compute 12 + 7 * 3 - 4 / 2 and give 5 digits of 9 times 8 plus 6 minus 1."
+    german = "Im Garten hinter dem Haus stehen Birnen, Pflaumen, Kirschen, Quitten, Nelken, Rosen, Tulpen, Astern, Dahlien, Lilien, Farne, Moose, Gras."
+    row = "2019 12 31 4.5 6.7 8.9 10 11 12 13 14 15 16 17"
+    other = "".join(str((int(c) + 3) % 10) if c.isdigit() else c for c in sums)
+    texts = [FRONT + t + BACK for t in (sums, german, row, other, row.replace("6.7", "7.6").replace("12 13", "1 2"))]
+    assert kinds(spark, [(1, sums), (2, german), (3, row)], texts) == {(i, i + 1): "verbatim" for i in range(3)}
