@@ -177,7 +177,10 @@ def leaks(
     both = both.withColumn("pairs", F.filter("pairs", lambda q: under("places", q["at"])))
     both = both.withColumn("kinds", F.array_distinct(F.transform("pairs", lambda q: F.struct(q["own"], q["other"]))))
     consistent = F.size("kinds") == F.size(F.array_distinct(F.transform("kinds", lambda p: p["own"])))
-    judged = both.withColumn("consistent", consistent).filter(F.col("consistent"))
+    # plain words under windows whose slots are all equal: a copy with few changes, whatever the other slots say
+    both = both.withColumn("copied", F.filter("places", lambda p: ~changed(p)))
+    words = covered("copied") - F.size(F.filter("pairs", lambda q: under("copied", q["at"])))
+    judged = both.withColumn("consistent", consistent).filter(F.col("consistent") | (words >= bar))
     judged = judged.withColumn("n_slots", F.size("pairs")).withColumn("n_changed", F.size(F.filter("pairs", differs)))
     # of one template the item that stands there with the fewest changes, and the least key of several
     row = F.struct("item", *BEST)
@@ -190,7 +193,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 
     A leak is ``least`` template tokens of the item (all, if it has fewer) under matching windows of one diagonal whose slots are
     consistent: every value of the item stands for one value of the document throughout. ``kind`` is ``verbatim`` if all slots are
-    equal, else ``reparameterised``. Items that share a template are judged one by one; of those on one diagonal the one with the
+    equal, else ``reparameterised``. A diagonal with inconsistent slots is a leak of kind ``altered`` if the windows whose slots are
+    all equal hold as many plain words. Items that share a template are judged one by one; of those on one diagonal the one with the
     fewest changed slots is reported, of several the least key. Windows with fewer than ``literals`` plain words count only where
     all their slot values are equal, so texts made of other numbers and names match nothing.
 
@@ -207,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     return found.select(
         F.col("_id").alias(key),
         F.col("item").alias(item_key),
-        F.when(F.col("b.n_changed") == 0, "verbatim").otherwise("reparameterised").alias("kind"),
+        F.when(~F.col("b.consistent"), "altered").when(F.col("b.n_changed") == 0, "verbatim").otherwise("reparameterised").alias("kind"),
         *[F.col(f"b.{c}").cast("long").alias(c) for c in ("n_tokens", "item_tokens", "n_slots", "n_changed")],
     )
 

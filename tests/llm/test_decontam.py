@@ -92,3 +92,9 @@ def test_copies_rich_in_numbers_and_names(spark):
     other = "".join(str((int(c) + 3) % 10) if c.isdigit() else c for c in sums)
     texts = [FRONT + t + BACK for t in (sums, german, row, other, row.replace("6.7", "7.6").replace("12 13", "1 2"))]
     assert kinds(spark, [(1, sums), (2, german), (3, row)], texts) == {(i, i + 1): "verbatim" for i in range(3)}
+
+
+def test_long_copy_with_one_repeated_number_changed(spark):
+    text = ITEMS[0][1] + " nobody on the platform knew whether the two of them would ever meet again before the long winter came down"
+    texts = [FRONT + text.replace("120", "121", 1) + BACK, FRONT + text + BACK, FRONT + text.replace("120", "121") + BACK]
+    assert kinds(spark, [(1, text)], texts) == {(0, 1): "altered", (1, 1): "verbatim", (2, 1): "reparameterised"}
