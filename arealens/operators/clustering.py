@@ -27,7 +27,6 @@ from arealens.session import stage_table
 STD_FLOOR = 1e-8
 SILHOUETTE_BLOCK = 1024
 BROADCAST_VALUES = 4_000_000
-SEED_ROWS = 2_000
 
 
 def feature_set(df: DataFrame, requested: Sequence[str]) -> list[str]:
@@ -276,20 +275,38 @@ def silhouette_squared(df: DataFrame, vector: str, cluster: str = "cluster") ->
     return ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(features)
 
 
-def sweep_starts(df: DataFrame, vector: str, max_k: int, seed: int = 42, sample: int = SEED_ROWS) -> list[list[float]]:
-    """``max_k`` spread-out rows by k-means++ over the first ``sample`` rows in hash order; k clusters start from the first k.
+def sweep_starts(df: DataFrame, vector: str, max_k: int, seed: int = 42) -> list[list[float]]:
+    """``max_k`` spread-out rows by k-means++ over all different vectors, one scan for each; k clusters start from the first k.
 
-    The draw depends on the rows and the seed alone, not on partitions. Fewer different rows give fewer starts.
+    The next start is drawn by squared distance from the last ones: hashes are exponential draws, and the least in proportion to
+    its distance wins. The draw depends on the rows and the seed alone, not on partitions or copies. Fewer different rows give
+    fewer starts.
     """
-    order = F.xxhash64(F.col(vector), F.lit(seed))
-    rows = df.filter(F.col(vector).isNotNull()).select(vector).orderBy(order).limit(sample).collect()
-    points = np.unique(np.asarray([list(r[0]) for r in rows], dtype=np.float64), axis=0)
-    rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(points)))]
-    while len(chosen) < min(max_k, len(points)):
-        d2 = np.min([((points - points[c]) ** 2).sum(axis=1) for c in chosen], axis=0)
-        chosen.append(int(np.searchsorted(np.cumsum(d2), rng.random() * d2.sum(), side="right").clip(0, len(points) - 1)))
-    return points[chosen].tolist()
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    chosen: list[list[float]] = []
+    while len(chosen) < max_k:
+        centres = np.asarray(chosen)
+
+        def scan(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                points = np.asarray(batch.column("v").to_pylist(), dtype=np.float64)
+                draw = ((batch.column("h").to_numpy() >> 11) % (1 << 53) + 0.5) / (1 << 53)
+                # direct differences, so that copies of a start are exactly at 0
+                d2 = np.min([((points - c) ** 2).sum(axis=1) for c in centres], axis=0) if len(centres) else np.ones(len(points))
+                some = np.flatnonzero(d2 > 0)
+                if len(some):
+                    race = -np.log(draw[some]) / d2[some]
+                    best = int(np.argmin(race))
+                    yield pa.RecordBatch.from_arrays([pa.array([float(race[best])]), batch.column("v").take([int(some[best])])], ["race", "v"])
+
+        drawn = rows.select("v", F.xxhash64("v", F.lit(seed), F.lit(len(chosen))).alias("h")).mapInArrow(scan, "race double, v array<double>")
+        first = drawn.agg(F.min(F.struct("race", "v")).alias("w")).first()["w"]
+        if first is None:
+            break
+        chosen.append(list(first["v"]))
+    return chosen
 
 
 def _sweep_sums(points: DataFrame, vector: str, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, float]]:

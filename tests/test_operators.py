@@ -275,6 +275,17 @@ def test_choice_of_k(spark):
     assert K.select_k(two).first().curvature_k == 2
 
 
+def test_starts_come_from_all_rows_whatever_their_copies(spark):
+    held = [[float(i % 2), 0.0] for i in range(9000)] + [[50.0, 50.0], [0.0, 90.0], None, [None, 1.0]]
+    df = spark.createDataFrame(list(enumerate(held)), "id int, v array<double>")
+    starts = K.sweep_starts(df.repartition(5), "v", 6)
+    assert sorted(starts) == [[0.0, 0.0], [0.0, 90.0], [1.0, 0.0], [50.0, 50.0]]
+    assert K.sweep_starts(df.coalesce(1), "v", 6) == starts
+    rare = K.sweep_starts(df, "v", 3)
+    assert [50.0, 50.0] in rare and [0.0, 90.0] in rare
+    assert K.sweep_starts(df.filter("id < 0"), "v", 3) == []
+
+
 def test_whole_segmentation(spark):
     rng = np.random.default_rng(4)
     rows = [
