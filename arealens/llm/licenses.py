@@ -75,6 +75,18 @@ def compiled(notices: tuple[Notice, ...]):
     ]
 
 
+def best_matches(pattern, part: str) -> list:
+    """Matches that do not overlap, in order: the best of the part, and again in the stretches before and behind it."""
+    found, open_ = [], [(0, len(part))]
+    while open_:
+        a, b = open_.pop()
+        m = pattern.search(part, a, b) if a < b else None
+        if m is not None and m.end() > m.start():
+            found.append(m)
+            open_ += [(a, m.start()), (m.end(), b)]
+    return sorted(found, key=lambda m: m.start())
+
+
 def near_notices(text: bytes, notices: tuple[Notice, ...]) -> list[tuple[str, int, int, int, int]]:
     """(label, first word, words, errors, length of the notice) of every notice found in blank-joined lower-case words."""
     found = []
@@ -96,7 +108,7 @@ def near_notices(text: bytes, notices: tuple[Notice, ...]) -> list[tuple[str, in
             # whole words and whole characters on either side
             a, b = text.rfind(b" ", 0, a) + 1, text.find(b" ", b)
             part = text[a : b if b >= 0 else len(text)].decode()
-            for m in pattern.finditer(part):
+            for m in best_matches(pattern, part):
                 if m[0].strip():
                     lead = len(m[0]) - len(m[0].lstrip(" "))
                     first = text.count(b" ", 0, a) + part.count(" ", 0, m.start() + lead)

@@ -75,3 +75,23 @@ def test_nulls_and_repeats(spark):
     got = licenses.scan_licenses(H.with_clashes(H.table(spark, H.awkward()))).collect()
     assert len(got) == len(H.awkward())
     assert licenses.scan_licenses(H.table(spark, [])).count() == 0
+
+
+def test_two_near_notices_in_one_window_are_both_found():
+    import random
+
+    text = "gnu genral publc license or gnu general public license"
+    gpl = licenses.NOTICES[0]
+    assert licenses.near_notices(text.encode(), (gpl,)) == [("gpl", 0, 4, 2, 26), ("gpl", 5, 4, 0, 26)]
+    rng, words = random.Random(8), gpl.words
+    for _ in range(60):
+        parts, errors = [], []
+        for _ in range(rng.randint(2, 4)):
+            body, n = list(words), rng.randint(0, 3)
+            # brute force: the places of the changed letters are known, so are spans and errors
+            for at in rng.sample([i for i, c in enumerate(words) if c != " "], n):
+                body[at] = "\u00e9"
+            parts.append("".join(body))
+            errors.append(n)
+        got = licenses.near_notices(" or ".join(parts).encode(), (gpl,))
+        assert [(f[1], f[2], f[3]) for f in got] == [(5 * i, 4, n) for i, n in enumerate(errors)], parts
