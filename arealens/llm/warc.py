@@ -30,6 +30,7 @@ FILE_BYTES = 8 << 20
 # Fields that every record must have.
 MANDATORY = {"warc-record-id", "warc-date", "warc-type", "content-length"}
 STEP = 1 << 16
+HEAD_END = re.compile(rb"\r\n\r\n|\r\nWARC/1\.[01]\r\n")
 RECORD_SCHEMA = (
     "kind string, path string, start long, end long, reason string, record_id string, record_type string, uri string,"
     " refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -151,14 +152,16 @@ def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
 
 def parse_record(data: memoryview | bytes, at: int = 0) -> tuple[dict, int]:
     """Header fields, payload and digests of the record at ``at``, and the byte after it; ValueError if a check fails."""
-    head = bytes(data[at : at + STEP])
-    if not re.match(rb"WARC/1\.[01]\r\n", head):
+    if not re.match(rb"WARC/1\.[01]\r\n", bytes(data[at : at + 10])):
         raise ValueError("no version line here")
-    stop = head.find(b"\r\n\r\n")
-    if stop < 0:
+    # to the blank line, however long the header is, but not beyond the next version line
+    found = HEAD_END.search(data, at)
+    if found is None or found[0] != b"\r\n\r\n":
         raise ValueError("header has no end")
+    stop = found.start()
+    head = bytes(data[at:stop])
     fields = {}
-    for line in head[:stop].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise ValueError("header line without a name")
@@ -166,7 +169,7 @@ def parse_record(data: memoryview | bytes, at: int = 0) -> tuple[dict, int]:
     length = fields.get("content-length", "")
     if not length.isdigit() or not MANDATORY <= fields.keys():
         raise ValueError("header without a mandatory field")
-    start = at + stop + 4
+    start = stop + 4
     end = start + int(length)
     if bytes(data[end : end + 4]) != b"\r\n\r\n":
         raise ValueError("record is cut short or its length is wrong")

@@ -90,3 +90,16 @@ def test_reader_logs_gaps_of_damaged_files(spark, tmp_path):
     got = warc.read_archives(spark, [str(tmp_path)]).collect()
     assert sorted(r.record_id for r in got if r.kind == "record") == ["<urn:x-page:0>", "<urn:x-page:1>"]
     assert {(r.path.rsplit("/", 1)[1], r.end - r.start) for r in got if r.kind == "gap"} == {("a.warc", 7), ("b.warc.gz", len(warc.member(record(2))) - 8)}
+
+
+def test_headers_of_any_length(spark):
+    url = "http://x/" + " " * 70_000
+    long = warc.record_bytes(1, url, b"<p>long</p>", "response", None)
+    for whole in (long + record(2), warc.member(long) + warc.member(record(2))):
+        assert len(ids(warc.salvage(whole))) == 2
+    # a header without its end does not reach into the next record
+    cut = long[: long.index(b"\r\n\r\n")] + b"\r\n" + record(2)
+    rows = list(warc.salvage(cut))
+    assert len(ids(rows)) == 1 and covers(rows, cut)
+    got = warc.round_trip(spark.createDataFrame([(1, url, "<p>one</p>", "k"), (2, "http://y", "<p>two</p>", "k")], PAGES)).collect()
+    assert [r.kind for r in got] == ["record"] * 2
