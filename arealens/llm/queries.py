@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arealens.llm import decontam, licenses, minhash, mixing, quality, substring, suffix, syncmers, tokens, warc
+from arealens.llm import bags, decontam, laesa, licenses, minhash, mixing, quality, rules, substring, suffix, syncmers, tokens, warc
 from arealens.session import scratch_path
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -241,3 +241,96 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = quality.classify(docs, table(spark, folder, "labels"))
     return scored.select("doc_id", "p_content", "p_meta", "score", "keep")
+
+
+RANK_SQL = r"""
+WITH low AS (SELECT doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS nr, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM low),
+b AS MATERIALIZED (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+),
+n AS (SELECT count(*) FILTER (len(terms) > 0) AS N, sum(len(terms))::BIGINT AS L FROM d),
+m AS (SELECT nr, id, 100 - 25 + (25 * len(terms) * N) // L AS m FROM d, n WHERE len(terms) > 0),
+f AS MATERIALIZED (SELECT nr, term, count(*) AS tf FROM (SELECT nr, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, n WHERE term IN (SELECT term FROM b) GROUP BY term, N),
+i AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+s AS (SELECT item_id, nr, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN f USING (term) JOIN m USING (nr) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id)::INTEGER AS rank, id AS doc_id, score FROM s JOIN m USING (nr) WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+@query("op11_bag_search", RANK_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return bags.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _cluster_sql() -> str:
+    """Rounds of assignment and update, one after another; vectors and centroids in long form."""
+    parts = [f"""
+k AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = {laesa.WIDTH} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {laesa.WIDTH}),
+e AS MATERIALIZED (SELECT row_number() OVER () AS nr, vec_id, v FROM k),
+x AS MATERIALIZED (SELECT nr, unnest(range({laesa.WIDTH})) AS pos, unnest(v) AS x FROM e),
+c0 AS MATERIALIZED (SELECT cluster, unnest(range({laesa.WIDTH})) AS pos, unnest(v) AS c FROM (
+       SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, v FROM e QUALIFY cluster < {laesa.CLUSTERS}))"""]
+    for i in range(laesa.ROUNDS + 1):
+        parts.append(f"""
+d{i} AS (SELECT nr, cluster, sum((x - c) * (x - c))::BIGINT AS distance FROM x JOIN c{i} USING (pos) GROUP BY nr, cluster),
+a{i} AS MATERIALIZED (SELECT nr, cluster, distance FROM d{i} QUALIFY row_number() OVER (PARTITION BY nr ORDER BY distance, cluster) = 1)""")
+        if i < laesa.ROUNDS:
+            parts.append(f"""
+n{i} AS (SELECT cluster, pos, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM a{i} JOIN x USING (nr) GROUP BY cluster, pos),
+c{i + 1} AS MATERIALIZED (SELECT cluster, pos, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{i} LEFT JOIN n{i} USING (cluster, pos))""")
+    last = laesa.ROUNDS
+    return f"""
+WITH {",".join(parts)},
+h AS (SELECT cluster, sha256(string_agg(c::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c{last} GROUP BY cluster)
+SELECT vec_id, a.cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{last} a JOIN e USING (nr) JOIN h ON h.cluster = a.cluster
+"""
+
+
+CLUSTER_SQL = _cluster_sql()
+
+
+@query("op12_pivot_clusters", CLUSTER_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of all embeddings after five rounds."""
+    found = laesa.pivot_clusters(table(spark, folder, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+RULES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT row_number() OVER () AS nr, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+p AS (SELECT nr, len(words) AS n, words, unnest(range(1, len(words) - 1)) AS i FROM w),
+h AS MATERIALIZED (SELECT nr, i, array_to_string(words[i : i + 2], ' ') AS s FROM p),
+g AS (SELECT nr, i FROM h JOIN (SELECT nr, s FROM h GROUP BY ALL HAVING count(*) > 1) USING (nr, s)),
+r AS (SELECT nr, count(DISTINCT pos) AS n_repeat_words FROM (SELECT nr, unnest(range(i, i + 3)) AS pos FROM g) GROUP BY nr),
+m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lower,
+        length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(t, '[^!]', '', 'g')) AS shouts,
+        coalesce(list_max(list_transform(words, lambda x: length(x))), 0) AS longest
+      FROM w LEFT JOIN r USING (nr)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_dup_lines > 3 * n_lines
+       OR upper > lower OR 2 * digits > word_chars OR 2 * shouts > n_words OR longest > 1000) AS kept
+FROM b
+"""
+
+
+@query("op13_rule_cascade", RULES_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of every document, and whether the cascade keeps it."""
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = rules.cascade(table(spark, folder, "documents"), always=base)
+    failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
+    return judged.select("doc_id", *base, failed.alias("base_failed"), "kept")
