@@ -63,9 +63,8 @@ def compare(df, con, sql):
 def main() -> int:
     from pyspark.sql import SparkSession
 
+    from __spark_entry__ import oracle_sql, queries
     from arealens.session import ensure_shared_folder, release
-    from checks import load_checks
-    from checks.base import Tables
 
     args = sys.argv[1:]
     folder = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
@@ -80,13 +79,13 @@ def main() -> int:
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_shared_folder(spark)
-    con, failed = connect(folder), 0
-    for name, (fn, sql) in load_checks().items():
+    con, failed, twins = connect(folder), 0, oracle_sql()
+    for name, fn in queries().items():
         if args and not any(name.startswith(a) for a in args):
             continue
         start = time.time()
         try:
-            df = fn(Tables(spark, folder))
+            df, sql = fn(spark, folder), twins.get(name)
             problem = compare(df, con, sql) if sql else None
             note = "ok" if sql else f"rows {df.count()}"
         except Exception as e:  # noqa: BLE001 - a report lists every failure
