@@ -207,32 +207,39 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-BYTES_SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d),
-h AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS s FROM p),
-m AS (SELECT s FROM h GROUP BY s HAVING count(*) > 1),
-f AS (SELECT doc_id, i FROM h SEMI JOIN m USING (s)),
-g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM f),
-n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
-r AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM n GROUP BY ALL),
+def _byte_runs(length: int, out: str) -> str:
+    """doc_id, a, b: maximal runs of bytes (in hex, from 1) under strings of ``length`` bytes that stand at two places."""
+    return f"""
+{out}h AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * length})) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {length - 1})) AS i FROM d)),
+{out}f AS (SELECT doc_id, i FROM {out}h SEMI JOIN (SELECT s FROM {out}h GROUP BY s HAVING count(*) > 1) USING (s)),
+{out}g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS new FROM {out}f),
+{out}n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM {out}g),
+{out} AS (SELECT doc_id, run, min(i) AS a, max(i) + {length} AS b FROM {out}n GROUP BY ALL)"""
+
+
+BYTES_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),{_byte_runs(suffix.LENGTH, "r")},{_byte_runs(suffix.PASSAGE, "q")},
 k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM r),
 t AS (
   SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS e,
          string_agg(substr(x, (2 * z + 1)::BIGINT, (2 * (a - z))::BIGINT), '' ORDER BY a) AS body
   FROM k JOIN d USING (doc_id) GROUP BY doc_id
-)
+),
+p AS (SELECT doc_id, sum(b - a)::BIGINT AS n_passage_bytes FROM q GROUP BY doc_id)
 SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(coalesce(body || substr(x, (2 * e + 1)::BIGINT), x))) AS kept_sha256
-FROM d LEFT JOIN t USING (doc_id)
+       sha256(unhex(coalesce(body || substr(x, (2 * e + 1)::BIGINT), x))) AS kept_sha256, coalesce(n_passage_bytes, 0) AS n_passage_bytes
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN p USING (doc_id)
 """
 
 
 @query("op4_suffix_dedup", BYTES_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    """Strings of 400 bytes that occur again, removed."""
-    cut = suffix.remove_repeats(table(spark, folder, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Strings of 400 bytes that occur again, removed; beside it the bytes under shorter repeated passages."""
+    cut = suffix.remove_repeats(table(spark, folder, "documents"), short=suffix.PASSAGE)
+    passages = F.aggregate("short_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), passages.alias("n_passage_bytes")
+    )
 
 
 @query("op1_cotrained_quality")

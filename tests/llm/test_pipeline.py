@@ -86,7 +86,7 @@ def test_every_stage_against_brute_force(spark, folder, tmp_path):
     assert sorted(r["doc_id"] for r in after if r["doc_id"] is not None) == sorted({with_key[i][0] for i in root})
 
     before, after = seen["repeated strings"]
-    want = {i: (n, gone, body.decode()) for i, n, gone, _, body in brute(before, 400)}
+    want = {i: (n, gone, body.decode()) for i, n, gone, _, body in brute(before, suffix.PASSAGE)}
     assert len(after) == len(before) and any(gone for _, gone, _ in want.values())
     for r in after:
         assert (r["text"] or "") == want[r["doc_id"]][2]

@@ -74,7 +74,24 @@ def test_repeated_starts_against_counting():
         pieces = [p for p in pieces if len(p) >= length] or [b"a" * length]
         seen = Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
         want = [[i for i in range(len(p) - length + 1) if seen[p[i : i + length]] > 1] for p in pieces]
-        assert [x.tolist() for x in suffix.repeated_starts(pieces, length)] == want
+        got, same = suffix.repeated_starts(pieces, (length, length), [len(p) for p in pieces])
+        assert [x.tolist() for x in got] == [x.tolist() for x in same] == want
+
+
+def test_starts_behind_a_piece_do_not_count():
+    # the last 4 bytes of the first piece are the first of the second, and stand in the text once
+    first, second = suffix.repeated_starts([b"abcdefgh", b"efghijkl", b"xxcdefyy"], (6, 4), [4, 8, 8])
+    assert [x.tolist() for x in first] == [[], [], []] and [x.tolist() for x in second] == [[2], [], [2]]
+
+
+@pytest.mark.parametrize("seed, length, short, piece, crowd", [(1, 40, 25, 8, 2000), (2, 60, 20, 6, 1), (3, 45, 44, 5, 3)])
+def test_two_lengths_in_one_pass(spark, seed, length, short, piece, crowd):
+    rows = H.awkward(seed) + [(700 + r[0], *r[1:]) for r in few_letters(seed)]
+    got = suffix.remove_repeats(H.with_clashes(H.table(spark, rows, 4)), length, piece, crowd, short=short).collect()
+    have = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got]
+    assert ordered(have) == ordered(brute(rows, length))
+    marked = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.short_spans), len(r.short_spans)) for r in got]
+    assert ordered(marked) == ordered(x[:4] for x in brute(rows, short))
 
 
 def test_empty_table(spark):
