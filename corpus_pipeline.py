@@ -33,13 +33,16 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that occur again, cut at whole characters. Every document stays; NULL stays NULL."""
+    """Texts without the strings of ``suffix.PASSAGE`` bytes that occur again, cut at whole characters. Every document stays; NULL stays NULL.
+
+    The length is set so that passages of over 50 words are found, which can be shorter than the operator's own 400 bytes.
+    """
 
     def stage(rows, name):
         text, chars = name("text"), name("n_chars")
         kept = [c for c in rows.columns if c not in (name("doc_id"), text)]
         rows = rows.withColumn("_null", F.col(text).isNull())
-        cut = suffix.remove_repeats(rows, key=name("doc_id"), text=text, whole_characters=True, keep=(*kept, "_null"))
+        cut = suffix.remove_repeats(rows, suffix.PASSAGE, key=name("doc_id"), text=text, whole_characters=True, keep=(*kept, "_null"))
         cut = cut.withColumn(text, F.when(~F.col("_null"), F.decode("kept", "UTF-8")))
         return cut.withColumn(chars, F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(chars)).cast(rows.schema[chars].dataType))
 
