@@ -139,8 +139,9 @@ def leaks(
     items = stage_table(item_forms(benchmark, width, item_key, item_text), "benchmark-items")
     found = stage_table(item_windows(items, width, literals), "benchmark-windows").withColumnRenamed("pos", "item_pos")
     found = F.broadcast(found) if found.count() <= BROADCAST_WINDOWS else found
-    texts = F.posexplode(spaced(F.col(f"`{text}`"))).alias("_form", "_text")
-    known = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_sum"), texts)
+    own = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_sum"), F.col(f"`{text}`").alias("_own"))
+    forms_of = lambda rows: rows.select("_id", "_sum", F.posexplode(spaced(F.col("_own"))).alias("_form", "_text"))
+    known = forms_of(own)
     # tokens are a column of their own, so that they are made once and not again for every window
     mark = F.col("_mark")
     tokens = known.select("_id", "_sum", "_form", marked(F.col("_text")).alias("_mark"))
@@ -155,9 +156,11 @@ def leaks(
     diagonal = met.groupBy(*spot).agg(F.max("item_tokens").alias("item_tokens"), *places)
     covered = lambda places: F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.lit(width - 1))))))
     bar = F.least(F.lit(least), F.col("item_tokens"))
-    diagonal = diagonal.filter(covered(F.concat("rich", "exact")) >= bar)
-    # only documents with slots bring their slot values, not their texts
-    valued = known.filter(F.col("_text").rlike(MAY_HAVE_SLOTS)).select("_id", "_sum", "_form", slots(valued_tokens(marked(F.col("_text")))).alias("doc_slots"))
+    diagonal = stage_table(diagonal.filter(covered(F.concat("rich", "exact")) >= bar), "diagonals")
+    # only documents with a diagonal are marked again, and only those with slots bring their values, not their texts
+    met = stage_table(diagonal.select(F.col("_id").alias("_met"), F.col("_sum").alias("_with")).distinct(), "documents-met")
+    again = forms_of(own.join(met, own["_id"].eqNullSafe(met["_met"]) & (own["_sum"] == met["_with"]), "left_semi"))
+    valued = again.filter(F.col("_text").rlike(MAY_HAVE_SLOTS)).select("_id", "_sum", "_form", slots(valued_tokens(marked(F.col("_text")))).alias("doc_slots"))
     valued = valued.dropDuplicates(["_id", "_sum", "_form"])
     same = diagonal["_id"].eqNullSafe(valued["_id"]) & (diagonal["_sum"] == valued["_sum"]) & (diagonal["_form"] == valued["_form"])
     there = F.map_from_entries(F.coalesce("doc_slots", F.array().cast("array<struct<at:int,value:string>>")))
