@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arealens.llm import textbatch as tb
 from arealens.llm.graph import connected_components
-from arealens.llm.staging import partitions, stage_table
+from arealens.llm.staging import partitions, shielded, stage_table
 
 SIZE, THRESHOLD = 5, 75  # words, percent
 BANDS, ROWS = 48, 6
@@ -291,7 +291,7 @@ def classes(
     docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
     task_shingles: int = TASK_SHINGLES, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """(_id, _sum, n_shingles, _component) of every row; see ``near_duplicates``."""
+    """(_id, _sum, n_shingles, _set, _component) of every row; equal sets have one ``_set``, empty ones each their own. See ``near_duplicates``."""
     plain = docs.select(*numbered(docs, key, text), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     signed = stage_table(signatures(plain, size, bands, rows), "signatures")
     sets = signed.filter("set_key is not null")
@@ -320,7 +320,8 @@ def classes(
     reached = nodes.select("set_key", "node").join(linked, "node", "left")
     reached = reached.select("set_key", F.coalesce("_component", "node").alias("_component"))
     out = signed.select("_id", "_sum", "n_shingles", "set_key").join(reached, "set_key", "left")
-    return out.select("_id", "_sum", "n_shingles", F.coalesce("_component", "_id").alias("_component"))
+    own = F.coalesce(F.hex("set_key"), F.concat(F.lit("empty"), F.col("_sum").cast("string")))
+    return out.select("_id", "_sum", "n_shingles", own.alias("_set"), F.coalesce("_component", "_id").alias("_component"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -341,8 +342,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``docs``, all columns: of every component the document with the least key, and of repeated rows one."""
-    first = classes(docs, key=key, text=text, **options).filter("_id = _component")
-    first = first.groupBy("_id").agg(F.min("_sum").alias("_sum"))
-    rows = docs.select("*", *numbered(docs, key, text))
-    return rows.join(first, ["_id", "_sum"], "left_semi").dropDuplicates(["_id", "_sum"]).drop("_id", "_sum")
+    """Rows of ``docs``, all columns: of every component the document with the least key, and of repeated rows one.
+
+    Rows with one key and different shingle sets are different texts: all of them stay that lead a component.
+    """
+
+    def stage(rows: DataFrame, name) -> DataFrame:
+        first = classes(rows, key=name(key), text=name(text), **options).filter("_id = _component")
+        first = first.groupBy("_id", "_set").agg(F.min("_sum").alias("_sum"))
+        return rows.select("*", *numbered(rows, name(key), name(text))).join(first, ["_id", "_sum"], "left_semi").dropDuplicates(["_id", "_sum"])
+
+    return shielded(stage)(docs)

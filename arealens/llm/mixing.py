@@ -11,7 +11,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from arealens.llm.staging import partitions
+
 BROADCAST_SOURCES = 10_000
+ADDED = ("mix_rate", "mix_copies", "mix_copy", "mix_order")
 HASH_DIGITS = 12
 
 
@@ -79,26 +82,31 @@ def poisson_mix(
     """Every column of ``docs`` plus ``mix_rate``, ``mix_copies``, ``mix_copy`` (1 ..) and ``mix_order``.
 
     Documents with no copies leave. ``mix_order`` is a hash of seed, document and copy: the result is dealt over
-    partitions by its ranges and sorted inside each, so its files read in order are a global shuffle. The hot
+    partitions by its leading bits and sorted inside each, so its files read in order are a global shuffle. The hot
     source is no hot key: rates join as a broadcast if there are few sources, else as a join that adaptive
-    execution may split, and the final ranges are over hashes.
+    execution may split, and the final deal is by hashes.
 
     Copies of a row with the same key and text draw the same number and order; NULL keys and texts draw by what is
-    left. A clashing column name is replaced. Empty input gives an empty result.
+    left. Columns of ``docs`` named like one of the four are replaced, all others stay, whatever their names. Empty input
+    gives an empty result.
     """
-    added = ("mix_rate", "mix_copies", "mix_copy", "mix_order", "_source", "_steps")
-    docs = docs.drop(*added)
+    own = {c: f"_in{i}" for i, c in enumerate(docs.columns) if c not in ADDED}
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in own.items()])
     rates = source_rates(docs, weights, total, source).withColumn("_steps", poisson_steps_or_none(F.col("rate")))
     rates = rates.select("_source", F.col("rate").alias("mix_rate"), "_steps")
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
-    drawn = uniform(seed, F.col(f"`{key}`"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    joined = docs.join(rates, docs[f"`{source}`"].eqNullSafe(rates["_source"])).withColumn("_u", drawn)
+    drawn = uniform(seed, F.col(own[key]), F.md5(F.coalesce(F.col(own[text]), F.lit(""))))
+    joined = rows.join(rates, rows[own[source]].eqNullSafe(rates["_source"])).withColumn("_u", drawn)
     copies = F.size(F.filter("_steps", lambda p: p <= F.col("_u")))
     out = joined.withColumn("mix_copies", copies.cast("int")).filter(F.col("mix_copies") > 0)
     out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_rate", "mix_copies", "mix_copy", order.alias("mix_order"))
-    return out.repartitionByRange("mix_order").sortWithinPartitions("mix_order") if shuffle else out
+    order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(own[key]).cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
+    out = out.select(*[F.col(i).alias(c) for c, i in own.items()], "mix_rate", "mix_copies", "mix_copy", order.alias("mix_order"))
+    if not shuffle:
+        return out
+    n = partitions(docs)
+    leading = F.conv(F.substring("mix_order", 1, 8), 16, 10).cast("bigint")
+    return out.repartitionById(n, F.shiftright(leading * n, 32).cast("int")).sortWithinPartitions("mix_order")
 
 
 def poisson_steps_or_none(rate: Column) -> Column:

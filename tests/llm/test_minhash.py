@@ -61,7 +61,7 @@ def test_rows_without_a_key_are_documents_of_their_own(spark):
 
 def test_one_of_each_keeps_all_columns(spark):
     rows = H.awkward(4)
-    got = minhash.one_of_each(H.with_clashes(H.table(spark, rows)).drop("_id", "_sum")).collect()
+    got = minhash.one_of_each(H.with_clashes(H.table(spark, rows))).collect()
     roots = {r[2] for r in brute(without_null_keys(rows))}
     with_null = [r for r in rows if r[0] is None and r[1]]
     near_null = {r[0] for r in without_null_keys(rows) if any(linked(shingle_set(r[1]), shingle_set(n[1])) for n in with_null)}
@@ -69,6 +69,12 @@ def test_one_of_each_keeps_all_columns(spark):
     assert all(r.node == "mine" for r in got) and len({(r.doc_id, r.text) for r in got}) == len(got)
 
 
+def test_different_texts_of_one_key_all_stay(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "totally different words stand in this one", "alpha  beta gamma delta epsilon zeta", None, None]
+    got = minhash.one_of_each(H.table(spark, [(1, t, "en", "hot", 1) for t in texts])).collect()
+    assert sorted(r.text or "" for r in got) in (["", *sorted(texts[:2])], ["", *sorted(texts[1:3])])
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(H.table(spark, [])).count() == 0
     assert minhash.one_of_each(H.table(spark, [])).count() == 0

@@ -3,6 +3,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from arealens.llm import mixing
 from tests.llm import helpers as H
@@ -30,10 +31,11 @@ def expected_copies(rows, weights=None, total=None, seed="mix-1"):
 @pytest.mark.parametrize("weights, total", [(None, None), ({"hot": 3.0, "b": 1.0}, 500), ({"b": 1.0}, 2000)])
 def test_copies_follow_the_poisson_quantile(spark, weights, total):
     rows = H.awkward()
-    got = mixing.poisson_mix(H.with_clashes(H.table(spark, rows)), weights, total).collect()
+    docs = H.with_clashes(H.table(spark, rows)).withColumns({c: F.lit("mine") for c in ("_u", "_source", "_steps", "_w")})
+    got = mixing.poisson_mix(docs, weights, total).collect()
     want = expected_copies(rows, weights, total)
     assert Counter((r.doc_id, r.text) for r in got) == Counter({k: n for k, n in sum_by(want).items() if n})
-    assert all(r.node == "mine" for r in got)
+    assert all({r.node, r._u, r._source, r._steps, r._w, r._id} == {"mine"} for r in got)
     assert [r.mix_order for r in got] == sorted(r.mix_order for r in got)
 
 
