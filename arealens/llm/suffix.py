@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from arealens.llm import textbatch as tb
 from arealens.llm.staging import deal, partitions, stage_table
-from arealens.llm.substring import NO_KEY, bucket_of, covered, place_of, runs
+from arealens.llm.substring import NO_KEY, bucket_of, place_of, runs
 from arealens.llm.syncmers import sliding_min
 
 LENGTH, SEED, CROWD = 400, 64, 2000
@@ -392,26 +393,28 @@ def long_common(text: np.ndarray, order: np.ndarray, lengths: tuple[int, ...]) -
     return [seen.get(n, open_) for n in lengths]
 
 
-def repeated_starts(pieces: list[bytes], lengths: tuple[int, ...], sizes: list[int]) -> list[list[np.ndarray]]:
-    """For each length the starts, in each piece of UTF-8, of strings of that length that occur at two places of the pieces.
+def repeated_starts(pieces: list[bytes], lengths: tuple[int, ...], sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the runs (piece, first start, how many) of starts of strings of that length that occur at two places of the pieces.
 
-    Only the first ``sizes[i]`` starts of piece i count: what begins behind them belongs to another piece.
+    Pieces are UTF-8. Only the first ``sizes[i]`` starts of piece i count: what begins behind them belongs to another piece.
     """
     mark = bytes([SEPARATOR])
     text = np.frombuffer(mark.join(pieces) + mark, np.uint8)
     order = sorted_suffixes(text, max(lengths))
-    begin = np.cumsum([0, *[len(p) + 1 for p in pieces]])[:-1]
+    long = np.array([len(p) for p in pieces])
+    begin = np.concatenate([[0], np.cumsum(long + 1)[:-1]])
     out = []
     for length, same in zip(lengths, long_common(text, order, lengths)):
-        counts = [max(0, min(n, len(p) - length + 1)) for p, n in zip(pieces, sizes)]
-        own = np.zeros(len(text), bool)
-        for at, n in zip(begin.tolist(), counts):
-            own[at : at + n] = True
+        edge = np.zeros(len(text) + 1, np.int64)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + np.clip(np.minimum(sizes, long - length + 1), 0, None), -1)
+        counted = np.cumsum(edge)[order] > 0
         group = np.cumsum(~same[:-1])
-        counted = own[order]
         hit = np.zeros(len(text), bool)
         hit[order] = counted & (np.bincount(group, counted)[group] > 1)
-        out.append([np.flatnonzero(hit[at : at + n]) for at, n in zip(begin.tolist(), counts)])
+        first, end = runs(hit)
+        piece = np.searchsorted(begin, first, "right") - 1
+        out.append((piece, first - begin[piece], end - first))
     return out
 
 
@@ -425,16 +428,13 @@ def compare_contexts(work: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
         pool, held, last = [], 0, None
 
         def done():
-            rows = []
             found = repeated_starts([r[4] for r in pool], lengths, [r[3] for r in pool]) if pool else []
-            for level, starts in enumerate(found):
-                for row, at in zip(pool, starts):
-                    flags = np.zeros(row[3], bool)
-                    flags[at] = True
-                    rows += [(row[0], row[1], row[2] + a, b - a, level) for a, b in zip(*[x.tolist() for x in runs(flags)])]
-            if rows:
-                types = [*[pa.int64()] * 4, pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["_id", "_sum", "start", "size", "level"])
+            ids, sums, starts = np.array([r[:3] for r in pool], np.int64).reshape(-1, 3).T
+            for level, (piece, first, n) in enumerate(found):
+                if len(piece):
+                    columns = [ids[piece], sums[piece], starts[piece] + first, n]
+                    level = pa.array(np.full(len(piece), level, np.int32))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), level], ["_id", "_sum", "start", "size", "level"])
 
         for batch in batches:
             for key, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "_id", "_sum", "start", "size", "bytes")]):
@@ -496,39 +496,51 @@ def remove_repeats(
     joined = rows.join(found, ["_id", "_sum"], "left")
     kind = docs.schema[key].dataType.simpleString()
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def spans_of(at: list[dict] | None, window: int, body: bytes) -> list[dict]:
-        if not at:
-            return []
-        flags = np.zeros(len(body), bool)
-        for s in at:
-            flags[s["start"] : s["start"] + s["size"]] = True
-        a, b = runs(covered(flags, window, len(body)))
+
+    def spans_of(data: np.ndarray, offsets: np.ndarray, at: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, starts and ends (in the block) of the maximal runs of bytes under windows that begin in the stretches ``at`` of each row."""
+        size = pc.fill_null(pc.list_value_length(at), 0).to_numpy()
+        flat = at.flatten()
+        first = flat.field("start").to_numpy() + np.repeat(offsets[:-1], size)
+        edge = np.zeros(len(data) + 1, np.int32)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + flat.field("size").to_numpy() + window - 1, -1)
+        under = np.cumsum(edge)[:-1] > 0
+        opens = np.zeros(len(data) + 1, bool)
+        opens[offsets[:-1]] = True
+        # a run ends with its row
+        a = np.flatnonzero(under & (opens[:-1] | ~np.concatenate([[False], under[:-1]])))
+        b = np.flatnonzero(under & (opens[1:] | ~np.concatenate([under[1:], [False]]))) + 1
+        rows = np.searchsorted(offsets, a, "right") - 1
         if whole_characters:
-            inside = (np.frombuffer(body, np.uint8) & 0xC0) == 0x80
-            lead = np.append(np.flatnonzero(~inside), len(body))
+            lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
             a, b = lead[np.searchsorted(lead, a)], lead[np.searchsorted(lead, b, "right") - 1]
-            a, b = a[a < b], b[a < b]
-        return [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())]
+            rows, a, b = rows[a < b], a[a < b], b[a < b]
+        return rows, a, b
+
+    def as_spans(rows: np.ndarray, a: np.ndarray, b: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        values = pa.StructArray.from_arrays([pa.array(a - offsets[rows]), pa.array(b - offsets[rows])], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(offsets))).astype(np.int32)), values)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tb.utf8(batch.column("_text"))
-            raw, out = data.tobytes(), []
-            marks = [batch.column(f"_at{k}").to_pylist() for k in range(len(lengths))]
-            for i in range(batch.num_rows):
-                body = raw[offsets[i] : offsets[i + 1]]
-                spans, *more = (spans_of(m[i], n, body) for m, n in zip(marks, lengths))
-                edges = [0, *[e for s in spans for e in (s["start"], s["end"])], len(body)]
-                left = b"".join(body[x:y] for x, y in zip(edges[::2], edges[1::2])) if spans else body
-                out.append((len(body), len(body) - len(left), spans, left, *more))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else None
-            if columns:
-                ids = pa.array([None if i == NO_KEY else i for i in batch.column("_id").to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, *columns, *[batch.column(c) for c in keep]], [key, *names, *keep])
-
-    types = (pa.int64(), pa.int64(), span, pa.binary(), span)
+            whole, edges = tb.utf8(batch.column("_text"))
+            for lo, hi in tb.blocks(edges):
+                part, data, offsets = batch.slice(lo, hi - lo), whole[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo]
+                found = [spans_of(data, offsets, part.column(f"_at{k}"), n) for k, n in enumerate(lengths)]
+                rows, a, b = found[0]
+                gone = np.zeros(len(data) + 1, np.int32)
+                np.add.at(gone, a, 1)
+                np.add.at(gone, b, -1)
+                stays = np.cumsum(gone)[:-1] == 0
+                left = np.concatenate([[0], np.cumsum(stays)])[offsets]
+                kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[stays])])
+                size = np.diff(offsets)
+                ids = pa.array([None if i == NO_KEY else i for i in part.column("_id").to_pylist()], pa.int64())
+                columns = [pa.array(size), pa.array(size - np.diff(left)), as_spans(rows, a, b, offsets), kept.cast(pa.binary())]
+                columns += [as_spans(*f, offsets) for f in found[1:]]
+                yield pa.RecordBatch.from_arrays([ids, *columns, *[part.column(c) for c in keep]], [key, *names, *keep])
+
     names = ["n_bytes", "n_removed", "spans", "kept", "short_spans"][: 3 + len(lengths)]
     more = ", short_spans array<struct<start:long,end:long>>" if short else ""
     return joined.mapInArrow(cut, f"`{key}` long, {OUT}{more}{extra}").withColumn(key, F.col(f"`{key}`").cast(kind))

@@ -74,14 +74,22 @@ def test_repeated_starts_against_counting():
         pieces = [p for p in pieces if len(p) >= length] or [b"a" * length]
         seen = Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
         want = [[i for i in range(len(p) - length + 1) if seen[p[i : i + length]] > 1] for p in pieces]
-        got, same = suffix.repeated_starts(pieces, (length, length), [len(p) for p in pieces])
-        assert [x.tolist() for x in got] == [x.tolist() for x in same] == want
+        got, same = (starts(f, len(pieces)) for f in suffix.repeated_starts(pieces, (length, length), [len(p) for p in pieces]))
+        assert got == same == want
+
+
+def starts(found, n):
+    """Starts by piece of runs (piece, first, how many)."""
+    out = [[] for _ in range(n)]
+    for piece, first, size in zip(*[x.tolist() for x in found]):
+        out[piece] += range(first, first + size)
+    return out
 
 
 def test_starts_behind_a_piece_do_not_count():
     # the last 4 bytes of the first piece are the first of the second, and stand in the text once
     first, second = suffix.repeated_starts([b"abcdefgh", b"efghijkl", b"xxcdefyy"], (6, 4), [4, 8, 8])
-    assert [x.tolist() for x in first] == [[], [], []] and [x.tolist() for x in second] == [[2], [], [2]]
+    assert starts(first, 3) == [[], [], []] and starts(second, 3) == [[2], [], [2]]
 
 
 @pytest.mark.parametrize("seed, length, short, piece, crowd", [(1, 40, 25, 8, 2000), (2, 60, 20, 6, 1), (3, 45, 44, 5, 3)])
