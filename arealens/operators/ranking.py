@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arealens import presets
@@ -19,8 +19,9 @@ from arealens.session import stage_table
 
 # Query vectors shipped to the tasks at a time; more queries are scored slice by slice.
 QUERY_VALUES = 4_000_000
-KENDALL_BLOCK = 50_000
-KENDALL_BLOCKS = 1_000
+# Digits in which row numbers are compared, and rows of counts that a task looks at together.
+KENDALL_BLOCK = 256
+POOL_ROWS = 200_000
 
 
 def minmax(x: Column, low: Column, high: Column) -> Column:
@@ -178,58 +179,95 @@ def rank_many(
     return ranked.select("query", *key, "semantic_similarity", "blended_score", "rank")
 
 
-def _count_inversions(values: np.ndarray) -> int:
-    """Pairs out of order in a sequence of distinct numbers, level by level as in a merge sort."""
-    order = np.argsort(values, kind="stable")  # positions in ascending order of value
-    total, width, n = 0, 1, len(values)
-    while width < n:
-        block, right = order // (2 * width), (order // width) & 1
-        by_block = np.argsort(block, kind="stable")
-        block, right = block[by_block], right[by_block].astype(np.int64)
-        rights_before = np.cumsum(right) - right
-        starts = np.searchsorted(block, block, side="left")
-        smaller_rights = rights_before - rights_before[starts]
-        total += int(smaller_rights[right == 0].sum())
-        width *= 2
-    return total
+def discordant_within(groups: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """Per row, summed over its group later: pairs with rows of a larger x and a smaller y, weighted by the counts ``n`` of both.
 
-
-def discordant_pairs(df: DataFrame, by: Sequence[str], x: str, y: str, block: int) -> DataFrame:
-    """Pairs ordered differently by two row numbers, per group, without forming pairs.
-
-    Both numberings are cut into blocks of ``block`` rows. Pairs in different blocks on both sides
-    follow from the block counts alone; pairs sharing a block are counted inside that block.
+    Rows stand by group and x. Two y differ first in one bit: level by level, rows with a 1 there meet the zeros behind them
+    that share the bits above.
     """
-    keys = list(by)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", d long"
-    placed = df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).withColumns(
-        {"bx": F.floor((F.col("x") - 1) / block), "by": F.floor((F.col("y") - 1) / block)}
-    )
-
-    def labelled(names: tuple, d: int) -> pd.DataFrame:
-        return pd.DataFrame([[*names[: len(keys)], d]], columns=[*keys, "d"])
-
-    def same_x_block(names: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return labelled(names, _count_inversions(rows.sort_values("x")["y"].to_numpy()))
+    out = np.zeros(len(groups), np.int64)
+    start = np.flatnonzero(np.concatenate([[True], (groups[1:] != groups[:-1]) | (x[1:] != x[:-1])])) if len(groups) else np.zeros(0, np.int64)
+    place = np.cumsum(np.bincount(start, minlength=len(groups))) - 1  # number of the row's (group, x)
+    for bit in range(bits):
+        above = groups << (bits - bit - 1) | y >> (bit + 1)
+        order = np.lexsort((place, above))
+        zero = np.where(y[order] >> bit & 1, 0, n[order])
+        behind = np.cumsum(zero[::-1])[::-1] - zero
+        key, at = above[order], place[order]
+        last = np.append((key[1:] != key[:-1]) | (at[1:] != at[:-1]), True)
+        # zeros behind the last row of the same place, less those of the keys behind
+        ends = np.flatnonzero(last)
+        end = ends[np.searchsorted(ends, np.arange(len(order)))]
+        final = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+        of_key = final[np.searchsorted(final, np.arange(len(order)))]
+        out[order] += np.where(y[order] >> bit & 1, n[order] * (behind[end] - behind[of_key]), 0)
+    return out
 
-    def same_y_block(names: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return labelled(names, _count_inversions(rows.sort_values(["bx", "y"])["y"].to_numpy()))
 
-    def across_blocks(names: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        side = int(max(cells["bx"].max(), cells["by"].max())) + 1
-        grid = np.zeros((side + 1, side + 1), dtype=np.int64)
-        grid[cells["bx"], cells["by"] + 1] = cells["n"]
-        # later[a, b]: rows in a block after a on x and before b on y
-        later = np.cumsum(np.cumsum(grid[::-1], axis=0)[::-1], axis=1)
-        return labelled(names, int((grid[:-1, 1:] * later[1:, :-1]).sum()))
+def discordant_pairs(df: DataFrame, by: Sequence[str], x: str, y: str, largest: int, block: int = KENDALL_BLOCK) -> DataFrame:
+    """Pairs ordered differently by two row numbers (1 .. ``largest`` at most), per group, without forming pairs.
 
-    counts = placed.groupBy(*keys, "bx", "by").agg(F.count("*").alias("n"))
-    parts = [
-        placed.groupBy(*keys, "bx").applyInPandas(same_x_block, schema),
-        placed.groupBy(*keys, "by").applyInPandas(same_y_block, schema),
-        counts.groupBy(*keys).applyInPandas(across_blocks, schema),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*keys).agg(F.sum("d").alias("discordant"))
+    Both numbers are written in digits below ``block`` (rounded up to a power of two). Two rows differ first in some digit a of x and some digit b of y; for each (a, b)
+    the rows that share the digits above are one group, and only their counts by the two digits matter. Counting combines before its shuffle, and
+    no group has more than ``block`` ** 2 counts, however many rows it stands for.
+    """
+    keys, bits = list(by), max(1, (block - 1).bit_length())
+    digits = max(1, math.ceil(int(largest).bit_length() / bits))
+    mask = (1 << bits) - 1
+    place = lambda c, d: F.shiftright(F.col(c) - 1, d * bits)
+    pairs = [
+        F.struct(
+            F.lit(a * digits + b).alias("_turn"), place(x, a + 1).alias("_ax"), place(y, b + 1).alias("_ay"),
+            place(x, a).bitwiseAND(F.lit(mask)).cast("int").alias("_dx"), place(y, b).bitwiseAND(F.lit(mask)).cast("int").alias("_dy"),
+        )
+        for a in range(digits) for b in range(digits)
+    ]
+    group = [*keys, "_turn", "_ax", "_ay"]
+    counts = df.select(*keys, F.inline(F.array(*pairs))).groupBy(*group, "_dx", "_dy").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = counts.repartition(*group).sortWithinPartitions(*group, "_dx")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema], "d long"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, held = [], 0
+
+        def numbered(table: pa.Table) -> np.ndarray:
+            new = np.zeros(table.num_rows, bool)
+            new[:1] = True
+            for c in group:
+                code = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            return np.cumsum(new) - 1
+
+        def counted(table: pa.Table, groups: np.ndarray) -> pa.RecordBatch:
+            dx, dy, n = (table.column(c).to_numpy().astype(np.int64) for c in ("_dx", "_dy", "_n"))
+            found = discordant_within(groups, dx, dy, n, bits)
+            first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+            sums = pa.array(np.add.reduceat(found, first))
+            own = [table.column(c).combine_chunks().take(pa.array(first)) for c in keys]
+            return pa.RecordBatch.from_arrays([*own, sums], [*keys, "d"])
+
+        def settled(final: bool) -> Iterator[pa.RecordBatch]:
+            """Whole groups of the pool; the last one may go on in the next batch."""
+            nonlocal pool, held
+            if not pool:
+                return
+            table = pa.Table.from_batches(pool)
+            groups = numbered(table)
+            whole = table.num_rows if final else int(np.searchsorted(groups, groups[-1]))
+            if whole:
+                yield counted(table.slice(0, whole), groups[:whole])
+            pool = table.slice(whole).combine_chunks().to_batches()
+            held = table.num_rows - whole
+
+        for batch in batches:
+            if batch.num_rows:
+                pool.append(batch)
+                held += batch.num_rows
+            if held >= POOL_ROWS:
+                yield from settled(False)
+        yield from settled(True)
+
+    return dealt.mapInArrow(scan, schema).groupBy(*keys).agg(F.sum("d").alias("discordant"))
 
 
 def _tied_pairs(df: DataFrame, by: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
@@ -244,15 +282,14 @@ def kendall_tau(
     x: str,
     y: str,
     key: Sequence[str],
-    block: int | None = None,
+    block: int = KENDALL_BLOCK,
 ) -> DataFrame:
     """Tau-b per group: (concordant - discordant) / sqrt of the untied pairs of both sides."""
     keys = list(by)
     numbered = number_within(df.select(*keys, *key, x, y), keys, [x, y, *key], "_px")
     numbered = stage_table(number_within(numbered, keys, [y, x, *key], "_py"), "both-orders")
     largest = numbered.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    block = block or max(KENDALL_BLOCK, math.ceil(largest / KENDALL_BLOCKS))
-    out = discordant_pairs(numbered, keys, "_px", "_py", block)
+    out = discordant_pairs(numbered, keys, "_px", "_py", largest, block)
     n = F.col("n").cast("double")
     sizes = numbered.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("_all", n * (n - 1) / 2)
     for columns, name in (((x,), "_tx"), ((y,), "_ty"), ((x, y), "_txy")):
@@ -268,7 +305,7 @@ def rank_stability(
     key: Sequence[str],
     rank: str = "rank",
     by: Sequence[str] = ("query",),
-    block: int | None = None,
+    block: int = KENDALL_BLOCK,
 ) -> DataFrame:
     """Per query: entities in both rankings, Spearman and Kendall correlation of their ranks."""
     by, key = list(by), list(key)

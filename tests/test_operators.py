@@ -144,6 +144,26 @@ def test_kendall_matches_all_pairs(spark, block):
         assert got[g] == pytest.approx(kendall(xs, ys))
 
 
+def test_discordant_pairs_by_digits():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.integers(0, 50))
+        g, x, y, w = np.sort(rng.integers(0, 4, n)), rng.integers(0, 16, n), rng.integers(0, 16, n), rng.integers(1, 4, n)
+        order = np.lexsort((x, g))
+        g, x = g[order], x[order]
+        later = (g[:, None] == g) & (x[:, None] < x) & (y[:, None] > y)
+        assert R.discordant_within(g, x, y, w, 4).tolist() == (w * (later * w).sum(1)).tolist()
+
+
+def test_kendall_of_a_long_ranking(spark):
+    n = 30_000
+    df = spark.range(n).select(F.lit("q").alias("g"), F.col("id").alias("k"), F.col("id").alias("x"), F.pmod(F.col("id") * 7919, F.lit(n)).alias("y"))
+    y = np.arange(n) * 7919 % n
+    discordant = sum(int((y[i + 1 :] < y[i]).sum()) for i in range(n))
+    row = R.kendall_tau(df, ["g"], "x", "y", ["k"]).first()
+    assert row.kendall_tau == pytest.approx(1 - 4 * discordant / (n * (n - 1)))
+
+
 def test_constant_ranking_has_no_correlation(spark):
     a = spark.createDataFrame([("q", i, 2.0) for i in range(3)], "query string, k int, rank double")
     b = spark.createDataFrame([("q", i, float(i)) for i in range(3)], "query string, k int, rank double")
