@@ -81,10 +81,25 @@ def test_adhoc_sql_is_read_only(spark, sql):
         "SELECT * FROM neighborhoods JOIN other USING (n)",
         "SELECT * FROM neighborhoods WHERE n IN (SELECT n FROM other)",
         "SELECT * FROM range(10)",
+        "SELECT * FROM IDENTIFIER('csv.`/etc/hosts`')",
+        "SELECT * FROM IDENTIFIER('other')",
+        "SELECT * FROM global_temp.shared",
+        "SELECT * FROM stored",
+        "SELECT * FROM IDENTIFIER('stored')",
+        "SELECT (SELECT max(id) FROM stored) AS m FROM neighborhoods",
+        "WITH a AS (SELECT * FROM stored) SELECT n FROM neighborhoods WHERE EXISTS (SELECT 1 FROM a WHERE a.id = n)",
+        "SELECT current_user() FROM neighborhoods",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM neighborhoods",
+        "SELECT input_file_name() FROM neighborhoods",
+        "SELECT own_function(n) FROM neighborhoods",
     ],
 )
-def test_adhoc_sql_sees_only_its_view(spark, sql):
+def test_adhoc_sql_sees_only_its_view(spark, sql, tmp_path):
     spark.range(5).withColumnRenamed("id", "n").createOrReplaceTempView("other")
+    spark.range(5).createOrReplaceGlobalTempView("shared")
+    if not spark.catalog.tableExists("stored"):
+        spark.range(5).write.saveAsTable("stored", path=f"{tmp_path}/stored")
+    spark.udf.register("own_function", lambda n: n, "long")
     with pytest.raises(Exception):
         adhoc_select(spark.range(5).withColumnRenamed("id", "n"), sql).collect()
 
@@ -95,6 +110,14 @@ def test_adhoc_leaves_a_view_of_the_same_name_alone(spark):
     assert spark.table("neighborhoods").count() == 3
 
 
+def test_adhoc_leaves_literals_as_they_are(spark):
+    df = spark.createDataFrame([("all neighborhoods here",), ("neighborhoods",)], "name string")
+    assert adhoc_select(df, "SELECT name FROM neighborhoods WHERE name = 'all neighborhoods here'").count() == 1
+    assert adhoc_select(df, "SELECT n.name FROM Neighborhoods n WHERE n.name = :v", {"v": "neighborhoods"}).count() == 1
+    assert adhoc_select(df, "SELECT x FROM VALUES (1), (2) AS t(x) WHERE x IN (SELECT length(left(name, 1)) FROM neighborhoods)").count() == 1
+    assert adhoc_select(df.limit(1), "SELECT a.name FROM neighborhoods a JOIN IDENTIFIER('neighborhoods') b ON a.name = b.name").count() == 1
+
+
 def test_adhoc_returns_all_rows_unless_asked(spark):
     assert adhoc_select(spark.range(1000), "WITH a AS (SELECT * FROM neighborhoods) SELECT id FROM a -- all").count() == 1000
     assert adhoc_select(spark.range(1000), "SELECT id FROM neighborhoods", rows=150).count() == 150
