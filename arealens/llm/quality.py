@@ -2,12 +2,13 @@
 
 Two classifiers see different sides of a document. The content view reads its words: presence of the words and word beginnings
 that tell the labelled classes apart. The metadata view reads everything else: language, source, length and layout (shares of
-capitals, symbols, digits and repeats). Each round, each view names the documents of an unlabelled pool of whose label it is most
-confident, and the other learns from them. Views are then calibrated on labelled documents that neither learned from, and
-a combination of the calibrated views scores every document of the table.
+capitals, symbols, digits and repeats). Each round, each view names the documents of whose label it is most confident, among all of
+the table but the labelled sample, and the other learns from them. Views are then calibrated on labelled documents that neither learned from,
+and a combination of the calibrated views scores every document of the table.
 
-Only training is bounded: ``labelled_rows`` labelled documents and a pool of ``pool_rows`` others, both chosen by a hash of the key.
-Their features go to the driver, where the small models are fitted; scoring runs over all documents in place.
+Only the labelled sample is bounded: ``labelled_rows`` documents chosen by a hash of the key. Its features and those of the exchanged
+documents (``confident`` per round, view and class) go to the driver, where the small models are fitted. Every round judges all
+documents in place: tasks send the numbers of their surest texts, and the features of the chosen ones alone are fetched.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from arealens.llm import textbatch as tb
 
-LABELLED_ROWS, POOL_ROWS = 8_000, 8_000
+LABELLED_ROWS = 8_000
 ROUNDS, CONFIDENT, SURE = 3, 400, 0.97
 SLOTS = 1 << 20
 LEXICON = 6_000
@@ -107,6 +108,13 @@ class Sample:
         self.edge = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64)
         self.slots = np.concatenate(slots).astype(np.int32) if slots else np.zeros(0, np.int32)
 
+    def extended(self, other: Sample) -> Sample:
+        """These rows and those of ``other`` behind them."""
+        out = Sample([], np.concatenate([self.meta, other.meta]))
+        out.edge = np.concatenate([self.edge, self.edge[-1] + other.edge[1:]])
+        out.slots = np.concatenate([self.slots, other.slots])
+        return out
+
     def parts(self, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(position in ``index``, slot) pairs of some rows, about PAIRS at a time."""
         counts = np.diff(self.edge)[index]
@@ -197,8 +205,48 @@ def parts(odds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.stack([f(o) for o in odds for f in (lambda o: np.minimum(o, 0), lambda o: np.maximum(o, 0))], axis=1)
 
 
-def co_train(sample: Sample, y: np.ndarray, rounds: int = ROUNDS, confident: int = CONFIDENT, sure: float = SURE) -> CoTrained | None:
-    """Fits both views; ``y`` is 1, 0 or -1 (unlabelled) per row. None if a class has fewer than two labelled rows."""
+TURNS = (("content", "meta"), ("meta", "content"))
+#: Chosen documents: their numbers, pseudo-labels and features.
+Given = tuple[np.ndarray, np.ndarray, Sample]
+
+
+def most_sure(odds: np.ndarray, ids: np.ndarray, confident: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the up to ``confident`` lowest and highest log-odds beyond the bar, surest first; one for equal ids, ties by id."""
+    bar = np.log(sure / (1 - sure))
+    out = []
+    for sign in (-1, 1):
+        beyond = np.flatnonzero(sign * odds >= bar)
+        order = beyond[np.lexsort((ids[beyond], -sign * odds[beyond]))]
+        out.append(order[np.sort(np.unique(ids[order], return_index=True)[1])[:confident]])
+    return tuple(out)
+
+
+def sample_pool(sample: Sample, index: np.ndarray, confident: int, sure: float):
+    """Exchange among rows of a sample on the driver."""
+
+    def exchange(views: dict, scales: dict, taken: dict) -> dict[str, Given]:
+        given = {}
+        for giver, learner in TURNS:
+            a, b = scales[giver]
+            free = np.setdiff1d(index, taken[learner])
+            low, high = most_sure(a * margins_of(views[giver], sample)[free] + b, free, confident, sure)
+            chosen = free[np.concatenate([low, high])]
+            slots = [sample.slots[sample.edge[i] : sample.edge[i + 1]] for i in chosen.tolist()]
+            given[learner] = chosen, np.repeat([0.0, 1.0], [len(low), len(high)]), Sample(slots, sample.meta[chosen])
+        return given
+
+    return exchange
+
+
+def margins_of(view, sample: Sample) -> np.ndarray:
+    return view.margins(sample) if isinstance(view, ContentView) else view.margin(sample.meta)
+
+
+def co_train(sample: Sample, y: np.ndarray, rounds: int = ROUNDS, confident: int = CONFIDENT, sure: float = SURE, exchange=None) -> CoTrained | None:
+    """Fits both views; ``y`` is 1, 0 or -1 (unlabelled) per row. None if a class has fewer than two labelled rows.
+
+    ``exchange`` names each learner the documents of which the other view is surest (default: among the sample's unlabelled rows).
+    """
     known = np.flatnonzero(y >= 0)
     if min((y[known] == 1).sum(), (y[known] == 0).sum()) < 2:
         return None
@@ -206,41 +254,29 @@ def co_train(sample: Sample, y: np.ndarray, rounds: int = ROUNDS, confident: int
     learn = np.setdiff1d(known, held)
     if len(np.unique(y[held])) < 2 or len(np.unique(y[learn])) < 2:
         held = learn = known
-    pool = np.flatnonzero(y < 0)
-    own = {"content": (learn, y[learn].astype(float)), "meta": (learn, y[learn].astype(float))}
+    exchange = exchange or sample_pool(sample, np.flatnonzero(y < 0), confident, sure)
+    grown = sample
+    own = {k: (learn, y[learn].astype(float)) for k in ("content", "meta")}
+    taken = {k: np.zeros(0, np.int64) for k in own}
 
     def fit(which):
         index, target = own[which]
-        return ContentView(sample, index, target) if which == "content" else MetadataView(sample.meta[index], target)
-
-    def margins(view):
-        return view.margins(sample) if isinstance(view, ContentView) else view.margin(sample.meta)
+        return ContentView(grown, index, target) if which == "content" else MetadataView(grown.meta[index], target)
 
     views = {k: fit(k) for k in own}
-    taken = {k: np.zeros(sample.n, bool) for k in own}
     for _ in range(rounds):
-        moved = False
-        for giver, learner in (("content", "meta"), ("meta", "content")):
-            margin = margins(views[giver])
-            a, b = calibrate(margin[held], y[held])
-            p = sigmoid(a * margin + b)
-            free = pool[~taken[learner][pool]]
-            order = free[np.argsort(p[free], kind="stable")]
-            # the surest of either class, and none below the bar
-            low, high = order[:confident], order[::-1][:confident]
-            low, high = low[p[low] <= 1 - sure], high[p[high] >= sure]
-            given = np.concatenate([low, high])
-            if len(given):
-                index, target = own[learner]
-                label = np.concatenate([np.zeros(len(low)), np.ones(len(high))])
-                own[learner] = (np.concatenate([index, given]), np.concatenate([target, label]))
-                taken[learner][given] = True
-                moved = True
-        if not moved:
+        scales = {k: calibrate(margins_of(v, sample)[held], y[held]) for k, v in views.items()}
+        given = exchange(views, scales, taken)
+        if not sum(len(ids) for ids, _, _ in given.values()):
             break
+        for learner, (ids, labels, rows) in given.items():
+            index, target = own[learner]
+            own[learner] = np.concatenate([index, np.arange(grown.n, grown.n + rows.n)]), np.concatenate([target, labels])
+            taken[learner] = np.concatenate([taken[learner], ids])
+            grown = grown.extended(rows) if rows.n else grown
         views = {k: fit(k) for k in own}
     model = CoTrained(views["content"], views["meta"], ((1.0, 0.0), (1.0, 0.0)), np.zeros(5))
-    raw = margins(model.content), margins(model.meta)
+    raw = margins_of(model.content, sample), margins_of(model.meta, sample)
     model.scales = tuple(calibrate(m[held], y[held]) for m in raw)
     x = parts(model.odds(raw[0][held], raw[1][held]))
     w, b = fit_logistic(lambda w: x @ w, lambda e: x.T @ e, 4, y[held].astype(float), np.ones(len(held)), 1e-3, 300)
@@ -259,49 +295,113 @@ def code(name: str):
     return F.pmod(F.xxhash64(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))), F.lit(HASHED)).cast("int")
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets, codes) of bounded parts of a table with _text, _a and _b."""
+    for batch in batches:
+        data, offsets = tb.utf8(batch.column("_text"))
+        codes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_b")], axis=1)
+        for lo, hi in tb.blocks(offsets):
+            yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], codes[lo:hi]
+
+
+def features(rows: DataFrame) -> tuple[pa.Table, Sample]:
+    """Features of a bounded table (_sum, _y, _text, _a, _b) on the driver, in order of _sum and _y."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets, codes in blocks_of(batches):
+            at, slots = content_slots(data, offsets)
+            pair = np.unique(at * SLOTS + slots)
+            edge = np.searchsorted(pair // SLOTS, np.arange(part.num_rows + 1))
+            slots = (pair % SLOTS).astype("<i4")
+            meta = metadata(data, offsets, codes).astype("<f4")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("_sum"), part.column("_y"), pa.array([slots[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary()),
+                    pa.array([m.tobytes() for m in meta], pa.binary()),
+                ],
+                ["_sum", "_y", "slots", "meta"],
+            )
+
+    taken = rows.mapInArrow(scan, "_sum long, _y int, slots binary, meta binary").toArrow().sort_by([("_sum", "ascending"), ("_y", "ascending")])
+    slots = [np.frombuffer(s, "<i4") for s in taken.column("slots").to_pylist()]
+    meta = [np.frombuffer(m, "<f4") for m in taken.column("meta").to_pylist()]
+    return taken.select(["_sum", "_y"]), Sample(slots, np.stack(meta) if meta else np.zeros((0, 1), np.float32))
+
+
+def table_pool(rows: DataFrame, known: np.ndarray, confident: int, sure: float):
+    """Exchange among all texts of a table (_sum, _text, _a, _b) but those numbered in ``known``.
+
+    Every task keeps its ``confident`` surest texts per view and class; of theirs the surest of all are found by a window that is
+    limited before its shuffle. Equal texts count once.
+    """
+
+    def exchange(views: dict, scales: dict, taken: dict) -> dict[str, Given]:
+        sent = rows.sparkSession.sparkContext.broadcast((views, scales, {k: np.concatenate([known, v]) for k, v in taken.items()}))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            views, scales, closed = sent.value
+            used = views["content"].weights != 0
+            best = {turn: (np.zeros(0), np.zeros(0, np.int64)) for turn in range(2 * len(TURNS))}
+            for part, data, offsets, codes in blocks_of(batches):
+                at, slots = content_slots(data, offsets)
+                kept = used[slots]
+                pair = np.unique(at[kept] * SLOTS + slots[kept])
+                margin = {
+                    "content": views["content"].margin(pair // SLOTS, pair % SLOTS, part.num_rows),
+                    "meta": views["meta"].margin(metadata(data, offsets, codes)),
+                }
+                ids = part.column("_sum").to_numpy()
+                for i, (giver, learner) in enumerate(TURNS):
+                    free = ~np.isin(ids, closed[learner])
+                    a, b = scales[giver]
+                    odds, own = a * margin[giver][free] + b, ids[free]
+                    for label, chosen in enumerate(most_sure(odds, own, confident, sure)):
+                        old = best[2 * i + label]
+                        odds_, ids_ = np.concatenate([old[0], odds[chosen]]), np.concatenate([old[1], own[chosen]])
+                        again = most_sure(odds_, ids_, confident, sure)[label]
+                        best[2 * i + label] = odds_[again], ids_[again]
+            for turn, (odds, own) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), turn, np.int32)), pa.array(own), pa.array(np.abs(odds))], ["turn", "_sum", "odds"])
+
+        found = rows.mapInArrow(scan, "turn int, _sum long, odds double").groupBy("turn", "_sum").agg(F.max("odds").alias("odds"))
+        nth = F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("odds"), "_sum"))
+        chosen: dict[int, list[int]] = {}
+        for r in found.withColumn("nth", nth).filter(F.col("nth") <= confident).select("turn", "_sum").collect():
+            chosen.setdefault(r["turn"], []).append(r["_sum"])
+        sent.unpersist()
+        ids = sorted({x for own in chosen.values() for x in own})
+        if not ids:
+            return {learner: (np.zeros(0, np.int64), np.zeros(0), Sample([], np.zeros((0, 1), np.float32))) for _, learner in TURNS}
+        one = rows.filter(F.col("_sum").isin(ids)).dropDuplicates(["_sum"])
+        table, every = features(one.withColumn("_y", F.lit(-1)))
+        place = {x: i for i, x in enumerate(table.column("_sum").to_pylist())}
+        given = {}
+        for i, (_, learner) in enumerate(TURNS):
+            own = [(x, float(label)) for label in (0, 1) for x in sorted(chosen.get(2 * i + label, [])) if x in place]
+            slots = [every.slots[every.edge[place[x]] : every.edge[place[x] + 1]] for x, _ in own]
+            given[learner] = np.array([x for x, _ in own], np.int64), np.array([y for _, y in own]), Sample(slots, every.meta[[place[x] for x, _ in own]])
+        return given
+
+    return exchange
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS,
+    docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS, confident: int = CONFIDENT, sure: float = SURE,
     key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", quality: str = "quality", toxic: str = "toxic",
 ) -> CoTrained | None:
-    """Co-trained model from bounded samples of labelled and other documents, or None if the labels do not hold two classes."""
-    known = labels_of(labels, key, quality, toxic)
-    # both samples are the first rows in hash order: bounded tables of keys
-    some = known.orderBy(F.xxhash64("_key"), "_key").limit(labelled_rows)
-    ids = docs.select(F.col(f"`{key}`").alias("_key")).filter("_key is not null")
-    pool = ids.join(known, "_key", "left_anti").orderBy(F.xxhash64("_key"), "_key").limit(pool_rows).distinct()
-    wanted = some.unionByName(pool.withColumn("_y", F.lit(-1)))
-    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), code(lang).alias("_a"), code(source).alias("_b"))
-    chosen = rows.join(F.broadcast(wanted), "_key").dropDuplicates(["_key"])
+    """Co-trained model from a bounded sample of labelled documents and all others, or None if the labels do not hold two classes.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tb.utf8(batch.column("_text"))
-            codes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_b")], axis=1)
-            for lo, hi in tb.blocks(offsets):
-                part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                at, slots = content_slots(part, own)
-                pair = np.unique(at * SLOTS + slots)
-                edge = np.searchsorted(pair // SLOTS, np.arange(hi - lo + 1))
-                slots = (pair % SLOTS).astype("<i4")
-                meta = metadata(part, own, codes[lo:hi]).astype("<f4")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("_key").slice(lo, hi - lo), batch.column("_y").slice(lo, hi - lo),
-                        pa.array([slots[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary()),
-                        pa.array([m.tobytes() for m in meta], pa.binary()),
-                    ],
-                    ["_key", "_y", "slots", "meta"],
-                )
-
-    kind = docs.schema[key].dataType.simpleString()
-    taken = chosen.mapInArrow(scan, f"_key {kind}, _y int, slots binary, meta binary").toArrow().sort_by("_key")
-    if not taken.num_rows:
+    Documents that are not in the labelled sample are unlabelled, whatever their labels; copies of its texts are left out.
+    """
+    # the sample is the first keys in hash order: a bounded table
+    some = labels_of(labels, key, quality, toxic).orderBy(F.xxhash64("_key"), "_key").limit(labelled_rows)
+    body = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(body).alias("_sum"), body.alias("_text"), code(lang).alias("_a"), code(source).alias("_b"))
+    table, sample = features(rows.join(F.broadcast(some), "_key").dropDuplicates(["_key"]).drop("_key"))
+    if not sample.n:
         return None
-    slots = [np.frombuffer(s, "<i4") for s in taken.column("slots").to_pylist()]
-    meta = np.stack([np.frombuffer(m, "<f4") for m in taken.column("meta").to_pylist()])
-    y = taken.column("_y").to_numpy()
-    del taken
-    return co_train(Sample(slots, meta), y, rounds)
+    exchange = table_pool(rows.drop("_key"), table.column("_sum").to_numpy(), confident, sure)
+    return co_train(sample, table.column("_y").to_numpy(), rounds, confident, sure, exchange)
 
 
 def score(docs: DataFrame, model: CoTrained | None, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -77,3 +77,31 @@ def test_awkward_rows_and_repeated_labels(spark):
     got = quality.classify(H.table(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
     assert len(got) == len(rows) and all(r.score is not None for r in got)
     assert quality.classify(H.table(spark, []), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_one_round_of_exchange_against_brute_force(spark):
+    docs, truth = corpus(600, 5)
+    docs += [(5000 + i, docs[7][1], "en", "hot", 1) for i in range(200)] + [(None, None, None, None, None), (6000, "", "en", "b", 0)]
+    table = H.table(spark, docs, 5)
+    rows = table.select(quality.F.xxhash64("text").alias("_sum"), quality.F.col("text").alias("_text"), quality.code("lang").alias("_a"), quality.code("source").alias("_b"))
+    keys, every = quality.features(rows.dropDuplicates(["_sum"]).withColumn("_y", quality.F.lit(-1)))
+    ids = keys.column("_sum").to_numpy()
+    by_text = {r._sum: r._text for r in rows.distinct().collect()}
+    kind = {d[1]: truth.get(d[0]) for d in reversed(docs)}
+    y = np.array([1 if kind[by_text[i]] == (1, 0) else 0 for i in ids.tolist()])
+    learn = np.arange(0, len(ids), 5)
+    views = {"content": quality.ContentView(every, learn, y[learn].astype(float)), "meta": quality.MetadataView(every.meta[learn], y[learn].astype(float))}
+    scales = {k: quality.calibrate(quality.margins_of(v, every)[learn], y[learn]) for k, v in views.items()}
+    taken = {"content": ids[1:4], "meta": ids[2:9]}
+    got = quality.table_pool(rows, ids[learn], 30, 0.9)(views, scales, taken)
+    for giver, learner in quality.TURNS:
+        a, b = scales[giver]
+        odds = a * quality.margins_of(views[giver], every) + b
+        closed = set(ids[learn].tolist()) | set(taken[learner].tolist())
+        bar = np.log(0.9 / 0.1)
+        want = {}
+        for label, sign in ((0, -1), (1, 1)):
+            sure = sorted((-sign * o, i) for o, i in zip(odds.tolist(), ids.tolist()) if sign * o >= bar and i not in closed)
+            want |= {i: label for _, i in sure[:30]}
+        found, label, features = got[learner]
+        assert dict(zip(found.tolist(), label.tolist())) == want and len(found) == len(want) == features.n > 30
