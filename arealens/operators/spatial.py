@@ -167,20 +167,74 @@ def _lookup(points: DataFrame, cells: DataFrame, level: int, stored: int, broadc
     return points.join(F.broadcast(side) if stored <= broadcast_edges else side, ["cx", "cy"], "left")
 
 
-def _tag_within(points: DataFrame, edges: DataFrame, key: str, x: str, y: str, broadcast_edges: int) -> DataFrame:
-    """Adds ``_area``: the area each point lies strictly inside, the smallest key if several."""
+@dataclass(frozen=True)
+class Cells:
+    """A staged table of grid cells: its frame, the cell size of every level, and the edges stored there."""
+
+    extent: Extent
+    table: DataFrame
+    sizes: dict[int, float]
+    stored: dict[int, int]
+
+
+@dataclass(frozen=True)
+class AreaIndex:
+    """Polygons cut into cells once, for any number of feeds: for containment, and in the projected plane for the nearest area.
+
+    ``near`` is None where one cell may not list all edges; then the nearest search walks a tree of cells over ``plane``.
+    """
+
+    within: Cells | None
+    plane: DataFrame | None
+    near: Cells | None
+
+
+def _within_index(edges: DataFrame, key: str) -> Cells:
     extent = Extent.of(edges)
     cells = stage_table(_within_cells(edges, key, extent), "within-cells")
     stored = _levels(cells, F.aggregate("areas", F.lit(0), lambda n, a: n + F.size(a.getField("edges"))))
+    return Cells(extent, cells, {level: extent.side / 2**level for level in stored}, stored)
+
+
+def _near_index(edges: DataFrame, key: str) -> Cells:
+    extent, n_edges = Extent.of(edges), edges.count()
+    # Small first cells keep the list of candidates short; the few points they cannot settle move on.
+    divisions = min(max(4 * math.isqrt(n_edges), 4), 2048)
+    sizes, size = [], extent.side / divisions
+    while size < extent.side:
+        sizes.append(size)
+        size *= 4
+    sizes.append(extent.side * 1.01)
+    cells = stage_table(_near_cells(edges, key, extent, sizes), "near-cells")
+    return Cells(extent, cells, dict(enumerate(sizes)), _levels(cells, F.size("near")))
+
+
+def area_index(
+    polygons: DataFrame, key: str = "cd", project: Projection = identity, within: bool = True, near: bool = True, broadcast_edges: int = BROADCAST_EDGES
+) -> AreaIndex:
+    """Index of ``polygons`` for ``spatial_join_within`` (``within``), ``nearest_area`` (``near``) and ``assign_area`` (both)."""
+    same = project is identity
+    edges = stage_table(polygon_edges(polygons, key), "edges") if within or same else None
+    located = _within_index(edges, key) if within else None
+    if not near:
+        return AreaIndex(located, None, None)
+    plane = edges if same else stage_table(polygon_edges(polygons, key, project=project), "plane-edges")
+    listed = plane.count() <= min(broadcast_edges, LEVEL_EDGES)
+    return AreaIndex(located, plane, _near_index(plane, key) if listed else None)
+
+
+def _tag_within(points: DataFrame, cells: Cells, x: str, y: str, broadcast_edges: int) -> DataFrame:
+    """Adds ``_area``: the area each point lies strictly inside, the smallest key if several."""
+    extent = cells.extent
     points = points.withColumns({"_x": F.col(x), "_y": F.col(y)})
     px, py = F.col("_x"), F.col("_y")
     test = G.contains("_x", "_y", "a.edges")
     hit = f"array_min(transform(filter(areas, a -> {test}), a -> a.area))"
     found = []
-    for level, n in stored.items():
-        size = F.lit(extent.side / 2**level)
+    for level, n in cells.stored.items():
+        size = F.lit(cells.sizes[level])
         points = points.withColumns({"cx": extent.cell_x(px, size), "cy": extent.cell_y(py, size)})
-        points = _lookup(points, cells, level, n, broadcast_edges)
+        points = _lookup(points, cells.table, level, n, broadcast_edges)
         points = points.withColumn(f"_hit_{level}", F.expr(hit)).drop("cx", "cy", "areas")
         found.append(f"_hit_{level}")
     area = F.array_min(F.array(*found))
@@ -205,29 +259,18 @@ def _near_cells(edges: DataFrame, key: str, extent: Extent, sizes: Sequence[floa
     return celled.groupBy("level", "cx", "cy").agg(F.collect_list("item").alias("near"))
 
 
-def _nearest_by_levels(
-    points: DataFrame, edges: DataFrame, key: str, extent: Extent, n_edges: int, broadcast_edges: int
-) -> DataFrame:
+def _nearest_by_levels(points: DataFrame, cells: Cells, broadcast_edges: int) -> DataFrame:
     """Nearest area for a bounded number of edges: cells four times larger from level to level.
 
     A point outside the frame looks from its projection c on the frame: an edge not listed for c's
     cell is farther than the cell size s from c, hence farther than sqrt(|pc|² + s²) from the point,
     so a smaller distance found is final. The last level has one cell that lists every edge.
     """
-    px, py = F.col("_px"), F.col("_py")
+    extent, px, py = cells.extent, F.col("_px"), F.col("_py")
     cx = F.greatest(F.lit(extent.minx), F.least(F.lit(extent.maxx), px))
     cy = F.greatest(F.lit(extent.miny), F.least(F.lit(extent.maxy), py))
     gap = (px - cx) * (px - cx) + (py - cy) * (py - cy)
-    # Small first cells keep the list of candidates short; the few points they cannot settle move on.
-    divisions = min(max(4 * math.isqrt(n_edges), 4), 2048)
-    sizes, size = [], extent.side / divisions
-    while size < extent.side:
-        sizes.append(size)
-        size *= 4
-    sizes.append(extent.side * 1.01)
-    cells = stage_table(_near_cells(edges, key, extent, sizes), "near-cells")
-    stored = _levels(cells, F.size("near"))
-    for level, size in enumerate(sizes):
+    for level, size in cells.sizes.items():
         open_point = F.col("_area").isNull() & px.isNotNull() & py.isNotNull()
         placed = points.withColumns(
             {
@@ -235,11 +278,11 @@ def _nearest_by_levels(
                 "cy": F.when(open_point, extent.cell_y(cy, F.lit(size))),
             }
         )
-        found = _lookup(placed, cells, level, stored.get(level, 0), broadcast_edges)
+        found = _lookup(placed, cells.table, level, cells.stored.get(level, 0), broadcast_edges)
         d2 = G.squared_distance_to_edge("_px", "_py", "e")
         best = F.expr(f"array_min(transform(near, e -> named_struct('d2', {d2}, 'area', e.area)))")
         found = found.withColumn("_best", best)
-        final = F.lit(True) if level == len(sizes) - 1 else F.col("_best.d2") <= gap + F.lit(size * size)
+        final = F.lit(True) if level == len(cells.sizes) - 1 else F.col("_best.d2") <= gap + F.lit(size * size)
         points = found.withColumn(
             "_area", F.coalesce(F.col("_area"), F.when(final, F.col("_best.area")))
         ).drop("cx", "cy", "near", "_best")
@@ -337,17 +380,13 @@ def _nearest_by_descent(points: DataFrame, edges: DataFrame, key: str, extent: E
     )
 
 
-def _tag_nearest(
-    points: DataFrame, edges: DataFrame, key: str, px: Column, py: Column, broadcast_edges: int
-) -> DataFrame:
+def _tag_nearest(points: DataFrame, index: AreaIndex, key: str, px: Column, py: Column, broadcast_edges: int) -> DataFrame:
     """Fills ``_area`` where it is NULL with the nearest area, ties going to the smaller key."""
-    extent = Extent.of(edges)
     points = points.withColumns({"_px": px, "_py": py})
-    n_edges = edges.count()
-    if n_edges <= min(broadcast_edges, LEVEL_EDGES):
-        out = _nearest_by_levels(points, edges, key, extent, n_edges, broadcast_edges)
+    if index.near is not None:
+        out = _nearest_by_levels(points, index.near, broadcast_edges)
     else:
-        out = _nearest_by_descent(points, edges, key, extent)
+        out = _nearest_by_descent(points, index.plane, key, Extent.of(index.plane))
     return out.drop("_px", "_py")
 
 
@@ -373,10 +412,11 @@ def spatial_join_within(
     y: str = "latitude",
     valid_only: bool = True,
     broadcast_edges: int = BROADCAST_EDGES,
+    index: AreaIndex | None = None,
 ) -> DataFrame:
     """Every valid point with the attributes of the area it lies strictly inside, else NULLs."""
-    edges = stage_table(polygon_edges(polygons, key), "edges")
-    tagged = _tag_within(_prepare(points, x, y, valid_only), edges, key, x, y, broadcast_edges)
+    index = index or area_index(polygons, key, near=False)
+    tagged = _tag_within(_prepare(points, x, y, valid_only), index.within, x, y, broadcast_edges)
     return _attach(tagged, polygons, key, attributes)
 
 
@@ -390,18 +430,17 @@ def nearest_area(
     project: Projection = identity,
     valid_only: bool = True,
     broadcast_edges: int = BROADCAST_EDGES,
+    index: AreaIndex | None = None,
 ) -> DataFrame:
     """Every valid point with the area whose boundary is nearest in the projected plane.
 
     Meant for points outside all areas (inside one, the nearest boundary may be another area's).
     """
-    edges = stage_table(polygon_edges(polygons, key, project=project), "edges")
+    index = index or area_index(polygons, key, project, within=False, broadcast_edges=broadcast_edges)
     area_type = polygons.schema[key].dataType
     open_points = _prepare(points, x, y, valid_only).withColumn("_area", F.lit(None).cast(area_type))
     px, py = project(F.col(x), F.col(y))
-    return _attach(
-        _tag_nearest(open_points, edges, key, px, py, broadcast_edges), polygons, key, attributes
-    )
+    return _attach(_tag_nearest(open_points, index, key, px, py, broadcast_edges), polygons, key, attributes)
 
 
 def assign_area(
@@ -414,16 +453,14 @@ def assign_area(
     project: Projection = identity,
     valid_only: bool = True,
     broadcast_edges: int = BROADCAST_EDGES,
+    index: AreaIndex | None = None,
 ) -> DataFrame:
     """Exactly one area per valid point: the containing one, else the nearest in the projected plane.
 
     One pass over the points: those already inside an area carry a NULL cell through the nearest
-    levels and are not looked up again.
+    levels and are not looked up again. ``index`` is that of the same polygons, key and projection; several feeds can share one.
     """
-    edges = stage_table(polygon_edges(polygons, key), "edges")
-    tagged = _tag_within(_prepare(points, x, y, valid_only), edges, key, x, y, broadcast_edges)
-    plane = edges if project is identity else stage_table(polygon_edges(polygons, key, project=project), "plane-edges")
+    index = index or area_index(polygons, key, project, broadcast_edges=broadcast_edges)
+    tagged = _tag_within(_prepare(points, x, y, valid_only), index.within, x, y, broadcast_edges)
     px, py = project(F.col(x), F.col(y))
-    return _attach(
-        _tag_nearest(tagged, plane, key, px, py, broadcast_edges), polygons, key, attributes
-    )
+    return _attach(_tag_nearest(tagged, index, key, px, py, broadcast_edges), polygons, key, attributes)

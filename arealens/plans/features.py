@@ -111,9 +111,10 @@ def assemble(
     """Clean feeds to area features: spatial joins, aggregates and the merged table."""
     polygons = stage_table(polygons, "polygons")
     areas = stage_table(area_features(polygons, project, to_km2), "areas")
+    index = SP.area_index(polygons, project=project)
 
     def located(points: DataFrame) -> DataFrame:
-        return SP.assign_area(points, polygons, project=project)
+        return SP.assign_area(points, polygons, project=project, index=index)
 
     flow = A.flow_features(located(pedestrian), KEYS)
     stops = A.distinct_count_features(located(stations), KEYS, "station_name", "subway_station_count")

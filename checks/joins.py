@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from arealens.functions import geometry as G
+from arealens.functions.predicates import valid_coordinates
 from arealens.functions import scalars as S
 from arealens.operators import joins as J
 from arealens.operators import spatial as SP
@@ -30,9 +31,10 @@ def d1(t):
 )
 def d1_far(t):
     """Coordinates far outside every grid lie in no area; NaN is no coordinate."""
-    k = F.col("o_orderkey")
+    # only points that are valid by themselves move far away: an invalid one would become valid
+    k, valid = F.col("o_orderkey"), valid_coordinates("latitude", "longitude")
     odd = points(t).withColumn(
-        "longitude", F.when(k % 17 == 0, F.lit(float("nan"))).when(k % 13 == 0, F.lit(1e12)).otherwise(F.col("longitude"))
+        "longitude", F.when(k % 17 == 0, F.lit(float("nan"))).when((k % 13 == 0) & valid, F.lit(1e12)).otherwise(F.col("longitude"))
     )
     return SP.spatial_join_within(odd, polygons(t), attributes=["cd"]).select("o_orderkey", "cd")
 
