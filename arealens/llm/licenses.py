@@ -7,6 +7,9 @@ window around each and reports span and errors.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -75,44 +78,63 @@ def compiled(notices: tuple[Notice, ...]):
     ]
 
 
-def best_matches(pattern, part: str) -> list:
-    """Matches that do not overlap, in order: the best of the part, and again in the stretches before and behind it."""
-    found, open_ = [], [(0, len(part))]
-    while open_:
-        a, b = open_.pop()
-        m = pattern.search(part, a, b) if a < b else None
+def best_matches(pattern, text: str, windows: list[tuple[int, int]]) -> list:
+    """Matches that do not overlap, in order: the best of all, then again the best of what its neighbours leave free.
+
+    Every match lies in one of ``windows``, so each is searched by itself; one is searched again only where a better match has taken a part
+    of it. The work grows with the number of windows, not with its square.
+    """
+    taken, heap, found, turn = [], [], [], itertools.count()
+
+    def search(a: int, b: int) -> None:
+        m = pattern.search(text, a, b) if a < b else None
         if m is not None and m.end() > m.start():
+            heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b, next(turn), m))
+
+    for a, b in windows:
+        search(a, b)
+    while heap:
+        *_, start, end, a, b, _, m = heapq.heappop(heap)
+        i = bisect.bisect(taken, (start, end))
+        # taken stretches that this match would overlap
+        near = [x for x in taken[max(0, i - 1) : i + 2] if x[0] < end and start < x[1]]
+        if not near:
+            bisect.insort(taken, (start, end))
             found.append(m)
-            open_ += [(a, m.start()), (m.end(), b)]
+            near = [(start, end)]
+        for x, y in zip([a, *[e for _, e in near]], [*[s for s, _ in near], b]):
+            search(x, y)
     return sorted(found, key=lambda m: m.start())
 
 
 def near_notices(text: bytes, notices: tuple[Notice, ...]) -> list[tuple[str, int, int, int, int]]:
     """(label, first word, words, errors, length of the notice) of every notice found in blank-joined lower-case words."""
-    found = []
+    found, part, blanks = [], None, None
     for notice, seeds, pattern in compiled(notices):
-        windows, reach = [], len(notice.words.encode()) + 2 * notice.errors + 1
+        reach = len(notice.words.encode()) + 2 * notice.errors + 1
+        windows = set()
         for start, seed in seeds:
             at = text.find(seed)
             while at >= 0:
-                windows.append((max(0, at - start - notice.errors - 1), at - start + reach))
+                # whole words on either side
+                a, b = max(0, at - start - notice.errors - 1), at - start + reach
+                end = text.find(b" ", b)
+                windows.add((text.rfind(b" ", 0, a) + 1, end if end >= 0 else len(text)))
                 at = text.find(seed, at + 1)
-        windows.sort()
-        joined: list[list[int]] = []
-        for a, b in windows:
-            if joined and a <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], b)
-            else:
-                joined.append([a, b])
-        for a, b in joined:
-            # whole words and whole characters on either side
-            a, b = text.rfind(b" ", 0, a) + 1, text.find(b" ", b)
-            part = text[a : b if b >= 0 else len(text)].decode()
-            for m in best_matches(pattern, part):
-                if m[0].strip():
-                    lead = len(m[0]) - len(m[0].lstrip(" "))
-                    first = text.count(b" ", 0, a) + part.count(" ", 0, m.start() + lead)
-                    found.append((notice.label, first, len(m[0].split()), sum(m.fuzzy_counts), len(notice.words)))
+        if not windows:
+            continue
+        if part is None:
+            part = text.decode()
+            blanks = np.flatnonzero(np.frombuffer(part.encode("utf-32-le"), np.uint32) == 0x20)
+        # places in characters, counted once from edge to edge
+        edges = sorted({x for w in windows for x in w})
+        sizes = edges if text.isascii() else np.cumsum([len(text[x:y].decode()) for x, y in zip([0, *edges], edges)]).tolist()
+        place = dict(zip(edges, sizes))
+        for m in best_matches(pattern, part, sorted((place[a], place[b]) for a, b in windows)):
+            if m[0].strip():
+                lead = len(m[0]) - len(m[0].lstrip(" "))
+                first = int(np.searchsorted(blanks, m.start() + lead))
+                found.append((notice.label, first, len(m[0].split()), sum(m.fuzzy_counts), len(notice.words)))
     return found
 
 

@@ -95,3 +95,41 @@ def test_two_near_notices_in_one_window_are_both_found():
             errors.append(n)
         got = licenses.near_notices(" or ".join(parts).encode(), (gpl,))
         assert [(f[1], f[2], f[3]) for f in got] == [(5 * i, 4, n) for i, n in enumerate(errors)], parts
+
+
+def test_windows_give_what_a_search_of_the_whole_text_gives():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(40):
+        notice = rng.choice(licenses.NOTICES)
+        parts = []
+        for _ in range(rng.randint(1, 8)):
+            body = list(notice.words)
+            for _ in range(rng.randint(0, notice.errors + 1)):
+                body[rng.randrange(len(body))] = rng.choice("ab\u00e9 ")
+            parts.append(" ".join("".join(body).split()))
+            parts.append(" ".join(rng.choice(["or", "and", "x", "license", "the"]) for _ in range(rng.randint(0, 3))))
+        text = " ".join(" ".join(parts).split())
+        pattern = licenses.compiled((notice,))[0][2]
+        whole, open_ = [], [(0, len(text))]
+        while open_:
+            a, b = open_.pop()
+            m = pattern.search(text, a, b) if a < b else None
+            if m is not None and m.end() > m.start():
+                whole.append(sum(m.fuzzy_counts))
+                open_ += [(a, m.start()), (m.end(), b)]
+        got = licenses.near_notices(text.encode(), (notice,))
+        assert len(got) == len(whole) and sorted(f[3] for f in got) == sorted(whole), text
+
+
+def test_a_long_list_of_notices_takes_linear_time():
+    import time
+
+    spent = []
+    for n in (500, 4000):
+        text = b"all rigths reserved " * n
+        began = time.process_time()
+        assert len(licenses.near_notices(text.strip(), licenses.NOTICES)) == n
+        spent.append(time.process_time() - began)
+    assert spent[1] < 30 * spent[0]
