@@ -235,7 +235,7 @@ FROM d LEFT JOIN t USING (doc_id) LEFT JOIN p USING (doc_id)
 @query("op4_suffix_dedup", BYTES_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Strings of 400 bytes that occur again, removed; beside it the bytes under shorter repeated passages."""
-    cut = suffix.remove_repeats(table(spark, folder, "documents"), short=suffix.PASSAGE)
+    cut = suffix.remove_repeats(table(spark, folder, "documents"), seed=suffix.TWO_LENGTHS_SEED, short=suffix.PASSAGE)
     passages = F.aggregate("short_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return cut.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), passages.alias("n_passage_bytes")

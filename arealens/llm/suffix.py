@@ -36,8 +36,11 @@ from arealens.llm.substring import NO_KEY, bucket_of, place_of, runs
 from arealens.llm.syncmers import sliding_min
 
 LENGTH, SEED, CROWD = 400, 64, 2000
-#: A passage that counts has more than 50 words. In the test tables 98 % of 51 shared words have this many bytes, 70 % have 400.
-PASSAGE = 256
+#: A passage that counts has more than 50 words, 51 of about 5.5 bytes with their blank. In the test tables 98 % of such shared passages
+#: have this many bytes, 71 % have 400.
+PASSAGE = 280
+#: Pieces for two lengths at once: longer ones stand in fewer texts by chance, shorter ones name fewer anchors.
+TWO_LENGTHS_SEED = 96
 BATCH_BYTES = 12 << 20
 POOL_BYTES = 1 << 18
 PLACE = np.uint64((1 << 28) - 1)
@@ -312,7 +315,10 @@ def contexts(marked: DataFrame, lengths: tuple[int, ...], seed: int) -> DataFram
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix starts in the order of their first ``depth`` bytes or more, by prefix doubling from 8 bytes on."""
+    """Suffix starts in the order of their first ``depth`` bytes or more, by prefix tripling from 8 bytes on.
+
+    Three ranks make one 63-bit key; texts too long for that take two and double.
+    """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -326,17 +332,20 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
     alone = start & np.append(start[1:], True)
     open_, reach = order[~alone], 8
+    times = 3 if (n + 1) ** 3 < 1 << 63 else 2
     while reach < depth and len(open_):
         follow = rank[np.minimum(open_ + reach, n)] + 1
+        if times == 3:
+            follow = follow * (n + 1) + rank[np.minimum(open_ + 2 * reach, n)] + 1
         own = rank[open_]
-        turn = np.argsort(own * (n + 1) + follow)
+        turn = np.argsort(own * (n + 1) ** (times - 1) + follow)
         open_, own, follow = open_[turn], own[turn], follow[turn]
         old = np.concatenate([[True], own[1:] != own[:-1]])
         new = old | np.concatenate([[True], follow[1:] != follow[:-1]])
         at = np.arange(len(open_))
         rank[open_] = own + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(old, at, 0))
         open_ = open_[~(new & np.append(new[1:], True))]
-        reach *= 2
+        reach *= times
     return np.argsort(rank[:n])
 
 
