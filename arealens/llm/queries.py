@@ -328,7 +328,7 @@ m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(wor
       FROM w LEFT JOIN r USING (nr)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_dup_lines > 3 * n_lines
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 2 * n_dup_lines > n_lines
        OR upper > lower OR 2 * digits > word_chars OR 2 * shouts > n_words OR longest > 1000) AS kept
 FROM b
 """

@@ -167,7 +167,7 @@ RULES = (
     Rule("symbols", ("n_symbols", "n_words"), lambda m: 10 * m["n_symbols"] > m["n_words"]),
     Rule("short_words", ("word_chars", "n_words"), lambda m: m["word_chars"] < 3 * m["n_words"]),
     Rule("long_words", ("word_chars", "n_words"), lambda m: m["word_chars"] > 12 * m["n_words"]),
-    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
     Rule("capitals", ("n_upper", "n_lower"), lambda m: m["n_upper"] > m["n_lower"]),
     Rule("digits", ("n_digits", "word_chars"), lambda m: 2 * m["n_digits"] > m["word_chars"]),
     Rule("shouting", ("n_shouts", "n_words"), lambda m: 2 * m["n_shouts"] > m["n_words"]),

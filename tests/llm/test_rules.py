@@ -36,7 +36,7 @@ def brute(text):
 def verdict(m):
     return not (
         m["n_words"] < 50 or 2 * m["n_repeat_words"] > m["n_words"] or 10 * m["n_symbols"] > m["n_words"]
-        or m["word_chars"] < 3 * m["n_words"] or m["word_chars"] > 12 * m["n_words"] or 10 * m["n_dup_lines"] > 3 * m["n_lines"]
+        or m["word_chars"] < 3 * m["n_words"] or m["word_chars"] > 12 * m["n_words"] or 2 * m["n_dup_lines"] > m["n_lines"]
         or m["n_upper"] > m["n_lower"] or 2 * m["n_digits"] > m["word_chars"] or 2 * m["n_shouts"] > m["n_words"] or m["longest_word"] > 1000
     )
 
