@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from arealens.functions import predicates as P
-from arealens.operators.ordering import dedupe_first, order_by_score
+from arealens.operators.ordering import dedupe_first, number_rows, order_by_score
 from checks.base import check, r6, s6
 from checks.derived import AREA_SQL, SHARE_COLUMNS, area_table
 
@@ -23,6 +23,17 @@ def c1(t):
     return kept.select("neighborhood", "borough", r6("commercial_activity_score"))
 
 
+@check(
+    "c1_filter_order",
+    AREA_SQL
+    + f"""SELECT neighborhood, row_number() OVER (ORDER BY commercial_activity_score DESC NULLS LAST, neighborhood) AS pos FROM feat
+    WHERE borough IN ('PROMO', 'SMALL') AND {BOUND_SQL}""",
+)
+def c1_order(t):
+    """The place of every row that the filter keeps."""
+    return number_rows(c1(t).withColumn("_at", F.monotonically_increasing_id()), ["_at"]).select("neighborhood", "pos")
+
+
 @check("c1_filter_counts", AREA_SQL + f"SELECT count(*) AS n_total, count(*) FILTER (WHERE {BOUND_SQL}) AS n_filtered FROM feat")
 def c1_counts(t):
     return P.filter_counts(area_table(t), P.HardFilter.from_request(**BOUNDS))

@@ -123,6 +123,16 @@ def f7(t):
     return O.order_by_score(df, "score", "s_suppkey")
 
 
+@check(
+    "f7_order_positions",
+    """SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_acctbal > 0 THEN s_acctbal END DESC NULLS LAST, s_suppkey) AS pos FROM supplier""",
+)
+def f7_positions(t):
+    """The place of every row in the order that comes out."""
+    placed = f7(t).withColumn("_at", F.monotonically_increasing_id())
+    return O.number_rows(placed, ["_at"]).select("s_suppkey", "pos")
+
+
 @check("f8_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def f8(t):
     return O.top_k(t("orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 50, "o_orderkey")

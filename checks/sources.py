@@ -62,16 +62,31 @@ def _feature_lines(t):
     return path
 
 
-@check(
-    "a6_scan_polygons",
+_SCANNED_SQL = (
     POLYGON_SQL
     + """
     SELECT p.neighborhood, p.cd, p.borough, count(*) AS n_edges, count(DISTINCT e.hole) AS n_kinds,
            round(min(least(e.x1, e.x2)), 6) AS minx, round(max(greatest(e.y1, e.y2)), 6) AS maxy
-    FROM poly p JOIN edge e USING (cd) GROUP BY 1, 2, 3""",
+    FROM poly p JOIN edge e USING (cd) GROUP BY 1, 2, 3"""
 )
+
+
+@check("a6_scan_polygons", _SCANNED_SQL)
 def a6(t):
-    read = geojson.scan_polygons(t.spark, _feature_lines(t), lines=True)
+    return _scanned(geojson.scan_polygons(t.spark, _feature_lines(t), lines=True))
+
+
+@check("a6_scan_feature_collection", _SCANNED_SQL)
+def a6_collection(t):
+    """The same polygons as one document."""
+    features = t.spark.read.text(_feature_lines(t)).agg(F.concat_ws(",", F.collect_list("value")).alias("all"))
+    whole = features.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "all", F.lit("]}")).alias("value"))
+    path = scratch_path(t.spark, "geojson")
+    whole.write.text(path)
+    return _scanned(geojson.scan_polygons(t.spark, path))
+
+
+def _scanned(read):
     edges = polygon_edges(read, "cd").join(read.select("cd", "neighborhood", "borough"), "cd")
     return edges.groupBy("neighborhood", "cd", "borough").agg(
         F.count("*").alias("n_edges"),
