@@ -164,12 +164,14 @@ def inertia(assigned: DataFrame) -> DataFrame:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances between two blocks of rows, from direct differences."""
-    if a.shape[1] > 16:
-        return np.stack([np.sqrt(((b - row) ** 2).sum(axis=1)) for row in a])
-    squared = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        squared += (a[:, j, None] - b[None, :, j]) ** 2
+    """Euclidean distances between two blocks of rows: from products, and from direct differences where products cancel."""
+    centre = b.mean(axis=0)
+    a, b = a - centre, b - centre
+    norms = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)
+    squared = norms - 2 * (a @ b.T)
+    close = squared <= 1e-4 * norms
+    for i in np.flatnonzero(close.any(axis=1)):
+        squared[i, close[i]] = ((b[close[i]] - a[i]) ** 2).sum(axis=1)
     return np.sqrt(squared)
 
 
@@ -186,8 +188,8 @@ def silhouette_exact(
 
     The measure needs every distance, so the work is quadratic by definition; see
     :func:`silhouette_squared` for the linear-time figure. Rows are packed into blocks of about
-    ``block_rows``; a task holds two blocks and passes on per-cluster sums, never pairs. ``key`` must
-    be unique. ``singleton`` says what a cluster of one row scores: "one" (if any other cluster is
+    ``block_rows``; a task holds two blocks at a time, reads them from their one copy and passes on per-cluster
+    sums, one row per row and partition of the other side, so what is written grows with the rows. ``key`` must be unique. ``singleton`` says what a cluster of one row scores: "one" (if any other cluster is
     apart from it) or "zero".
     """
     if singleton not in ("one", "zero"):
@@ -212,47 +214,52 @@ def silhouette_exact(
         ]
 
     packed = stage_table(packed, "silhouette-blocks")
-    left = packed.select(
-        F.transform("items", lambda i: i.getField("k")).alias("k"),
-        *fields("l"),
-        F.col("b").alias("own"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"),
-    )
-    right = packed.select("b", *fields("r"))
-    # Block pairs are few rows of heavy work, so their number of tasks is set by count, not by bytes.
-    tasks = min(blocks * blocks, 4 * df.sparkSession.sparkContext.defaultParallelism + blocks)
-    if n * (width or 1) <= broadcast_values:
-        left, right = left.repartition(tasks, "own", "b"), F.broadcast(right)
+    left = packed.select(F.col("b").alias("own"), F.transform("items", lambda i: i.getField("k")).alias("k"), *fields("l"))
+    right = packed.select(*fields("r"))
+    # Block pairs are few rows of heavy work, so their number of tasks is set by count, not by bytes. Every pair of partitions
+    # is a task of its own that reads both sides where they lie; nothing is copied per pair.
+    values, tasks = n * (width or 1), 4 * df.sparkSession.sparkContext.defaultParallelism
+    if values <= broadcast_values:
+        left, right = left.repartition(min(blocks, tasks)), F.broadcast(right)
     else:
-        left, right = left.repartition(tasks, "b"), right.repartition(tasks, "b")
+        parts = math.ceil(values / BROADCAST_VALUES)
+        right = right.repartition(min(blocks, parts)).hint("shuffle_replicate_nl")
+        left = left.repartition(min(blocks, max(parts, math.ceil(tasks / parts))))
     n_labels, starts = len(ks), np.concatenate([[0], np.cumsum(ks)]).astype(int)
+    tags, slots = [f"c{j}" for j in range(n_labels)], [f"s{i}" for i in range(int(starts[-1]))]
+    distances = _distances
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = None
+
+        def part() -> pd.DataFrame:
+            return pd.concat([pd.DataFrame({"k": keys}), pd.DataFrame(mine, columns=tags), pd.DataFrame(totals, columns=slots)], axis=1)
+
         for batch in batches:
             for r in batch.itertuples(index=False):
-                here = np.asarray(r.lv, dtype=np.float64).reshape(-1, width)
+                # The pairs of one block follow each other; a block met again only gives one more partial sum.
+                if r.own != own:
+                    if own is not None:
+                        yield part()
+                    own, keys, mine = r.own, r.k, np.asarray(r.lc).reshape(-1, n_labels)
+                    here = np.asarray(r.lv, dtype=np.float64).reshape(-1, width)
+                    totals = np.zeros((len(here), starts[-1]))
                 there = np.asarray(r.rv, dtype=np.float64).reshape(-1, width)
                 clusters = np.asarray(r.rc).reshape(-1, n_labels)
                 member = np.zeros((len(there), starts[-1]))
                 for j in range(n_labels):
                     member[np.arange(len(there)), starts[j] + clusters[:, j]] = 1.0
-                totals = _distances(here, there) @ member
-                yield pd.DataFrame({
-                    "k": r.k,
-                    "c": list(np.asarray(r.lc).reshape(-1, n_labels)),
-                    "s": list(totals),
-                })
+                totals += distances(here, there) @ member
+        if own is not None:
+            yield part()
 
     key_type = rows.schema["k"].dataType.simpleString()
-    partial = left.join(right, "b").select("k", "lv", "lc", "rv", "rc").mapInPandas(
-        sums, f"k {key_type}, c array<int>, s array<double>"
-    )
-    summed = partial.groupBy("k").agg(
-        F.first("c").alias("c"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(int(starts[-1]))]
-    )
+    schema = ", ".join([f"k {key_type}", *[f"{c} int" for c in tags], *[f"{x} double" for x in slots]])
+    partial = left.crossJoin(right).select("own", "k", "lv", "lc", "rv", "rc").mapInPandas(sums, schema)
+    summed = partial.groupBy("k", *tags).agg(*[F.sum(x).alias(x) for x in slots])
     cells = []
     for j, name in enumerate(labels):
-        own_cluster = F.col("c")[j]
+        own_cluster = F.col(tags[j])
         own = [F.when(own_cluster == i, F.col(f"s{starts[j] + i}")) for i in range(ks[j])]
         own_size = F.coalesce(*[F.when(own_cluster == i, F.lit(sizes[name][i])) for i in range(ks[j])])
         others = [

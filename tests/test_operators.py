@@ -283,6 +283,16 @@ def test_exact_silhouette_of_several_labelings(spark, singleton):
     assert got["flat"] == 0.0
 
 
+def test_exact_silhouette_copies_no_block_per_pair(spark):
+    points = np.concatenate([blobs(1, 25, (8.0, 0.0)), blobs(1, 25, (8.0, 0.0))]) + 1e5
+    labels = [i // 25 % 2 for i in range(len(points))]
+    df = spark.createDataFrame([(i, [float(x) for x in p], c) for i, (p, c) in enumerate(zip(points, labels))], "id int, v array<double>, c int")
+    out = K.silhouette_exact(df, "id", "v", ["c"], block_rows=7, broadcast_values=0)
+    assert out.first().silhouette == pytest.approx(silhouette(points, labels, "one"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate explode" not in plan
+
+
 def test_choice_of_k(spark):
     rows = [(2, 100.0, 0.2), (3, 40.0, 0.5), (4, 30.0, 0.5), (5, 25.0, 0.4)]
     curve = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
