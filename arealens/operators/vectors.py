@@ -17,6 +17,7 @@ from arealens.operators.joins import align_vectors
 from arealens.operators.ordering import order_by_score, top_k
 
 EPSILON = 1e-12
+SLICE_VALUES = 1 << 20  # words and vector cells that a task counts at a time
 
 TextModel = Callable[[Sequence[str]], "np.ndarray"]
 
@@ -51,6 +52,24 @@ def hash_buckets(text: Column | str, dimensions: int) -> Column:
     return F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dimensions)).cast("int"))
 
 
+def _unit_counts(offsets: np.ndarray, buckets: np.ndarray, weights: np.ndarray, slice_values: int = SLICE_VALUES) -> np.ndarray:
+    """Weighted bucket counts of every text, scaled to unit length. Texts are taken in slices of bounded size, so that memory
+    beside the result does not follow the length of the texts in a batch."""
+    starts, n, width = offsets - offsets[0], len(offsets) - 1, len(weights)
+    out = np.empty((n, width), dtype=np.float32)
+    if not n:
+        return out
+    part = (starts[:-1].astype(np.int64) + np.arange(n, dtype=np.int64) * width) // slice_values
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
+    for low, high in zip(cuts, cuts[1:]):
+        cells = np.repeat(np.arange(high - low) * width, np.diff(starts[low : high + 1]))
+        cells += buckets[starts[low] : starts[high]]
+        matrix = np.bincount(cells, minlength=(high - low) * width).reshape(high - low, width) * weights
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        out[low:high] = matrix
+    return out
+
+
 @dataclass(frozen=True)
 class TextSpace:
     """A fitted space of hashed TF-IDF vectors: one weight per bucket. Corpus, refreshed rows and queries share it."""
@@ -69,14 +88,13 @@ class TextSpace:
         """Adds the unit vector of every text; a text without weighted words has the zero vector."""
         weights = np.asarray(self.weights)
 
+        counted = _unit_counts
+
         @F.arrow_udf("array<float>")
         def vectors(batch: pa.Array) -> pa.Array:
-            rows = np.repeat(np.arange(len(batch)), np.diff(np.asarray(batch.offsets)))
-            flat = np.bincount(rows * len(weights) + np.asarray(batch.flatten()), minlength=len(batch) * len(weights))
-            matrix = flat.reshape(len(batch), len(weights)) * weights
-            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+            matrix = counted(np.asarray(batch.offsets), np.asarray(batch.flatten()), weights)
             offsets = np.arange(len(batch) + 1, dtype=np.int32) * len(weights)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel().astype(np.float32)))
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
         return df.withColumn(out, vectors(hash_buckets(text, len(weights))))
 

@@ -256,6 +256,23 @@ def test_lloyd_lowers_inertia_and_reseeds_empty_clusters(spark):
     assert all(abs(x) < 20 for c in centres for x in c)
 
 
+def test_texts_are_counted_in_slices_of_bounded_memory():
+    import tracemalloc
+
+    from arealens.operators import vectors as V
+
+    rng, width = np.random.default_rng(3), 16
+    sizes = np.array([0, 5, 90_000, 1, 0, *[30_000] * 60])
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) + 7
+    buckets, weights = rng.integers(0, width, sizes.sum()).astype(np.int32), np.arange(1.0, width + 1)
+    tracemalloc.start()
+    got = V._unit_counts(offsets, buckets, weights, 1 << 15)
+    assert tracemalloc.get_traced_memory()[1] < 4 * 8 * 90_000
+    tracemalloc.stop()
+    counts = [np.bincount(b, minlength=width) * weights for b in np.split(buckets, np.cumsum(sizes)[:-1])]
+    assert np.allclose(got, [c / max(np.linalg.norm(c), 1e-300) for c in counts])
+
+
 def silhouette(points, labels, singleton):
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
     out = []
