@@ -76,6 +76,14 @@ def _points(batch: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return matrix, some
 
 
+def _whole(batch: pa.Array) -> np.ndarray:
+    """Rows of a list column without gaps as a matrix."""
+    lengths = np.asarray(pc.list_value_length(batch))
+    if (lengths != lengths[0]).any():
+        raise ValueError(f"vectors have {sorted(set(lengths.tolist()))} numbers")
+    return np.asarray(batch.flatten()).reshape(len(batch), lengths[0])
+
+
 def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest centre and its squared distance, from direct differences, one centre at a time."""
     best, d2 = np.zeros(len(points), dtype=np.int32), np.full(len(points), np.inf)
@@ -291,6 +299,7 @@ def sweep_starts(df: DataFrame, vector: str, max_k: int, seed: int = 42) -> list
     """
     rows = df.select(F.col(vector).cast("array<double>").alias("v")).filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
     chosen: list[list[float]] = []
+    whole_of = _whole
     while len(chosen) < max_k:
         centres = np.asarray(chosen)
 
@@ -298,7 +307,7 @@ def sweep_starts(df: DataFrame, vector: str, max_k: int, seed: int = 42) -> list
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                points = np.asarray(batch.column("v").to_pylist(), dtype=np.float64)
+                points = whole_of(batch.column("v"))
                 draw = ((batch.column("h").to_numpy() >> 11) % (1 << 53) + 0.5) / (1 << 53)
                 # direct differences, so that copies of a start are exactly at 0
                 d2 = np.min([((points - c) ** 2).sum(axis=1) for c in centres], axis=0) if len(centres) else np.ones(len(points))

@@ -162,7 +162,10 @@ def k8(t):
 @check("k8_own_starts", "SELECT CAST(unnest(range(2, 7)) AS INT) AS k, true AS falls")
 def k8_own(t):
     """With seeds of its own: every k is swept and the inertia of k + 1 clusters is not far above that of k."""
-    scaled = K.zscore(area_table(t), ["avg_pedestrian", "storefront_density_per_km2", "category_entropy"])
+    features = ["avg_pedestrian", "storefront_density_per_km2", "category_entropy"]
+    # Scaling reads the areas twice: for their means, and row by row.
+    areas = stage_table(area_table(t).select("neighborhood", *features), "areas")
+    scaled = K.zscore(areas, features)
     curve = K.k_sweep(scaled, "neighborhood", "z", 6)[0]
     before = F.lag("inertia").over(Window.orderBy("k"))
     return curve.select("k", (F.coalesce(before, F.col("inertia")) * 1.1 >= F.col("inertia")).alias("falls"))

@@ -273,6 +273,18 @@ def test_texts_are_counted_in_slices_of_bounded_memory():
     assert np.allclose(got, [c / max(np.linalg.norm(c), 1e-300) for c in counts])
 
 
+def test_own_starts_read_the_areas_once(spark, monkeypatch):
+    from checks import clustering as C
+
+    read, staged = [], C.stage_table
+    rows = [(f"Area {i}", float(i % 7), float(i % 11), float(i % 5)) for i in range(60)]
+    table = spark.createDataFrame(rows, "neighborhood string, avg_pedestrian double, storefront_density_per_km2 double, category_entropy double")
+    monkeypatch.setattr(C, "area_table", lambda t: table)
+    monkeypatch.setattr(C, "stage_table", lambda df, label: read.append(label) or staged(df, label))
+    assert [r.k for r in C.k8_own(None).collect()] == [2, 3, 4, 5, 6]
+    assert read == ["areas"]
+
+
 def silhouette(points, labels, singleton):
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
     out = []
