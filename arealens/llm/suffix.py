@@ -9,8 +9,8 @@ of text, its context.
 2. The different contexts of an anchor meet in one task. There their suffixes are sorted, transformed, and right-bounded intervals
    grow by backward extension, breadth first: level l finds every place where the common prefix of neighbours has length l.
    Extension stops at ``length``; the boundaries that stay undefined are those with a common prefix of at least that length.
-3. An anchor with more than ``crowd`` different contexts goes to no task: its windows are counted by hash instead, with a
-   combine before the shuffle.
+3. An anchor with more than ``crowd`` different contexts goes to no task: its windows are counted by hash instead. Here too each
+   batch sends every distinct hash once and gets one byte back for it; no window is a row of its own.
 4. Repeated windows merge into maximal removed runs.
 
 A second, shorter length can be looked for in the same pass: windows then name anchors by their first ``short`` bytes, contexts reach
@@ -42,6 +42,8 @@ PASSAGE = 280
 #: Pieces for two lengths at once: longer ones stand in fewer texts by chance, shorter ones name fewer anchors.
 TWO_LENGTHS_SEED = 96
 BATCH_BYTES = 12 << 20
+#: Windows of one batch when those of crowded anchors are counted; 12 bytes each.
+BATCH_WINDOWS = 1 << 20
 POOL_BYTES = 1 << 18
 PLACE = np.uint64((1 << 28) - 1)
 SEPARATOR = 0xFF  # no byte of UTF-8
@@ -184,7 +186,7 @@ def settle_keys(rows: list[dict], crowd: int) -> list[np.ndarray]:
 
 
 def settle_contexts(rows: list[dict]) -> list[np.ndarray]:
-    """0: the context occurs once; 4: repeated; 12: repeated, and this batch speaks for all of its kind."""
+    """0: the context (or window) occurs once; 4: repeated; 12: repeated, and this batch speaks for all of its kind."""
     values = np.concatenate([np.frombuffer(r["a"], "<u8") for r in rows])
     often = np.concatenate([np.frombuffer(r["b"], bool) for r in rows])
     is_first, total, _ = first_and_total(values, 1.0 + often)
@@ -275,7 +277,8 @@ WORK_NAMES = ["kind", "key", "_id", "_sum", "start", "size", "level", "bytes"]
 
 
 def contexts(marked: DataFrame, lengths: tuple[int, ...], seed: int) -> DataFrame:
-    """WORK rows of documents with states: ``all`` (every window of size starts repeats), ``bytes`` (a context to compare) and ``window``.
+    """WORK rows of documents with states: ``all`` (every window of size starts repeats), ``bytes`` (a context to compare) and ``windows``
+    (the hashes of the windows of size starts).
 
     ``level`` is the index of the window's length in ``lengths``; a context to compare serves all of them.
     """
@@ -302,9 +305,8 @@ def contexts(marked: DataFrame, lengths: tuple[int, ...], seed: int) -> DataFram
                         if state[i] & 3 == 1:
                             rows.append(("bytes", int(keys[i]), *who, int(own.last[i]) - first + 1, 0, own.data[first : own.end[i]].tobytes()))
                         elif state[i] & 3 == 2:
-                            for k, n in enumerate(lengths):
-                                hashes = own.windows(i, n).view(np.int64).tolist()
-                                rows += [("window", h, who[0], who[1], who[2] + j, 1, k, None) for j, h in enumerate(hashes)]
+                            hashes = [(k, own.windows(i, n)) for k, n in enumerate(lengths)]
+                            rows += [("windows", int(keys[i]), *who, len(h), k, h.astype("<u8").tobytes()) for k, h in hashes if len(h)]
                     if len(rows) > 20_000:
                         yield out(rows)
                         rows = []
@@ -458,6 +460,71 @@ def compare_contexts(work: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return work.mapInArrow(scan, STRETCHES)
 
 
+def pack_windows(work: DataFrame, buckets: int) -> DataFrame:
+    """PACKED rows of ``windows`` rows: ``window`` (hashes, how often) and the ``map`` back."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, found = TaskContext.get().partitionId(), 0, 0, []
+
+        def done():
+            batch, heads = (part << 24) + number, np.array([r[:-1] for r in found], "<i8").T
+            hashes, of, often = distinct_runs(np.concatenate([np.frombuffer(r[-1], "<u8") for r in found]))
+            edge = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+            for b in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+                lo, hi = edge[b], edge[b + 1]
+                yield one_row(("window", b, batch, hashes[lo:hi].tobytes(), (often[lo:hi] > 1).tobytes(), None))
+            yield one_row(("map", place_of(batch, buckets), batch, heads.tobytes(), edge.astype("<i8").tobytes(), of.astype("<u4").tobytes()))
+
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("_id", "_sum", "start", "size", "level", "bytes")]):
+                found.append(row)
+                held += row[3]
+                if held >= BATCH_WINDOWS:
+                    yield from done()
+                    number, held, found = number + 1, 0, []
+        if found:
+            yield from done()
+
+    return work.mapInArrow(scan, PACKED)
+
+
+def repeated_stretches(settled: DataFrame) -> DataFrame:
+    """STRETCHES of the repeated ones among the windows of ``pack_windows``; rows arrive sorted by batch."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, rows = None, []
+
+        def done():
+            whole = [r for r in rows if r["kind"] == "map"]
+            if not whole or len(rows) == 1:
+                return
+            ids, sums, starts, sizes, levels = np.frombuffer(whole[0]["a"], "<i8").reshape(5, -1)
+            edge = np.frombuffer(whole[0]["b"], "<i8")
+            state = np.zeros(edge[-1], np.uint8)
+            for r in rows:
+                if r["kind"] != "map":
+                    lo = edge[r["bucket"]]
+                    state[lo : lo + len(r["a"])] = np.frombuffer(r["a"], np.uint8)
+            again = state[np.frombuffer(whole[0]["c"], "<u4")] > 0
+            # an unrepeated place behind every row ends its runs
+            ends = np.cumsum(sizes)
+            first, end = runs(np.insert(again, ends, False))
+            begin = ends - sizes + np.arange(len(sizes))
+            i = np.searchsorted(begin, first, "right") - 1
+            columns = [ids[i], sums[i], starts[i] + first - begin[i], end - first, levels[i].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["_id", "_sum", "start", "size", "level"])
+
+        for arrow in batches:
+            for row in arrow.to_pylist():
+                if row["batch"] != batch:
+                    yield from done()
+                    batch, rows = row["batch"], []
+                rows.append(row)
+        yield from done()
+
+    return settled.mapInArrow(scan, STRETCHES)
+
+
 def repeated_windows(rows: DataFrame, lengths: tuple[int, ...], seed: int, crowd: int, factor: int = 1) -> DataFrame:
     """STRETCHES of starts of repeated windows of a table (_id, _sum, _text), for each length; stretches of one document may touch."""
     buckets = partitions(rows, factor)
@@ -469,9 +536,10 @@ def repeated_windows(rows: DataFrame, lengths: tuple[int, ...], seed: int, crowd
     stretch = ["_id", "_sum", "start", "size", "level"]
     whole = work.filter("kind = 'all'").select(stretch)
     pooled = work.filter("kind = 'bytes'").repartition(buckets, "key").sortWithinPartitions("key")
-    single = work.filter("kind = 'window'").select("key", *stretch)
-    again = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return whole.unionByName(compare_contexts(pooled, lengths)).unionByName(single.join(again, "key").drop("key"))
+    crowded = pack_windows(work.filter("kind = 'windows'"), buckets)
+    counted = settle(deal(crowded, buckets, "bucket").sortWithinPartitions("kind", "bucket", "batch"), crowd)
+    hashed = repeated_stretches(counted.repartition(buckets, "batch").sortWithinPartitions("batch"))
+    return whole.unionByName(compare_contexts(pooled, lengths)).unionByName(hashed)
 
 
 OUT = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"

@@ -104,3 +104,29 @@ def test_two_lengths_in_one_pass(spark, seed, length, short, piece, crowd):
 
 def test_empty_table(spark):
     assert suffix.remove_repeats(H.table(spark, [])).count() == 0
+
+
+def test_crowded_anchors_make_no_row_per_window(spark):
+    rng = random.Random(5)
+    near = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(2)]
+    rows = []
+    for i in range(60):
+        own = list(near[i % 2])
+        own[rng.randrange(300)] = "#"
+        rows.append((i, "".join(own), "en", "hot", 1))
+    docs = H.table(spark, rows, 4).selectExpr("doc_id AS _id", "xxhash64(text) AS _sum", "text AS _text")
+    found = suffix.repeated_windows(docs, (60, 40), 12, 1)
+    many = sum(len(b) - n + 1 for _, b, *_ in rows for n in (60, 40))
+    assert found.count() < many / 10
+    for level, length in enumerate((60, 40)):
+        seen = Counter(t[i : i + length] for _, t, *_ in rows for i in range(len(t) - length + 1))
+        want = {(r[0], i) for r in rows for i in range(len(r[1]) - length + 1) if seen[r[1][i : i + length]] > 1}
+        have = {(r._id, r.start + j) for r in found.filter(f"level = {level}").collect() for j in range(r.size)}
+        assert have == want
+
+
+def test_windows_of_crowded_anchors_in_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BATCH_WINDOWS", 50)
+    rows = H.awkward(6) + [(700 + r[0], *r[1:]) for r in few_letters(6)]
+    got = suffix.remove_repeats(H.table(spark, rows, 4), 40, 8, 1).collect()
+    assert ordered((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == ordered(brute(rows, 40))
