@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arealens import presets
 from arealens.functions import scalars as S
+from arealens.session import scratch_path
+from arealens.sources.features import feature_texts
 
+# stands in no JSON text unescaped
+SEPARATOR = "\x1e"
 RINGS_TYPE = "array<struct<hole:boolean,points:array<struct<x:double,y:double>>>>"
 _POLYGON = "array<array<array<double>>>"
 _MULTI = "array<array<array<array<double>>>>"
@@ -41,19 +45,21 @@ def scan_polygons(
     fields: Mapping[str, str] = presets.POLYGON_FIELDS,
     group: str = "borough",
     lines: bool = False,
+    parts: bool = False,
 ) -> DataFrame:
     """Areas with trimmed names, an upper-case group, their rings and the raw geometry text.
 
-    ``lines=True`` reads one feature per line, the splittable form for large polygon sets;
-    otherwise each file is one feature collection.
+    ``lines=True`` reads one feature per line; otherwise each file is one feature collection, or with ``parts=True`` all files
+    together are one, in the order of their names. Collections are cut into features once, written to the shared folder.
     """
     properties = ", ".join(f"`{name}`: string" for name in fields)
-    feature = f"struct<properties: struct<{properties}>, geometry: string>"
+    reader = spark.read.schema(f"properties struct<{properties}>, geometry string")
     if lines:
-        features = spark.read.schema(f"properties struct<{properties}>, geometry string").json(path)
+        features = reader.json(path)
     else:
-        collections = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True)
-        features = collections.select(F.inline("features"))
+        texts = scratch_path(spark, "features")
+        feature_texts(spark, path, parts).write.option("lineSep", SEPARATOR).text(texts)
+        features = reader.json(texts, lineSep=SEPARATOR)
     parsed = features.withColumn("_g", F.from_json("geometry", "type string, coordinates string"))
     return parsed.select(
         *[

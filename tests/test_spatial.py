@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arealens.operators import spatial as SP
-from arealens.sources import geojson
+from arealens.sources import features, geojson
 
 SHAPE = "cd string, rings array<struct<hole:boolean,points:array<struct<x:double,y:double>>>>"
 
@@ -119,3 +119,59 @@ def test_feature_collection_round_trip(spark, tmp_path):
     assert json.loads(text)["coordinates"] == features[1]["geometry"]["coordinates"]
     lines = geojson.export_scored_polygons(read.withColumn("score", F.lit(None).cast("double")), ["cd", "score"]).collect()
     assert json.loads(lines[0].value)["properties"] == {"cd": "BX01", "score": None}
+
+
+def collection(n):
+    """Features with brackets, quotes and backslashes in strings, nested properties of the same name, and lists that are no features."""
+    names = ['a}{"é', "b\\", 'c\\"features":[{', "]]]", "d"]
+    ring = [[0, 0], [4.50, 0], [4, 4], [0, 0]]
+    features = [
+        {"type": "Feature", "id": i, "properties": {"CDTAName": names[i % 5], "CDTA2020": f"BX{i}", "BoroName": "x", "features": [{"no": i}]},
+         "geometry": {"type": "Polygon", "coordinates": [ring] * (1 + i % 3)}}
+        for i in range(n)
+    ]
+    other = {"crs": {"features": [{"properties": {"CDTA2020": "no"}}]}, "type": "FeatureCollection", "bbox": [[{"a": 1}], 2]}
+    return {**other, "features": features, "more": [{"properties": {"CDTA2020": "no"}}]}
+
+
+@pytest.mark.parametrize("indent, block, end", [(None, 200, ""), (1, 300, "\n"), (None, 1000, " \n"), (1, 1 << 20, "")])
+def test_one_document_is_read_by_many_tasks(spark, tmp_path, indent, block, end):
+    whole = collection(23)
+    for k in range(2):
+        (tmp_path / f"{k}.json").write_text(json.dumps(whole, indent=indent, ensure_ascii=k == 0) + end)
+    (tmp_path / "cut.json").write_text(json.dumps(whole)[:-200])
+    bound = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        texts = [r.value for r in features.feature_texts(spark, str(tmp_path)).collect()]
+        read = geojson.scan_polygons(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bound)
+    place = lambda f: f["id"]
+    assert sorted(map(json.loads, texts), key=place) == sorted(whole["features"] * 2, key=place)
+    got = sorted((int(r.cd[2:]), r.neighborhood, len(r.rings), json.loads(r.geometry)) for r in read.collect() if r.cd == r.cd)
+    want = sorted((f["id"], f["properties"]["CDTAName"], len(f["geometry"]["coordinates"]), f["geometry"]) for f in whole["features"] * 2)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == [w[3] for w in want]
+
+
+def test_no_task_reads_a_whole_document(spark, tmp_path):
+    path = tmp_path / "areas.json"
+    path.write_text(json.dumps(collection(400)))
+    bound = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        read = geojson.scan_polygons(spark, str(path))
+        tasks = read.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bound)
+    assert sum(r["count"] for r in tasks) == 400 and max(r["count"] for r in tasks) < 100
+
+
+@pytest.mark.parametrize("n", [0, 1, 30])
+def test_one_document_in_parts(spark, tmp_path, n):
+    whole = collection(n)
+    lines = json.dumps(whole, indent=1).split("\n")
+    for k in range(0, len(lines), 7):
+        (tmp_path / f"part-{k:05}.txt").write_text("\n".join(lines[k : k + 7]) + "\n" * (k % 2))
+    texts = [r.value for r in features.feature_texts(spark, str(tmp_path), whole=True).collect()]
+    assert sorted(json.loads(t)["id"] for t in texts) == list(range(n))
