@@ -356,13 +356,15 @@ def long_common(text: np.ndarray, order: np.ndarray, lengths: tuple[int, ...]) -
 
     Intervals of suffixes with a common first string grow by one byte on the left, all intervals of a level at once. The end of an
     interval of strings of l + 1 bytes is where a common prefix of l bytes ends, unless a lower level was there first; only
-    intervals that set a new end grow on.
+    intervals that set a new end grow on. Neighbours after the same byte stay neighbours, so runs of the transform move as one.
     """
     n = len(text)
     bwt = text[order - 1]
     by_byte = np.argsort(bwt, kind="stable")
     lf = np.empty(n, np.int64)
     lf[by_byte] = np.arange(n)
+    first = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+    last, run = np.append(first[1:], n), np.repeat(np.arange(len(first)), np.diff(first, append=n))
     total = np.bincount(bwt, minlength=256)
     right = np.cumsum(total)
     some = total > 0
@@ -376,29 +378,27 @@ def long_common(text: np.ndarray, order: np.ndarray, lengths: tuple[int, ...]) -
     for level in range(1, max(lengths)):
         if not len(low):
             break
-        size = high - low
-        one = size == 1
-        rows = low[one]
-        rows = rows[bwt[rows] != SEPARATOR]
-        lows, highs = [lf[rows]], [lf[rows] + 1]
-        if not one.all():
-            low, size = low[~one], size[~one]
-            ends = np.cumsum(size)
-            which = np.repeat(np.arange(len(size)), size)
-            rows = np.arange(ends[-1]) + (low - (ends - size))[which]
-            byte = bwt[rows]
-            kept = byte != SEPARATOR
-            rows, which = rows[kept], which[kept] << 8 | byte[kept]
-            if len(rows):
-                turn = np.argsort(which, kind="stable")
-                which, rows = which[turn], rows[turn]
-                new = np.concatenate([[True], which[1:] != which[:-1]])
-                lows.append(lf[rows[new]])
-                highs.append(lf[rows[np.append(new[1:], True)]] + 1)
-        low, high = np.concatenate(lows), np.concatenate(highs)
-        fresh = open_[high]
-        low, high = low[fresh], high[fresh]
-        open_[high] = False
+        # each interval in pieces of one byte: those move as they are
+        begin = run[low]
+        size = run[high - 1] - begin + 1
+        ends = np.cumsum(size)
+        which = np.repeat(np.arange(len(size)), size)
+        piece = np.arange(ends[-1]) + (begin - (ends - size))[which]
+        rows = np.maximum(first[piece], low[which])
+        long = np.minimum(last[piece], high[which]) - rows
+        byte = bwt[rows]
+        kept = byte != SEPARATOR
+        low, long, which = lf[rows[kept]], long[kept], which[kept] << 8 | byte[kept]
+        if len(low):
+            # in the order of the longer strings; equal bytes of one interval lie side by side
+            turn = np.argsort(low)
+            low, long, which = low[turn], long[turn], which[turn]
+            new = np.concatenate([[True], which[1:] != which[:-1]])
+            end = np.append(new[1:], True)
+            low, high = low[new], low[end] + long[end]
+            fresh = open_[high]
+            low, high = low[fresh], high[fresh]
+            open_[high] = False
         if level + 1 in lengths:
             seen[level + 1] = open_.copy()
     return [seen.get(n, open_) for n in lengths]
