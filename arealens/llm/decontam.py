@@ -17,6 +17,7 @@ WIDTH = 8
 LITERALS = 5
 LEAST = 13
 BROADCAST_WINDOWS = 500_000
+BROADCAST_DOCUMENTS = 500_000
 
 # Words that count as a unit right after a number.
 UNITS = (
@@ -39,11 +40,20 @@ RAW_TOKEN = SLOT_VALUE + r"|\p{L}+"
 TOKEN = r"[\x01\x02\x03]|\p{L}+"
 
 
+def unstacked(run: str) -> str:
+    """The pattern of a run for Java, which takes a piece of stack per repetition of a group unless the group is possessive.
+
+    Thousands of names or numbers in a row overflow the stack, which ends the executor. Nothing stands behind the group, so what
+    matches stays the same.
+    """
+    return run.removesuffix(")*)") + ")*+)"
+
+
 def marked(text: Column) -> Column:
     """Text with every slot value between two marks of its type. NULL counts as empty; marks already present are dropped."""
     out = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
-    out = F.regexp_replace(out, NAME_RUN, rf"$1{NAME}$2{NAME}")
-    out = F.regexp_replace(out, NUMBER_RUN, rf"{NUMBER}$1{NUMBER}")
+    out = F.regexp_replace(out, unstacked(NAME_RUN), rf"$1{NAME}$2{NAME}")
+    out = F.regexp_replace(out, unstacked(NUMBER_RUN), rf"{NUMBER}$1{NUMBER}")
     return F.regexp_replace(out, UNIT_RUN, rf"$1{UNIT}$2{UNIT}")
 
 
@@ -159,6 +169,7 @@ def leaks(
     diagonal = stage_table(diagonal.filter(covered(F.concat("rich", "exact")) >= bar), "diagonals")
     # only documents with a diagonal are marked again, and only those with slots bring their values, not their texts
     met = stage_table(diagonal.select(F.col("_id").alias("_met"), F.col("_sum").alias("_with")).distinct(), "documents-met")
+    met = F.broadcast(met) if met.count() <= BROADCAST_DOCUMENTS else met
     again = forms_of(own.join(met, own["_id"].eqNullSafe(met["_met"]) & (own["_sum"] == met["_with"]), "left_semi"))
     valued = again.filter(F.col("_text").rlike(MAY_HAVE_SLOTS)).select("_id", "_sum", "_form", slots(valued_tokens(marked(F.col("_text")))).alias("doc_slots"))
     valued = valued.dropDuplicates(["_id", "_sum", "_form"])
@@ -207,7 +218,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     Items of fewer than ``width`` tokens, NULL and empty texts and NULL items match nothing; an empty benchmark leaks nowhere.
     Repeated rows of one document report once; rows with equal keys and different texts are judged one by one and reported
     under their key. Other columns are left out. Benchmark windows are broadcast up to ``BROADCAST_WINDOWS`` (counted), else they
-    join by a shuffle on the hash that adaptive execution may split.
+    join by a shuffle on the hash that adaptive execution may split. The keys of documents with a diagonal are broadcast up to
+    ``BROADCAST_DOCUMENTS`` (counted), so that texts are not shuffled to mark those documents again.
     """
     found = leaks(docs, benchmark, key=key, item_key=item_key, **options)
     found = found.groupBy("_id", "item").agg(F.max_by("best", better("best.")).alias("b"))

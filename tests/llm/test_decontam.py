@@ -98,3 +98,20 @@ def test_long_copy_with_one_repeated_number_changed(spark):
     text = ITEMS[0][1] + " nobody on the platform knew whether the two of them would ever meet again before the long winter came down"
     texts = [FRONT + text.replace("120", "121", 1) + BACK, FRONT + text + BACK, FRONT + text.replace("120", "121") + BACK]
     assert kinds(spark, [(1, text)], texts) == {(0, 1): "altered", (1, 1): "verbatim", (2, 1): "reparameterised"}
+
+
+def test_long_runs_of_names_and_numbers(spark):
+    n, text = 20_000, ITEMS[0][1]
+    numbers = ",".join(str(i) for i in range(n))
+    runs = ["It was " + "Von " * n, "IT WAS " * n, "Rows " + numbers, "1." * n + "5", " ".join(map(str, range(n))), "a B " * n, "3 Km 4 km " * n]
+    items = [(1, text), (2, "seven plain words lead up to the row " + numbers + " and seven plain words come at the end of it")]
+    texts = [t for run in runs for t in (run, run.strip() + " - " + FRONT + text + BACK)] + [items[1][1]]
+    assert kinds(spark, items, texts) == {(i, 1): "verbatim" for i in range(1, 14, 2)} | {(14, 2): "verbatim"}
+    marks = spark.createDataFrame([(runs[0],), (runs[2],)], "text string").select(decontam.marked(decontam.F.col("text")).alias("mark"))
+    assert [r.mark for r in marks.collect()] == ["It was \x01" + runs[0][7:-1] + "\x01 ", "Rows \x02" + numbers + "\x02"]
+
+
+def test_documents_met_beyond_the_broadcast_bound(tables, monkeypatch):
+    want = sorted(map(str, decontam.contaminated(*tables).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_DOCUMENTS", 0)
+    assert sorted(map(str, decontam.contaminated(*tables).collect())) == want
